@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from .blocks import VectorBlocks, list_matrix, moments
+from .blocks import VectorBlocks, list_matrix, moments, on_grid
 from .kmeans import nearest
 
 
@@ -48,10 +50,11 @@ def covariance(vectors: DataFrame) -> DataFrame:
 
 
 def remove_component(
-    vectors: DataFrame, direction: Column, features: str = "features"
+    vectors: DataFrame, direction: Sequence[float], features: str = "features"
 ) -> DataFrame:
     """Every vector without its part along one unit direction."""
-    return vectors.withColumn(features, V.remove_component(F.col(features), direction))
+    axis = F.array(*[F.lit(float(w)) for w in direction])
+    return vectors.withColumn(features, V.remove_component(F.col(features), axis))
 
 
 # Centroids are held by every task, so their number of values is bounded.
@@ -67,31 +70,44 @@ def centroid_matrix(centroids: DataFrame) -> tuple[list, np.ndarray]:
     return [r.cluster for r in rows], np.array([r.centroid for r in rows], dtype=float)
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``vectors`` plus (cluster, d2): the closest of (cluster, centroid); low ids win ties.
+def assign_to(
+    vectors: DataFrame, centres: np.ndarray, exponent: int | None = None, labels: list | None = None
+) -> DataFrame:
+    """``vectors`` plus (cluster, d2): the closest of the given centres; the first one wins ties.
 
-    Stateless and shuffle-free, so it works on a stream as well.
+    ``exponent`` puts the vectors on the grid of the blocks the centres were fitted on, ``labels``
+    renames the clusters. Stateless and shuffle-free, so it works on a stream as well.
     """
-    ids, matrix = centroid_matrix(centroids)
-    labels = np.array(ids)
+    names = np.arange(len(centres)) if labels is None else np.array(labels)
 
     @F.arrow_udf("struct<cluster: int, d2: double>")
     def assign(features: pa.Array) -> pa.Array:
-        x = list_matrix(features)
-        own = nearest(x, matrix) if len(x) else np.zeros(0, dtype=np.int64)
-        diff = x - matrix[own] if len(x) else np.zeros((0, 1))
+        if not len(features):
+            own, d2 = np.zeros(0, dtype=np.int64), np.zeros(0)
+        else:
+            x = list_matrix(features)
+            x = x if exponent is None else on_grid(x, exponent)
+            own = nearest(x, centres)
+            diff = x - centres[own]
+            d2 = np.einsum("ij,ij->i", diff, diff)
         return pa.StructArray.from_arrays(
-            [pa.array(labels[own], pa.int32()), pa.array(np.einsum("ij,ij->i", diff, diff))],
-            names=["cluster", "d2"],
+            [pa.array(names[own], pa.int32()), pa.array(d2)], names=["cluster", "d2"]
         )
 
+    near = F.col("_near")
     return (
         vectors.withColumn("_near", assign(V.as_vector(F.col("features"))))
-        .withColumns({"cluster": F.col("_near.cluster"), "d2": F.col("_near.d2")})
+        .withColumns({"cluster": near["cluster"], "d2": near["d2"]})
         .drop("_near")
     )
 
 
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``vectors`` plus (cluster, d2): the closest of (cluster, centroid); low ids win ties."""
+    labels, matrix = centroid_matrix(centroids)
+    return assign_to(vectors, matrix, labels=labels)
+
+
 def inertia(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """One row: sum of squared distances to the nearest centroid."""
     return nearest_centroid(vectors.select("features"), centroids).agg(
