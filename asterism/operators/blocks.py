@@ -25,6 +25,7 @@ GRID_BITS = 52
 _LOW32 = (1 << 32) - 1
 _MERGE_WIDTH = 64
 _DRIVER_BYTES = 64 << 20
+_SPREAD_BYTES = 4 << 20
 
 Batch = tuple[np.ndarray, np.ndarray]
 State = dict[str, object]
@@ -125,6 +126,11 @@ class VectorBlocks:
         if size is None or not math.isfinite(size):
             raise ValueError("vectors must be finite")
         exponent = math.frexp(size)[1] if size > 0 else 0
+        # Every pass reads all vectors again, so a few large partitions are worth dealing out once.
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        wanted = min(cores, n * low * 8 // _SPREAD_BYTES)
+        if width < wanted:
+            vectors, width = vectors.repartition(wanted), wanted
 
         def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -31,27 +31,42 @@ def squared_distance(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", diff, diff)
 
 
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Index of the nearest centre per row; the lowest index wins ties.
+def nearest_in(x: np.ndarray, models: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Per model (k x d centres), the index of the nearest centre per row; low indexes win ties.
 
-    A matrix product ranks the centres; rows whose best two lie within its rounding error are
-    decided again from plain differences, so the answer never depends on how rows are batched.
+    One matrix product ranks the centres of all models; rows whose best two lie within its rounding
+    error are decided again from plain differences, so the answer never depends on how rows are
+    batched.
     """
-    if len(centres) == 1:
-        return np.zeros(len(x), dtype=np.int64)
-    c2 = np.einsum("ij,ij->i", centres, centres)
-    score = x @ (-2.0 * centres.T)
-    score += c2
-    best = score.argmin(axis=1)
-    reach = np.sqrt(np.einsum("ij,ij->i", x, x)) + math.sqrt(c2.max())
-    slack = 8.0 * (x.shape[1] + 4) * np.finfo(float).eps * reach * reach
-    limit = score[np.arange(len(x)), best] + slack
-    close = np.flatnonzero((score <= limit[:, None]).sum(axis=1) > 1)
-    if len(close):
-        rows = x[close]
-        exact = np.stack([np.sqrt(squared_distance(rows, c)) for c in centres], axis=1)
-        best[close] = exact.argmin(axis=1)
-    return best
+    every = np.vstack(models)
+    c2 = np.einsum("ij,ij->i", every, every)
+    scores = (-2.0 * every) @ x.T
+    scores += c2[:, None]
+    lengths = np.sqrt(np.einsum("ij,ij->i", x, x))
+    ulps = 8.0 * (x.shape[1] + 4) * np.finfo(float).eps
+    found, start = [], 0
+    for centres in models:
+        k = len(centres)
+        part = scores[start : start + k]
+        reach = lengths + math.sqrt(c2[start : start + k].max())
+        start += k
+        own, best = np.zeros(len(x), dtype=np.int64), part[0].copy()
+        for c in range(1, k):
+            own[part[c] < best] = c
+            np.minimum(best, part[c], out=best)
+        best += ulps * reach * reach
+        close = np.flatnonzero((part <= best).sum(axis=0) > 1)
+        if len(close):
+            rows = x[close]
+            exact = np.stack([np.sqrt(squared_distance(rows, c)) for c in centres])
+            own[close] = exact.argmin(axis=0)
+        found.append(own)
+    return found
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Index of the nearest centre per row."""
+    return nearest_in(x, [centres])[0]
 
 
 # ---- seeding -----------------------------------------------------------------------------------
@@ -168,28 +183,31 @@ class KMeansModel:
 
 
 def _cluster_sums(blocks: VectorBlocks, stacks: dict[int, np.ndarray]) -> State:
-    exponent, dim = blocks.exponent, blocks.dim
+    """Exact sums and counts per cluster of every model under its current centroids."""
+    dim, ks = blocks.dim, list(stacks)
+    scale = 2.0 ** (_HALF - blocks.exponent)
+    first = np.cumsum([0, *ks])
 
     def step(batches: Iterable[Batch]) -> State | None:
-        totals = {k: np.zeros((2, 2, k, dim), np.int64) for k in stacks}
-        counts = {k: np.zeros(k, np.int64) for k in stacks}
+        totals, counts = np.zeros((2, 2, first[-1], dim), np.int64), np.zeros(first[-1], np.int64)
         for _, x in batches:
-            for start in range(0, len(x), 1 << 16):
-                part = x[start : start + (1 << 16)]
-                high, low = limbs(part, exponent, _HALF, 2)
-                for k, centres in stacks.items():
-                    own = nearest(part, centres)
-                    member = np.zeros((k, len(part)))
-                    member[own, np.arange(len(part))] = 1.0
-                    totals[k] += split_int(np.stack([member @ high, member @ low]))
-                    counts[k] += np.bincount(own, minlength=k)
-        state: State = {}
-        for k in stacks:
-            state[f"sum{k}"], state[f"count{k}"] = totals[k], counts[k]
-        return state
-
-    size = sum(stacks) * (dim + 1) * 32
-    return blocks.fold(step, add_states, state_bytes=size)
+            for start in range(0, len(x), 1 << 14):
+                part = x[start : start + (1 << 14)]
+                member = np.zeros((first[-1], len(part)))
+                for offset, own in zip(first, nearest_in(part, list(stacks.values()))):
+                    member[own + offset, np.arange(len(part))] = 1.0
+                whole = part * scale
+                high = np.floor(whole)
+                whole -= high  # multiples of 2**-26: their sums are exact as well
+                totals += split_int(np.stack([member @ high, (member @ whole) * 2.0**_HALF]))
+                counts += member.sum(axis=1).astype(np.int64)
+        return {"sums": totals, "counts": counts}
+
+    state = blocks.fold(step, add_states, state_bytes=int(first[-1]) * (dim + 1) * 32)
+    sums = join_int(state["sums"])
+    return {
+        k: (sums[:, a : a + k], state["counts"][a : a + k]) for k, a in zip(ks, first.tolist())
+    }
 
 
 def lloyd(
@@ -210,7 +228,7 @@ def lloyd(
         state = _cluster_sums(blocks, {k: models[k].centroids for k in sorted(moving)})
         for k in sorted(moving):
             model = models[k]
-            sums, counts = join_int(state[f"sum{k}"]), state[f"count{k}"]
+            sums, counts = state[k]
             after = model.centroids.copy()
             for c in np.flatnonzero(counts):
                 total = sums[0, c] * (1 << _HALF) + sums[1, c]
@@ -228,13 +246,13 @@ def lloyd(
 def measure_inertia(blocks: VectorBlocks, models: dict[int, KMeansModel]) -> None:
     """Sum of squared distances to the own final centroid, for all models in one pass."""
     top = 2 * blocks.exponent + 3 + math.ceil(math.log2(blocks.dim + 1))
+    centres = {k: (m.assign_by, m.centroids) for k, m in models.items()}
 
     def step(batches: Iterable[Batch]) -> State | None:
-        totals = {k: np.zeros((2, 3), np.int64) for k in models}
+        totals = {k: np.zeros((2, 3), np.int64) for k in centres}
         for _, x in batches:
-            for k, model in models.items():
-                own = nearest(x, model.assign_by)
-                diff = x - model.centroids[own]
+            for k, (assign_by, final) in centres.items():
+                diff = x - final[nearest(x, assign_by)]
                 parts = limbs(np.einsum("ij,ij->i", diff, diff), top, _HALF, 3)
                 totals[k] += split_int(np.array([p.sum() for p in parts]))
         return {str(k): v for k, v in totals.items()}

@@ -41,15 +41,19 @@ def top_terms(
     text: str = "text",
     k: int | None = None,
     top_n: int = LABEL_TERMS,
+    n_texts: int | None = None,
 ) -> DataFrame:
     """(group, rank, term, tf, df, score): the best terms of each group.
 
-    score = tf * ln(1 + N / df), N counting every text, assigned or not. Equal scores are ordered
+    score = tf * ln(1 + N / df), N counting every text, assigned or not (counted unless given). Equal scores are ordered
     by the term under Unicode collation; only terms that tie into the first places are collated.
     """
-    n_texts = df.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n")).scalar()
+    if n_texts is None:
+        total = df.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n")).scalar()
+    else:
+        total = F.lit(float(max(n_texts, 1)))
     scored = term_df(df, group, text, k).withColumn(
-        "score", F.col("tf") * F.log(F.lit(1.0) + n_texts / F.col("df"))
+        "score", F.col("tf") * F.log(F.lit(1.0) + total / F.col("df"))
     )
     by_score = Window.partitionBy(group).orderBy(F.col("score").desc())
     best = Window.partitionBy(group).orderBy(

@@ -19,6 +19,7 @@ from ..operators.nearest_point import pick_nearest
 from ..operators.pca import fit_pca
 from ..operators.similar import topk_similar
 from ..sources import lines
+from ..sources.tables import read_texts
 from ..sources.vectors import HASH_DIM, embed_hash, load_vectors
 from .semantic_map import FittedMap, SemanticMap, build_map
 from .semantic_map import cluster_sizes as sizes_of
@@ -47,7 +48,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _documents(spark, folder):
-    return _table(spark, folder, "documents")
+    return read_texts(spark, f"{folder}/documents.parquet")
 
 
 def _vectors(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,11 +61,15 @@ class FittedMap:
         )
 
 
-def name_clusters(points: DataFrame, k: int, top_n: int = LABEL_TERMS) -> DataFrame:
-    """(id, label, size) of every cluster of (text, cluster) that has members."""
-    sizes = cluster_sizes(points)
-    labels = join_terms(top_terms(points, "cluster", "text", k, top_n), "cluster")
-    return sizes.join(per_cluster(labels, k), "cluster", "left").select(
+def name_clusters(points: DataFrame, sizes: Sequence[int], top_n: int = LABEL_TERMS) -> DataFrame:
+    """(id, label, size) of every cluster that has members; sizes are known per cluster id."""
+    k = len(sizes)
+    filled = points.sparkSession.createDataFrame(
+        [(c, int(n)) for c, n in enumerate(sizes) if n], "cluster int, size long"
+    )
+    terms = top_terms(points, "cluster", "text", k, top_n, n_texts=int(sum(sizes)))
+    labels = join_terms(terms, "cluster")
+    return filled.join(per_cluster(labels, k), "cluster", "left").select(
         F.col("cluster").alias("id"),
         F.coalesce("label", F.lit(EMPTY_LABEL)).alias("label"),
         "size",
@@ -97,7 +102,7 @@ class SemanticMap:
             return
         placed = model.place(items.select(F.col("id").cast("long"), "text", "features"))
         self.points = points if points is not None else placed.select("id", "text", "x", "y", "cluster")
-        self.clusters = name_clusters(placed.select("text", "cluster"), self.k, top_n)
+        self.clusters = name_clusters(placed.select("text", "cluster"), model.kmeans.sizes, top_n)
 
     @property
     def summary(self) -> DataFrame:
