@@ -15,11 +15,20 @@ import numpy as np
 from ..constants import ELBOW_K_MAX, ELBOW_K_MIN, KMEANS_MAX_ITER, KMEANS_SEED
 from ..functions.draws import exponentials
 from .blocks import (
-    GRID_BITS, Batch, State, VectorBlocks, add_states, join_int, limbs, split_int, to_float,
+    GRID_BITS,
+    Batch,
+    State,
+    VectorBlocks,
+    add_states,
+    join_int,
+    limbs,
+    split_int,
+    to_float,
 )
 
 _KEPT = 16  # race entrants each task reports per step
 _HALF = GRID_BITS // 2
+_ROWS = 4096  # rows per matrix product, so that its parts stay in the processor's cache
 
 
 # ---- distances ---------------------------------------------------------------------------------
@@ -72,7 +81,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 # ---- seeding -----------------------------------------------------------------------------------
 
 
-def _race(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, seed: int, t: int):
+def _race(ids: np.ndarray, weight: np.ndarray, seed: int, t: int) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(weight > 0.0, exponentials(ids, seed, t) / weight, np.inf)
 
@@ -115,7 +124,7 @@ def _entrants(blocks: VectorBlocks, centres: list, seed: int, steps: range) -> S
             weight = _closest(x, centres)
             found = {}
             for t in steps:
-                found[t] = _first(_race(x, ids, weight, seed, t), ids, x, _KEPT)
+                found[t] = _first(_race(ids, weight, seed, t), ids, x, _KEPT)
                 flat = _first(exponentials(ids, seed, t), ids, x, 1)
                 found[-1 - t] = flat
             state = found if state is None else merge(state, found)
@@ -154,7 +163,7 @@ def seed_centres(blocks: VectorBlocks, k: int, seed: int = KMEANS_SEED) -> tuple
         state = _entrants(blocks, list(centres), seed, steps)
         for t in steps:
             _, rows, vecs, rest = state[t]
-            scores = _race(vecs, rows, _closest(vecs, centres), seed, t) if len(rows) else np.array([])
+            scores = _race(rows, _closest(vecs, centres), seed, t) if len(rows) else np.array([])
             order = np.lexsort((rows, scores))
             if len(order) and np.isfinite(scores[order[0]]):
                 if t > first and scores[order[0]] >= rest:
@@ -191,8 +200,8 @@ def _cluster_sums(blocks: VectorBlocks, stacks: dict[int, np.ndarray]) -> State:
     def step(batches: Iterable[Batch]) -> State | None:
         totals, counts = np.zeros((2, 2, first[-1], dim), np.int64), np.zeros(first[-1], np.int64)
         for _, x in batches:
-            for start in range(0, len(x), 1 << 14):
-                part = x[start : start + (1 << 14)]
+            for start in range(0, len(x), _ROWS):
+                part = x[start : start + _ROWS]
                 member = np.zeros((first[-1], len(part)))
                 for offset, own in zip(first, nearest_in(part, list(stacks.values()))):
                     member[own + offset, np.arange(len(part))] = 1.0

@@ -21,7 +21,7 @@ from ..operators.similar import topk_similar
 from ..sources import lines
 from ..sources.tables import read_texts
 from ..sources.vectors import HASH_DIM, embed_hash, load_vectors
-from .semantic_map import FittedMap, SemanticMap, build_map
+from .semantic_map import FittedMap, SemanticMap, build_map, map_documents
 from .semantic_map import cluster_sizes as sizes_of
 
 CAP = 5000
@@ -323,6 +323,13 @@ def export_json(spark, folder):
     return export.export_json(_exported(spark, folder), ("id",))
 
 
+def lines_map(spark, folder):
+    """Every line of every document: hashed, clustered with automatic k, placed and named."""
+    m = map_documents(_documents(spark, folder), max_iter=MAX_ITER).close()
+    labels_by_id = m.clusters.select(F.col("id").alias("cluster"), "label")
+    return _rounded_xy(m.points.join(F.broadcast(labels_by_id), "cluster"), "id", "cluster", "label", digits=5)
+
+
 # ---- layouts -------------------------------------------------------------------------------------
 
 
@@ -414,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "export_rows": export_rows,
     "export_csv": export_csv,
     "export_json": export_json,
+    "lines_map": lines_map,
     "normalize_coords": normalize_coords,
     "rotate_coords": rotate_coords,
     "reproject": reproject,

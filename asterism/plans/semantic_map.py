@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (
-    EMPTY_LABEL, KMEANS_MAX_ITER, KMEANS_SEED, LABEL_TERMS, TURN_ANGLE,
+    EMPTY_LABEL,
+    KMEANS_MAX_ITER,
+    KMEANS_SEED,
+    LABEL_TERMS,
+    MIN_LINES,
+    TURN_ANGLE,
 )
+from ..functions.text import line_id
 from ..functions.vector import as_vector
 from ..operators import layout
 from ..operators.blocks import VectorBlocks, list_matrix, on_grid
@@ -22,6 +28,8 @@ from ..operators.labels import join_terms, top_terms
 from ..operators.layout import per_cluster
 from ..operators.pca import Basis, fit_pca
 from ..schemas import CLUSTERS, POINTS
+from ..sources.lines import cap_lines, require_lines
+from ..sources.vectors import embed_hash
 
 
 def clamp_k(k: float, n: int) -> int:
@@ -61,6 +69,31 @@ class FittedMap:
         )
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the model (k x d numbers) as a small parquet table."""
+        b = self.basis
+        parts = {
+            "centroids": self.kmeans.centroids, "assign_by": self.kmeans.assign_by, "axes": b.axes,
+            "mean": b.mean[None, :], "variances": b.variances[None, :],
+            "sizes": np.asarray(self.kmeans.sizes, dtype=float)[None, :],
+            "box": np.array([[*b.centre, b.span, float(self.exponent)]]),
+        }
+        rows = [(p, i, [float(x) for x in v]) for p, m in parts.items() for i, v in enumerate(m)]
+        spark.createDataFrame(rows, "part string, pos int, row array<double>").coalesce(
+            1
+        ).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FittedMap:
+        rows = spark.read.parquet(path).orderBy("part", "pos").collect()
+        m = {p: np.array([r.row for r in rows if r.part == p]) for p in {r.part for r in rows}}
+        x, y, span, exponent = m["box"][0]
+        basis = Basis(m["mean"][0], m["axes"], m["variances"][0], (x, y), span)
+        sizes = m["sizes"][0].astype(np.int64)
+        kmeans = KMeansModel(len(m["centroids"]), m["centroids"], m["assign_by"], sizes, 0)
+        return FittedMap(kmeans, basis, int(exponent))
+
+
 def name_clusters(points: DataFrame, sizes: Sequence[int], top_n: int = LABEL_TERMS) -> DataFrame:
     """(id, label, size) of every cluster that has members; sizes are known per cluster id."""
     k = len(sizes)
@@ -162,3 +195,30 @@ def build_map(
         models = fit_kmeans(blocks, [k], seed, max_iter)
     model = FittedMap(models[k], fit_pca(blocks), blocks.exponent)
     return SemanticMap(items, blocks, model, seed, max_iter, top_n)
+
+
+def line_items(
+    docs: DataFrame, embed: Callable[[DataFrame], DataFrame] = embed_hash, max_lines: int | None = None
+) -> DataFrame:
+    """(id, text, features) of every line of (doc_id, text); the id orders the lines."""
+    lines = cap_lines(docs, max_lines)
+    return embed(lines.select(line_id(F.col("doc_id"), F.col("pos")).alias("id"), F.col("line").alias("text")))
+
+
+def map_documents(
+    docs: DataFrame,
+    k: float | None = None,
+    embed: Callable[[DataFrame], DataFrame] = embed_hash,
+    max_lines: int | None = None,
+    min_lines: int = MIN_LINES,
+    seed: int = KMEANS_SEED,
+    max_iter: int = KMEANS_MAX_ITER,
+    top_n: int = LABEL_TERMS,
+) -> SemanticMap:
+    """The map of all lines of (doc_id, text); refuses fewer than ``min_lines`` lines.
+
+    ``embed`` turns (id, text) into (id, text, features). Store its result first (``durable``)
+    when it is costly.
+    """
+    require_lines(docs, min_lines)
+    return build_map(line_items(docs, embed, max_lines), k, seed, max_iter, top_n)
