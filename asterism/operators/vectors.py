@@ -22,10 +22,14 @@ def normalize_vectors(vectors: DataFrame, features: str = "features") -> DataFra
 
 def mean_vector(vectors: DataFrame, features: str = "features") -> DataFrame:
     """One row ``mean``; an empty array when there are no vectors."""
+    mean = (
+        vectors.groupBy(F.lit(0).alias("all"))
+        .agg(Summarizer.mean(array_to_vector(F.col(features))).alias("m"))
+        .select(vector_to_array("m").alias("mean"))
+    )
     empty = F.array().cast("array<double>")
-    return vectors.agg(
-        F.count("*").alias("n"), Summarizer.mean(array_to_vector(F.col(features))).alias("m")
-    ).select(F.when(F.col("n") > 0, vector_to_array("m")).otherwise(empty).alias("mean"))
+    one = vectors.sparkSession.range(1)
+    return one.select(F.coalesce(mean.scalar(), empty).alias("mean"))
 
 
 def group_centroids(
