@@ -4,7 +4,7 @@ A pass is one Spark job: every task folds its Arrow batches into one small state
 merged in a tree of further tasks, and only the last few reach the driver. Vectors sit in the
 cache as (id, raw float64 bytes) so that a batch becomes a matrix without copying.
 
-States hold exact sums. Vectors are kept as multiples of 2**(exponent - 52), |x| <= 2**exponent
+States hold exact sums. Vectors are rounded to multiples of 2**(exponent - 52), |x| <= 2**exponent
 (an error of at most half an ulp of the largest value), so that sums can be taken over integers:
 the result then has the same bits for every partitioning, order of tasks and retry.
 """
@@ -74,14 +74,43 @@ def list_matrix(column: pa.Array) -> np.ndarray:
 
 def on_grid(matrix: np.ndarray, exponent: int) -> np.ndarray:
     unit = 2.0 ** (exponent - GRID_BITS)
-    return np.rint(matrix / unit) * unit
-
-
-def _bytes_column(matrix: np.ndarray) -> pa.Array:
-    n, dim = matrix.shape
-    data = np.ascontiguousarray(matrix, dtype=np.float64)
-    ends = np.arange(0, (n + 1) * dim * 8, dim * 8, dtype=np.int64).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    rounded = np.rint(matrix * (1.0 / unit))
+    rounded *= unit
+    return rounded
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, list<double>) to (id, raw bytes); a missing list becomes no bytes."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) * 8)]).astype(np.int32)
+        data = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False))
+        vec = pa.Array.from_buffers(
+            pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(data)]
+        )
+        yield pa.RecordBatch.from_arrays([ids, vec], names=["id", "vec"])
+
+
+def _profile(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per task: rows, smallest and largest number of values, largest magnitude."""
+    n, low, high, size = 0, None, None, 0.0
+    for batch in batches:
+        if len(batch):
+            vec = batch.column(1)
+            ends = np.frombuffer(vec.buffers()[1], np.int32)[vec.offset :][: len(vec) + 1]
+            dims = np.diff(ends) // 8
+            low = int(dims.min()) if low is None else min(low, int(dims.min()))
+            high = int(dims.max()) if high is None else max(high, int(dims.max()))
+            if ends[-1] > ends[0]:
+                count = (int(ends[-1]) - int(ends[0])) // 8
+                values = np.frombuffer(vec.buffers()[2], np.float64, count, int(ends[0]))
+                # A NaN makes the maximum NaN, which then fails the check as well.
+                size = float(np.maximum(size, np.abs(values).max()))
+            n += len(vec)
+    if n:
+        row = [pa.array([n]), pa.array([low]), pa.array([high]), pa.array([size])]
+        yield pa.RecordBatch.from_arrays(row, names=["n", "low", "high", "size"])
 
 
 def _bytes_matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -104,43 +133,38 @@ class VectorBlocks:
 
     @staticmethod
     def of(vectors: DataFrame) -> VectorBlocks:
-        """Check (id, features) and cache them; ids must be distinct integers."""
-        f = F.col("features")
-        vectors = vectors.select(F.col("id").cast("long"), f.cast("array<double>").alias("features"))
-        n, seen, low, high, size, width = (
-            vectors.select(f, F.spark_partition_id().alias("part"))
+        """Cache (id, features) and check them; ids must be distinct integers.
+
+        The rows are read from their source once: the check runs over the cached bytes.
+        """
+        df = vectors.select(
+            F.col("id").cast("long"), F.col("features").cast("array<double>")
+        ).mapInArrow(_pack, "id long, vec binary").persist()
+        n, low, high, size, width = (
+            df.mapInArrow(_profile, "n long, low long, high long, size double")
             .agg(
-                F.count("*"),
-                F.count(f),
-                F.min(F.size(f)),
-                F.max(F.size(f)),
-                F.max(F.greatest(F.array_max(f), -F.array_min(f))),
-                F.count_distinct("part"),
+                F.coalesce(F.sum("n"), F.lit(0)), F.min("low"), F.max("high"), F.max("size"), F.count("*")
             )
             .first()
         )
+        blocks = VectorBlocks(df, n, low or 0, 0, width)
         if n == 0:
-            return VectorBlocks(None, 0, 0, 0, 0)
-        if seen != n or low != high or low == 0:
-            raise ValueError(f"vectors must all have one size: {seen} of {n} set, sizes {low}..{high}")
-        if size is None or not math.isfinite(size):
-            raise ValueError("vectors must be finite")
-        exponent = math.frexp(size)[1] if size > 0 else 0
-        # Every pass reads all vectors again, so a few large partitions are worth dealing out once.
+            blocks.close()
+            return blocks
+        if low != high or low == 0 or not math.isfinite(size):
+            blocks.close()
+            raise ValueError(
+                f"vectors must be finite and of one size, not {low} to {high} values up to {size}"
+            )
+        blocks.exponent = math.frexp(size)[1] if size > 0 else 0
+        # Every pass reads all vectors again, so a few large partitions are dealt out once.
         cores = vectors.sparkSession.sparkContext.defaultParallelism
         wanted = min(cores, n * low * 8 // _SPREAD_BYTES)
         if width < wanted:
-            vectors, width = vectors.repartition(wanted), wanted
-
-        def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                matrix = on_grid(list_matrix(batch.column(1)), exponent)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), _bytes_column(matrix)], names=["id", "vec"]
-                )
-
-        df = vectors.mapInArrow(pack, "id long, vec binary").persist()
-        return VectorBlocks(df, n, int(low), exponent, int(width))
+            blocks.df, blocks.width = df.repartition(wanted).persist(), wanted
+            blocks.df.count()
+            df.unpersist()
+        return blocks
 
     def fold(
         self,
@@ -149,11 +173,13 @@ class VectorBlocks:
         state_bytes: int = 1 << 16,
     ) -> State:
         """One state for the whole table: step per task, then merge in a tree."""
-        dim = self.dim
+        dim, exponent = self.dim, self.exponent
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = (
-                (b.column(0).to_numpy(), _bytes_matrix(b.column(1), dim)) for b in batches if len(b)
+                (b.column(0).to_numpy(), on_grid(_bytes_matrix(b.column(1), dim), exponent))
+                for b in batches
+                if len(b)
             )
             state = step(pairs)
             if state is not None:

@@ -20,9 +20,9 @@ from ..constants import PICK_RADIUS
 
 _CUT = 4  # children per side
 _MAX_DEPTH = 24
-_LEAF_POINTS = 256
+_LEAF_POINTS = 64
 _MAX_HEAVY = 500_000  # bound on heavy cells per level, so that the tree fits in every task
-_HOT_LEAF = 100_000  # probes of one leaf that one join task takes
+_HOT_LEAF = 1_000_000  # probes of one leaf that one join task takes
 _MAX_HOT = 10_000  # bound on leaves that are split, so that their list can be broadcast
 
 
@@ -30,9 +30,10 @@ def _cell(value: Column, size: float, level: int) -> Column:
     return F.floor(value / F.lit(size) * F.lit(float(_CUT**level)))
 
 
-def _heavy_cells(points: DataFrame, size: float, limit: int, depth: int) -> list[np.ndarray]:
-    """Per level, the sorted (cx, cy) of cells with more than ``limit`` points."""
-    levels: list[np.ndarray] = []
+def _heavy_cells(points: DataFrame, size: float, limit: int, depth: int) -> list[tuple]:
+    """Per level, the cells with more than ``limit`` points: sorted columns, rows and cells, a cell
+    being numbered by the positions of its column and row."""
+    levels: list[tuple] = []
     inside = points
     while len(levels) < depth:
         level = len(levels)
@@ -41,8 +42,9 @@ def _heavy_cells(points: DataFrame, size: float, limit: int, depth: int) -> list
         rows = counts.filter(F.col("n") > limit).select("cx", "cy").collect()
         if not rows:
             break
-        cells = sorted((r.cx, r.cy) for r in rows)
-        levels.append(np.array(cells, dtype=np.int64))
+        cells = [(r.cx, r.cy) for r in rows]
+        (xs, x), (ys, y) = (np.unique(v, return_inverse=True) for v in np.array(cells).T)
+        levels.append((xs, ys, np.sort(x * len(ys) + y)))
         heavy = points.sparkSession.createDataFrame(cells, "hx long, hy long")
         inside = inside.join(
             F.broadcast(heavy), (cx == F.col("hx")) & (cy == F.col("hy")), "left_semi"
@@ -50,14 +52,20 @@ def _heavy_cells(points: DataFrame, size: float, limit: int, depth: int) -> list
     return levels
 
 
-def _is_heavy(levels: list[np.ndarray], level: int, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each asked value in a sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
+
+
+def _is_heavy(levels: list[tuple], level: int, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
     if level >= len(levels) or not len(cx):
         return np.zeros(len(cx), dtype=bool)
-    dtype = np.dtype([("x", np.int64), ("y", np.int64)])
-    known = np.ascontiguousarray(levels[level]).view(dtype).ravel()
-    asked = np.ascontiguousarray(np.stack([cx, cy], axis=1)).view(dtype).ravel()
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return known[at] == asked
+    columns, rows, cells = levels[level]
+    (x, has_x), (y, has_y) = _find(columns, cx), _find(rows, cy)
+    found = has_x & has_y
+    found[found] = _find(cells, x[found] * len(rows) + y[found])[1]
+    return found
 
 
 def _leaf_batch(levels, size, x, y):
@@ -77,7 +85,8 @@ def _leaf_batch(levels, size, x, y):
 
 
 def _candidate_batch(levels, size, radius, px, py):
-    """(probe index, level, cx, cy) of the leaves that can hold the nearest point of each probe.
+    """(probe index, level, cx, cy) of the leaves that can hold the nearest point of each probe,
+    and a distance beyond which no point of those leaves matters.
 
     A heavy cell is never empty, so the far corner of the closest one bounds the search.
     """
@@ -109,9 +118,10 @@ def _candidate_batch(levels, size, radius, px, py):
         cy = np.repeat(cy[down] * _CUT, len(children)) + np.tile(children[:, 1], len(down))
         level += 1
     if not found:
-        return np.zeros((4, 0), np.int64)
+        return np.zeros((4, 0), np.int64), np.zeros(0)
     leaves = np.concatenate(found, axis=1)
-    return leaves[:, np.concatenate(nearness) <= bound[leaves[0]]]
+    leaves = leaves[:, np.concatenate(nearness) <= bound[leaves[0]]]
+    return leaves, (bound * (1.0 + 1e-9) + 1e-9 * (np.abs(px) + np.abs(py)))[leaves[0]]
 
 
 def _finite(value: Column) -> Column:
@@ -172,13 +182,12 @@ def pick_nearest(
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, lvl, cx, cy = _candidate_batch(
-                levels, size, radius, b.column("px").to_numpy(), b.column("py").to_numpy()
-            )
+            px, py = b.column("px").to_numpy(), b.column("py").to_numpy()
+            (who, lvl, cx, cy), bound = _candidate_batch(levels, size, radius, px, py)
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [b.column(i).take(at) for i in range(3)] + [pa.array(lvl), pa.array(cx), pa.array(cy)],
-                names=["probe_id", "px", "py", "lvl", "cx", "cy"],
+                [b.column(i).take(at) for i in range(3)] + [pa.array(v) for v in (lvl, cx, cy, bound)],
+                names=["probe_id", "px", "py", "lvl", "cx", "cy", "bound"],
             )
 
     placed = spots.select("id", "x", "y").mapInArrow(
@@ -188,7 +197,10 @@ def pick_nearest(
     asked = (
         probes.filter(_finite(px) & _finite(py))
         .select(F.col("probe_id").cast("long"), px.alias("px"), py.alias("py"))
-        .mapInArrow(candidates, "probe_id long, px double, py double, lvl long, cx long, cy long")
+        .mapInArrow(
+            candidates,
+            "probe_id long, px double, py double, lvl long, cx long, cy long, bound double",
+        )
     )
     key = ["lvl", "cx", "cy"]
     hot = _hot_leaves(probes, asked, key)
@@ -205,13 +217,14 @@ def pick_nearest(
         )
         key = [*key, "part"]
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+    d2 = dx * dx + dy * dy
+    reach2 = F.least(F.lit(float(radius) * float(radius)), F.col("bound") * F.col("bound"))
     best = (
         asked.join(placed, key)
-        .withColumn("d2", dx * dx + dy * dy)
-        .filter(F.col("d2") <= F.lit(float(radius) * float(radius)))
-        .groupBy("probe_id")
-        .agg(F.max_by("id", F.struct(-F.col("d2"), F.col("id"))).alias("id"))
+        .select("probe_id", "id", d2.alias("d2"), reach2.alias("reach2"))
+        .filter(F.col("d2") <= F.col("reach2"))
+        .groupBy("probe_id").agg(F.max_by("id", F.struct(-F.col("d2"), F.col("id"))).alias("id"))
     )
-    return probes.select("probe_id").join(best, "probe_id", "left").select(
+    return probes.select(F.col("probe_id").cast("long")).join(best, "probe_id", "left").select(
         "probe_id", F.coalesce("id", F.lit(-1).cast("long")).alias("id")
     )

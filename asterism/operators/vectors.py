@@ -100,7 +100,7 @@ def assign_to(
 
     near = F.col("_near")
     return (
-        vectors.withColumn("_near", assign(V.as_vector(F.col("features"))))
+        vectors.withColumn("_near", assign.asNondeterministic()(V.as_vector(F.col("features"))))
         .withColumns({"cluster": near["cluster"], "d2": near["d2"]})
         .drop("_near")
     )

@@ -28,7 +28,7 @@ from ..operators.labels import join_terms, top_terms
 from ..operators.layout import per_cluster
 from ..operators.pca import Basis, fit_pca
 from ..schemas import CLUSTERS, POINTS
-from ..sources.lines import cap_lines, require_lines
+from ..sources.lines import cap_lines
 from ..sources.vectors import embed_hash
 
 
@@ -63,7 +63,7 @@ class FittedMap:
 
         spot = F.col("_spot")
         return (
-            items.withColumn("_spot", locate(as_vector(F.col("features"))))
+            items.withColumn("_spot", locate.asNondeterministic()(as_vector(F.col("features"))))
             .withColumns({"x": spot["x"], "y": spot["y"], "cluster": spot["cluster"]})
             .drop("_spot")
         )
@@ -135,7 +135,8 @@ class SemanticMap:
             return
         placed = model.place(items.select(F.col("id").cast("long"), "text", "features"))
         self.points = points if points is not None else placed.select("id", "text", "x", "y", "cluster")
-        self.clusters = name_clusters(placed.select("text", "cluster"), model.kmeans.sizes, top_n)
+        named = name_clusters(placed.select("text", "cluster"), model.kmeans.sizes, top_n)
+        self.clusters = per_cluster(named, self.k)
 
     @property
     def summary(self) -> DataFrame:
@@ -178,6 +179,7 @@ def build_map(
     seed: int = KMEANS_SEED,
     max_iter: int = KMEANS_MAX_ITER,
     top_n: int = LABEL_TERMS,
+    min_rows: int = 0,
 ) -> SemanticMap:
     """Map (id, text, features). Without k, the elbow of the inertia curve chooses it.
 
@@ -185,6 +187,9 @@ def build_map(
     from the input afterwards, one pass without a shuffle.
     """
     blocks = VectorBlocks.of(items.select("id", "features"))
+    if blocks.n < min_rows:
+        blocks.close()
+        raise ValueError(f"a map needs at least {min_rows} lines, got {blocks.n}")
     if blocks.n == 0:
         return SemanticMap(items, blocks, None, seed, max_iter, top_n)
     models: dict[int, KMeansModel] = {}
@@ -220,5 +225,4 @@ def map_documents(
     ``embed`` turns (id, text) into (id, text, features). Store its result first (``durable``)
     when it is costly.
     """
-    require_lines(docs, min_lines)
-    return build_map(line_items(docs, embed, max_lines), k, seed, max_iter, top_n)
+    return build_map(line_items(docs, embed, max_lines), k, seed, max_iter, top_n, min_lines)

@@ -32,6 +32,10 @@ def vector_stats(vectors: DataFrame) -> DataFrame:
     )
 
 
+# Embedding functions are declared nondeterministic although they are not: the optimizer then
+# never evaluates one a second time for a filter it derives from their result.
+
+
 def unit_rows(matrix: np.ndarray) -> pa.ListArray:
     """The rows scaled to unit length (zero rows stay) as an Arrow list array."""
     n, dim = matrix.shape
@@ -57,7 +61,7 @@ def _hash_embedder(dim: int):
         counts = np.bincount(row * dim + code % dim, weights=sign, minlength=n * dim)
         return unit_rows(counts.reshape(n, dim))
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def embed_hash(
@@ -107,5 +111,5 @@ def embed_with(
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
-        embed(F.col(text_col)).alias("features"),
+        embed.asNondeterministic()(F.col(text_col)).alias("features"),
     )
