@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from .blocks import list_matrix
 
 _BROADCAST_VALUES = 1 << 22  # probe values held by every task
 _TILE_ROWS = 8192
+_CELLS = 1 << 21  # similarities computed at once
 _DIGITS = 6
 
 _FOUND = "probe_id long, id long, similarity double"
@@ -23,20 +24,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size == 0.0, 1.0, size)[:, None]
 
 
-def _best(probe_ids, probes, ids, rows, k, skip_self):
-    """Top k (probe row, id, similarity) of one block, by (similarity down, id up)."""
-    sim = np.round(probes @ rows.T, _DIGITS) + 0.0
-    if skip_self:
-        sim[probe_ids[:, None] == ids[None, :]] = -np.inf
-    keep = min(k, len(ids))
-    order = np.argsort(ids, kind="stable")
-    sim, ids = sim[:, order], ids[order]
-    best = np.argsort(-sim, axis=1, kind="stable")[:, :keep]
-    who = np.repeat(np.arange(len(probe_ids)), keep)
-    found = best.ravel()
-    value = sim[who, found]
-    real = np.isfinite(value)
-    return probe_ids[who[real]], ids[found[real]], value[real]
+def _first_k(who: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
+    """The k best entries per probe, by (similarity down, id up)."""
+    order = np.lexsort((ids, -sims, who))
+    who, ids, sims = who[order], ids[order], sims[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], ids[keep], sims[keep]
+
+
+def _search(
+    probe_ids: np.ndarray,
+    probes: np.ndarray,
+    batches: Iterable[tuple[np.ndarray, np.ndarray]],
+    k: int,
+    skip_self: bool,
+):
+    """(probe id, id, similarity) of the k best rows per probe over all batches of (ids, rows).
+
+    Only rows that reach a probe's current k-th best are looked at again, and a product never has
+    more than _CELLS cells, so memory stays bounded by the probes.
+    """
+    who, found, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(probe_ids), -np.inf)
+    step = max(1, _CELLS // max(1, len(probe_ids)))
+    for ids, rows in batches:
+        for start in range(0, len(ids), step):
+            part = ids[start : start + step]
+            sim = np.round(probes @ _unit(rows[start : start + step]).T, _DIGITS) + 0.0
+            good = sim >= floor[:, None]
+            if skip_self:
+                good &= probe_ids[:, None] != part[None, :]
+            p, r = np.nonzero(good)
+            who, found, sims = _first_k(
+                np.concatenate([who, p]), np.concatenate([found, part[r]]), np.concatenate([sims, sim[p, r]]), k
+            )
+            full = np.flatnonzero(np.bincount(who, minlength=len(floor)) == k)
+            floor[full] = sims[np.searchsorted(who, full, side="right") - 1]
+    return probe_ids[who], found, sims
 
 
 def _batch(probe_ids, ids, value) -> pa.RecordBatch:
@@ -52,7 +76,7 @@ def topk_similar(
     """(probe_id, rank, id, similarity): for each of ``probes`` the k most similar ``vectors``.
 
     Both frames are (id, features). Similarity is the cosine rounded to 6 decimals (0 for a zero
-    vector); ties go to the lower id. Every block keeps only its own k best per probe before
+    vector); ties go to the lower id. Every task keeps only its own k best per probe before
     anything is shuffled. Few probes are broadcast after a check of their size; otherwise both
     sides are cut into tiles of bounded size and joined tile by tile.
     """
@@ -76,11 +100,9 @@ def _by_broadcast(left: DataFrame, right: DataFrame, k: int, skip_self: bool) ->
     matrix = _unit(list_matrix(table.column("features").combine_chunks())) if len(table) else np.zeros((0, 0))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b) and len(probe_ids):
-                yield _batch(*_best(
-                    probe_ids, matrix, b.column(0).to_numpy(), _unit(list_matrix(b.column(1))), k, skip_self
-                ))
+        if len(probe_ids):
+            rows = ((b.column(0).to_numpy(), list_matrix(b.column(1))) for b in batches if len(b))
+            yield _batch(*_search(probe_ids, matrix, rows, k, skip_self))
 
     return right.mapInArrow(search, _FOUND)
 
@@ -104,10 +126,12 @@ def _by_tiles(
 
     def search(probes: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(probes) or not len(rows):
-            return pa.table({"probe_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        x, y = (_unit(list_matrix(t.column("features").combine_chunks())) for t in (probes, rows))
+            none = np.zeros(0, np.int64)
+            return pa.Table.from_batches([_batch(none, none, np.zeros(0))])
+        x, y = (list_matrix(t.column("features").combine_chunks()) for t in (probes, rows))
+        batches = [(rows.column("id").to_numpy(), y)]
         return pa.Table.from_batches(
-            [_batch(*_best(probes.column("id").to_numpy(), x, rows.column("id").to_numpy(), y, k, skip_self))]
+            [_batch(*_search(probes.column("id").to_numpy(), _unit(x), batches, k, skip_self))]
         )
 
     return tiles.applyInArrow(search, _FOUND)
