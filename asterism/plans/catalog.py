@@ -20,7 +20,7 @@ from ..operators.pca import fit_pca
 from ..operators.similar import topk_similar
 from ..sources import lines
 from ..sources.tables import read_texts
-from ..sources.vectors import HASH_DIM, embed_hash, load_vectors
+from ..sources.vectors import embed_hash, load_vectors
 from .semantic_map import FittedMap, SemanticMap, build_map, map_documents
 from .semantic_map import cluster_sizes as sizes_of
 

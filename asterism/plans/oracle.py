@@ -9,8 +9,9 @@ from ..constants import (
     TURN_ANGLE, WHITESPACE,
 )
 from ..functions.draws import sql_exponential
+from ..sources.vectors import HASH_DIM
 from .catalog import (
-    BOX, CAP, FIXED_K, HASH_DIM, LINE_K, MAX_ITER, RADIUS, RECLUSTER_K, SEEDS, TOP_K, TURN, TURNS,
+    BOX, CAP, FIXED_K, LINE_K, MAX_ITER, RADIUS, RECLUSTER_K, SEEDS, TOP_K, TURN, TURNS,
 )
 
 _WS = "".join(f"\\x{{{ord(c):04x}}}" for c in WHITESPACE)

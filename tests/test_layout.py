@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from asterism.operators import layout, nearest_point
 from asterism.operators.blocks import VectorBlocks

@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from asterism.operators import export
 from asterism.plans.semantic_map import FittedMap, build_map, clamp_k, map_documents
