@@ -12,6 +12,8 @@ a text below ``guarantee(k)`` bytes is one window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,50 +128,49 @@ def spliced(a: Column, a_bytes: Column, b: Column, b_bytes: Column, seam: Column
     ))
 
 
-def with_next(rows: DataFrame, carried: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(
+    rows: DataFrame, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Each row with ``carried`` columns of the next one (``next_*``) by (doc_id, text); the last gets the first.
 
     Ids are cut into at most MOST_CELLS ranges. A window works inside a range; the first row
-    of every range (the heads, a bounded share of rows) is joined to the range before it.
+    of every range (the heads, a bounded share of rows) is joined to the range before it. ``derive``
+    adds columns row by row after the shuffle, so that they are not moved.
     """
     order = F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))
     low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
     cells = min(MOST_CELLS, max(1, (n or 0) // ROWS_PER_CELL))
-    width = -(-((high or 0) - (low or 0) + 1) // cells)
-    if width < 1 << 63:
-        cell = F.expr(
-            f"(coalesce(`{doc_id}`, -9223372036854775807L - 1) div {width}L)"
-            f" - if(coalesce(`{doc_id}`, -9223372036854775807L - 1) % {width}L < 0, 1, 0)"
-        )
-    else:
-        cell = F.lit(0)
-    celled = rows.withColumns({"cell": cell.cast("bigint"), "place": order})
+    width = min(-(-((high or 0) - (low or 0) + 1) // cells), (1 << 63) - 1)
+    cell = F.expr("place div {0}L - if(place % {0}L < 0, 1, 0)".format(width))
+    celled = rows.withColumn("place", order).withColumn("cell", cell)
     starts = celled.groupBy("cell").agg(F.min("place").alias("place"))
-    every = Window.partitionBy(F.lit(0)).orderBy("cell")
+    every = Window.partitionBy(F.lit(0))
     links = starts.select(
         "cell", "place",
-        F.coalesce(F.lag("cell").over(every), F.max("cell").over(Window.partitionBy(F.lit(0)))).alias("before"),
+        F.coalesce(F.lag("cell").over(every.orderBy("cell")), F.max("cell").over(every)).alias("before"),
     )
-    packed = F.struct(*carried).alias("head")
+    # at most MOST_CELLS rows of three numbers
+    first = celled.join(F.broadcast(links), ["cell", "place"]).select("before", *rows.columns)
     heads = (
-        celled.join(links, ["cell", "place"]).select("before", text, packed)
-        .withColumn("rank", F.row_number().over(Window.partitionBy("before").orderBy(text)))
-        .filter("rank = 1").select(F.col("before").alias("cell"), "head")
+        derive(first.withColumn("rank", F.row_number().over(Window.partitionBy("before").orderBy(text))).filter("rank = 1"))
+        .select(F.col("before").alias("cell"), F.struct(*carried).alias("head"))
     )
     inside = Window.partitionBy("cell").orderBy("place", text)
-    led = celled.withColumn("led", F.lead(F.struct(*carried)).over(inside))
+    led = derive(celled.repartition("cell")).withColumn("led", F.lead(F.struct(*carried)).over(inside))
     joined = led.join(heads, "cell", "left").withColumn("then", F.coalesce("led", "head"))
-    return joined.select(*rows.columns, *(F.col(f"then.{c}").alias(f"next_{c}") for c in carried))
+    own = [c for c in led.columns if c not in ("cell", "place", "led")]
+    return joined.select(*own, *(F.col(f"then.{c}").alias(f"next_{c}") for c in carried))
 
 
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Fingerprint of each text and of its edited text, and how like they and the next document are.
 
     The edited text has its last floor(n / 2) characters replaced by the first as many (or all) of
-    the next document. Only (doc_id, text, picks) are read and shuffled, once.
+    the next document. Only (doc_id, text) are read and shuffled, once.
     """
-    rows = fingerprint(docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text")), "text", k)
-    pairs = with_next(rows, ["text", "picks"])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
+    pairs = with_next(rows, ["text", "picks"], lambda df: fingerprint(df, "text", k))
     n = F.char_length("text")
     reach = guarantee(k) - 1
     half = pairs.select(
