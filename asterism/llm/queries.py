@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
+from .packing import pack_documents
+from .piece_tokens import encode_pieces
+
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fingerprints(spark, folder):
     found = fingerprint_edits(table(spark, folder, "documents"))
     return found.select(
@@ -30,6 +42,14 @@ def line_dedup(spark, folder):
     )
 
 
+def best_fit_packing(spark, folder):
+    return pack_documents(table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY))
+
+
+def piece_tokens(spark, folder):
+    return encode_pieces(table(spark, folder, "documents"), vocabulary(PIECE_VOCABULARY), with_ids=False)
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -48,7 +68,9 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": fingerprints,
+    "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
+    "op7_piece_tokens": piece_tokens,
 }
 
 ORACLE: dict[str, str] = {
