@@ -98,10 +98,8 @@ class _Fillings:
 
     def _refresh(self) -> None:
         self.there = self.left > 0
-        here = np.flatnonzero(self.there)
-        self.pair_sums = np.zeros(2 * len(self.left), bool)
-        for a in here:
-            self.pair_sums[a + here] = True
+        marks = self.there.astype(np.float32)
+        self.pair_sums = np.convolve(marks, marks) > 0.5
 
     def take(self, combination: tuple[int, ...], times: int) -> None:
         for length in combination:

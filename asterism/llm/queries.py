@@ -12,6 +12,8 @@ from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .piece_tokens import encode_pieces
+from .secrets import find_secrets
+from .topk_join import topk_inner, whole_vectors
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -50,6 +52,31 @@ def piece_tokens(spark, folder):
     return encode_pieces(table(spark, folder, "documents"), vocabulary(PIECE_VOCABULARY), with_ids=False)
 
 
+def _digests(spans: DataFrame, base: tuple[str, ...], by_kind: bool) -> DataFrame:
+    """Counts and digests of spans (kind, start, end); base kinds are ordered as listed."""
+    key = ["cast({} as bigint) as a", "s.start as b"] if by_kind else ["s.start as a", "cast({} as bigint) as b"]
+    listed = "array({})".format(", ".join(f"'{k}'" for k in base))
+    order = ", ".join(k.format(f"if(array_contains({listed}, s.kind), array_position({listed}, s.kind), 99)") for k in key)
+    text = "concat_ws(':', s.kind, s.start, s.end)"
+    ordered = f"transform(array_sort(transform({{0}}, s -> struct({order}, s.end as c, {text} as t))), x -> x.t)"
+    inside = f"filter(spans, s -> array_contains({listed}, s.kind))"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in base]
+    return spans.select(
+        "doc_id", *counts,
+        F.sha2(F.expr(f"array_join({ordered.format(inside)}, ',')"), 256).alias("base_sha256"),
+        F.expr(f"array_join({ordered.format('spans')}, ',')").alias("spans"),
+    )
+
+
+def secret_scans(spark, folder):
+    return _digests(find_secrets(table(spark, folder, "documents")), ("assign", "access", "hex"), by_kind=False)
+
+
+def topk_search(spark, folder):
+    rows = whole_vectors(table(spark, folder, "embeddings"))
+    return topk_inner(rows, rows.filter("id % 20 = 0"), 20)
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -71,8 +98,25 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
     "op7_piece_tokens": piece_tokens,
+    "op9_secret_scans": secret_scans,
+    "op10_topk_search": topk_search,
 }
 
+TOPK_SQL = """
+WITH whole AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM (SELECT * FROM whole WHERE vec_id % 20 = 0) q JOIN whole x ON q.vec_id <> x.vec_id),
+ranked AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+         vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
+    "op10_topk_search": TOPK_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
 }
