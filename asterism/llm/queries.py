@@ -12,6 +12,7 @@ from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .piece_tokens import encode_pieces
+from .quality import score_quality
 from .secrets import find_secrets
 from .topk_join import topk_inner, whole_vectors
 
@@ -44,6 +45,11 @@ def line_dedup(spark, folder):
     )
 
 
+def quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def best_fit_packing(spark, folder):
     return pack_documents(table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY))
 
@@ -95,6 +101,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": fingerprints,
+    "op3_quality_classifier": quality_classifier,
     "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
     "op7_piece_tokens": piece_tokens,
