@@ -11,6 +11,8 @@ from .common import table
 from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .personal import BASE as PERSONAL_BASE
+from .personal import find_personal
 from .piece_tokens import encode_pieces
 from .quality import score_quality
 from .secrets import find_secrets
@@ -74,6 +76,10 @@ def _digests(spans: DataFrame, base: tuple[str, ...], by_kind: bool) -> DataFram
     )
 
 
+def personal_data(spark, folder):
+    return _digests(find_personal(table(spark, folder, "documents")), PERSONAL_BASE, by_kind=True)
+
+
 def secret_scans(spark, folder):
     return _digests(find_secrets(table(spark, folder, "documents")), ("assign", "access", "hex"), by_kind=False)
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
     "op7_piece_tokens": piece_tokens,
+    "op8_personal_data": personal_data,
     "op9_secret_scans": secret_scans,
     "op10_topk_search": topk_search,
 }
