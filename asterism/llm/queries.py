@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
+from .ngram_join import near_groups
 from .packing import pack_documents
 from .personal import BASE as PERSONAL_BASE
 from .personal import find_personal
@@ -47,6 +48,10 @@ def line_dedup(spark, folder):
     )
 
 
+def ngram_join(spark, folder):
+    return near_groups(table(spark, folder, "documents"))
+
+
 def quality_classifier(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score_quality(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -107,6 +112,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": fingerprints,
+    "op2_ngram_join": ngram_join,
     "op3_quality_classifier": quality_classifier,
     "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
