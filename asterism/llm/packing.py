@@ -12,13 +12,15 @@ places of their own; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
-import os
+import base64
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,18 +36,37 @@ MOST_GROUPS = 1 << 14
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _word_encoder(path: str):
-    """Ids of words with a byte-level vocabulary; strings of special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the unit of work
-    from tokenizers import Tokenizer
+# Fixed value: how byte-level vocabularies of this kind split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+
+def word_encoder(path: str):
+    """Ids of words with a byte-level vocabulary; strings of special tokens are ordinary text.
+
+    Words that start with a space and end visibly are encoded as one text: no token crosses from
+    one to the next, so the bytes of the tokens tell where each word ends.
+    """
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    model = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(token) for token in ranks]
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.int64, int(lengths.sum())), lengths
+        plain = np.array([w[0] == " " and not w[-1].isspace() for w in words], bool)
+        joined = [w for w, p in zip(words, plain, strict=True) if p]
+        others = [model.encode_ordinary(w) for w, p in zip(words, plain, strict=True) if not p]
+        ids = np.array(model.encode_ordinary("".join(joined)), np.int64)
+        ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy(zero_copy_only=False))
+        upto = np.searchsorted(np.cumsum(size[ids]), ends, side="right")
+        lengths = np.zeros(len(words), np.int64)
+        lengths[plain] = np.diff(upto, prepend=0)
+        lengths[~plain] = [len(x) for x in others]
+        owner = np.repeat(np.arange(len(words)), lengths)
+        flat = np.zeros(len(owner), np.int64)
+        flat[plain[owner]] = ids
+        flat[~plain[owner]] = [i for x in others for i in x]
+        return flat, lengths
 
     return encode
 
@@ -57,7 +78,7 @@ def token_pieces(
     """One row per piece: its document's ids cut so that only the first piece is shorter than ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(_word_encoder(path))
+        coder = WordIds(word_encoder(path))
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 ids, offsets = coder(batch.column("text"))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -184,7 +185,7 @@ def _joined(ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """The ids of each text in decimal digits, with commas."""
     digits = pa.array(ids).cast(pa.string())
     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), digits)
-    return pa.compute.binary_join(lists, ",").cast(pa.binary()).to_pylist()
+    return pc.binary_join(lists, ",").cast(pa.binary()).to_pylist()
 
 
 def encode_pieces(
@@ -206,9 +207,9 @@ def encode_pieces(
         coder = WordIds(pieces.encode_words)
         for whole in batches:
             for batch in slices(whole, "__text", 2 << 20):
-                texts = pa.compute.fill_null(batch.column("__text"), "")
-                empty = pa.compute.equal(texts, "")
-                spaced = pa.compute.if_else(empty, "", pa.compute.binary_join_element_wise(" ", texts, ""))
+                texts = pc.fill_null(batch.column("__text"), "")
+                empty = pc.equal(texts, "")
+                spaced = pc.if_else(empty, "", pc.binary_join_element_wise(" ", texts, ""))
                 ids, offsets = coder(spaced)
                 decoded = pieces.decode(ids, offsets)
                 columns = [batch.column(c) for c in keep] + [

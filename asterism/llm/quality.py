@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +89,7 @@ def features(texts: pa.Array) -> np.ndarray:
     pair_counts = np.maximum(counts - 1, 0)
     _, pair_codes = np.unique(pairs[inside], return_inverse=True)
 
-    lines = pa.compute.split_pattern(pa.compute.fill_null(texts, ""), "\n")
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     line_counts = lines.value_lengths().to_numpy(zero_copy_only=False)
     line_codes = lines.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 

@@ -19,7 +19,7 @@ from .quality import score_quality
 from .secrets import find_secrets
 from .topk_join import topk_inner, whole_vectors
 
-BYTE_VOCABULARY = "byte_bpe_50k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]

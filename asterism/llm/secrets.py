@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -129,8 +130,8 @@ def _searched(batches: Iterator[pa.RecordBatch], column: str):
     find = _finder()
     for whole in batches:
         for batch in slices(whole, column):
-            texts = pa.compute.fill_null(batch.column(column), "")
-            maybe = [pa.compute.match_substring_regex(texts, p).to_pylist() for p in _MAYBE.values()]
+            texts = pc.fill_null(batch.column(column), "")
+            maybe = [pc.match_substring_regex(texts, p).to_pylist() for p in _MAYBE.values()]
             flags = list(zip(*maybe, strict=True))
             strings = texts.to_pylist()
             yield batch, strings, [find(t, f) if any(f) else [] for t, f in zip(strings, flags, strict=True)]

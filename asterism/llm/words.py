@@ -26,7 +26,8 @@ def space_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     begins = visible | (data == 0xC3)
     start = np.zeros(n, bool)
     feed = data == 0x0A
-    start[1:] = ((data[1:] == 0x20) | feed[1:]) & ends[:-1] | begins[1:] & feed[:-1]
+    start[1:] = ((data[1:] == 0x20) | feed[1:]) & ends[:-1]
+    start[2:] |= begins[2:] & feed[1:-1] & ends[:-2]
     filled = offsets[:-1][offsets[1:] > offsets[:-1]]
     start[filled] = True
     at = np.flatnonzero(start)
