@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15
@@ -19,9 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _WORD(31))
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_WORD) * _WORD(_ODD))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=_WORD) * _WORD(_ODD))
 
 
 class RangeHash:
@@ -31,7 +27,7 @@ class RangeHash:
         n = len(data)
         base = _ODD | 1
         self.inverse = _powers(pow(base, -1, 1 << 64), n + 1)
-        self.sums = np.concatenate([np.zeros(1, _WORD), np.cumsum(byte_values()[data] * _powers(base, n))])
+        self.sums = np.concatenate([np.zeros(1, _WORD), np.cumsum(BYTE_VALUES[data] * _powers(base, n))])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_WORD))

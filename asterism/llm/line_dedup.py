@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower, text_or_empty
+from .common import WHITE, ascii_lower, stored, text_or_empty
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -48,7 +48,8 @@ def dedup_lines(
     seen = docs.select(
         F.col(doc_id).alias("id"), F.explode(F.array_compact(F.array_distinct(hashed))).alias("h")
     ).select("h.h1", "h.h2", F.struct("id").alias("id"))
-    frequent = seen.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= min_docs)
+    counted = seen.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).filter(F.col("n") >= min_docs)
+    frequent = stored(counted.select("h1", "h2"))  # a table of its own lets Spark split a hot key in the join
     at = docs.select(row.alias("r"), F.posexplode(hashed).alias("pos", "h")).filter("h IS NOT NULL")
     dropped = (
         at.select("r.id", "r.t", "pos", "h.h1", "h.h2").join(frequent, ["h1", "h2"])

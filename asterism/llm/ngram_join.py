@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored, text_bytes
 from .components import components
 from .hashing import RangeHash, mix
+from .marks import only_marked
 
 WORDS = 5
 UP, DOWN = 3, 4
@@ -40,7 +41,6 @@ SPARE = 16  # the prefix holds n // SPARE shingles more than one shared shingle
 FINE_SPARE = 4
 ENTRIES_PER_BUCKET = 400_000
 BLOCK = 512
-MARKS = 1 << 25
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -309,34 +309,6 @@ def _group_links(active: DataFrame) -> DataFrame:
     return met.groupBy("group", "low", "high").applyInArrow(run, _LINKS)
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose hashed id is marked; a bitmap of MARKS bits (4 MB) that lets all ids in ``ids`` pass.
-
-    Others that pass are removed by a join later; with very many ids it only passes more.
-    """
-    spot = F.pmod(F.xxhash64(F.col("id")), F.lit(MARKS))
-    rows = (
-        ids.select((spot + 1).alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
-    )
-    bits = np.zeros(MARKS // 8 + 4096 * 2, np.uint8)
-    for r in rows:
-        part = np.frombuffer(r.bits, np.uint8)
-        at = (r.bucket - 1) * 4096
-        bits[at : at + len(part)] = part
-    marks = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = marks.value
-        for batch in batches:
-            spots = batch.column("spot").to_numpy()
-            # bucket b, from 1, holds 32,768 spots, the lowest bit of a byte first
-            yield batch.filter(pa.array((known[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
-
-    placed = docs.withColumn("id", F.col("doc_id")).select("doc_id", "text", spot.alias("spot"))
-    return placed.mapInArrow(run, "doc_id long, text string")
-
-
 def _buckets(total: int | None) -> int:
     return max(1, -(-(total or 0) // ENTRIES_PER_BUCKET))
 
@@ -391,7 +363,7 @@ def _open_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["id", "n", "ref", "shingles"],
             )
 
-    found = _marked(docs, wanted.select("id")).mapInArrow(run, "id long, n long, ref long, shingles binary")
+    found = only_marked(docs, "doc_id", wanted.select(F.col("id").alias("doc_id"))).mapInArrow(run, "id long, n long, ref long, shingles binary")
     return found.join(wanted.select("id", "ref"), ["id", "ref"]).select("id", "n", "shingles").dropDuplicates(["id"])
 
 

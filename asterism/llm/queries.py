@@ -17,6 +17,7 @@ from .personal import find_personal
 from .piece_tokens import encode_pieces
 from .quality import score_quality
 from .secrets import find_secrets
+from .suffix_dedup import drop_repeats
 from .topk_join import topk_inner, whole_vectors
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
@@ -61,6 +62,10 @@ def best_fit_packing(spark, folder):
     return pack_documents(table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY))
 
 
+def suffix_dedup(spark, folder):
+    return drop_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def piece_tokens(spark, folder):
     return encode_pieces(table(spark, folder, "documents"), vocabulary(PIECE_VOCABULARY), with_ids=False)
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": quality_classifier,
     "op4_best_fit_packing": best_fit_packing,
     "op5_line_dedup": line_dedup,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_piece_tokens": piece_tokens,
     "op8_personal_data": personal_data,
     "op9_secret_scans": secret_scans,
