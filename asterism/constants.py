@@ -32,6 +32,3 @@ BOX_PAD = 48.0
 PICK_RADIUS = 14.0
 TURN_ANGLE = 2.399963
 EXPORT_COLUMNS = ("line", "cluster", "label", "x", "y")
-
-# A line's id is doc_id * 2**LINE_BITS + its position in the document.
-LINE_BITS = 26

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LINE_BITS, STOPWORDS, WHITESPACE
+from ..constants import STOPWORDS, WHITESPACE
 
 _TRIM = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
 # A line from its first to its last visible character.
@@ -15,7 +15,7 @@ _LINE = rf"[^{WHITESPACE}](?:[^\n]*[^{WHITESPACE}])?"
 _CHAR = r"[\p{L}\p{N}']"
 _ASTRAL = r"[\x{10000}-\x{10FFFF}&&[\p{L}\p{N}]]"
 _TERM = (
-    rf"(?!\p{{N}}+(?!{_CHAR}))(?:{_CHAR}{{3,}}|{_ASTRAL}{_CHAR}|{_CHAR}{_ASTRAL})"
+    rf"(?<!{_CHAR})(?!\p{{N}}++(?!{_CHAR}))(?:{_CHAR}{{3,}}|{_ASTRAL}{_CHAR}|{_CHAR}{_ASTRAL})"
 )
 
 
@@ -47,17 +47,13 @@ def distinct_terms(text: Column) -> Column:
     return F.array_except(_words(text), F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
-def line_id(doc_id: Column, pos: Column) -> Column:
-    """One BIGINT per line, ordered as (doc_id, pos)."""
-    packed = F.shiftleft(doc_id.cast("long"), LINE_BITS).bitwiseOR(pos.cast("long"))
-    return F.when(pos < 2**LINE_BITS, packed).otherwise(
-        F.raise_error(F.lit(f"a document has more than {2**LINE_BITS} lines")).cast("long")
-    )
-
-
 def round4(value: Column) -> Column:
-    """Round to 4 decimals, halves towards plus infinity."""
-    return F.floor(value * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
+    """Round to 4 decimals, halves towards plus infinity.
+
+    Numbers from 9e11 on have no more than 4 decimals; they stay, like values that are not finite.
+    """
+    rounded = F.floor(value * F.lit(1e4) + F.lit(0.5)) / F.lit(1e4)
+    return F.when(F.abs(value) < 9e11, rounded).otherwise(value)
 
 
 def number_text(value: Column) -> Column:

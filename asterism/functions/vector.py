@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _fold(terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once although f uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _fold(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -34,11 +41,9 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0.0, a).otherwise(F.transform(a, lambda x: x / n))
+    return _once(norm(a), lambda n: F.when(n == 0.0, a).otherwise(F.transform(a, lambda x: x / n)))
 
 
 def remove_component(a: Column, direction: Column) -> Column:
     """a without its part along ``direction`` (a unit vector)."""
-    p = dot(a, direction)
-    return F.zip_with(a, direction, lambda x, w: x - p * w)
+    return _once(dot(a, direction), lambda p: F.zip_with(a, direction, lambda x, w: x - p * w))

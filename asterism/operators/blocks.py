@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 GRID_BITS = 52
 _LOW32 = (1 << 32) - 1
 _MERGE_WIDTH = 64
+_TASK_BYTES = 256 << 20  # of states in one merging task
 _DRIVER_BYTES = 64 << 20
 _SPREAD_BYTES = 4 << 20
 
@@ -65,9 +66,14 @@ def limbs(values: np.ndarray, exponent: int, width: int, count: int) -> list[np.
 # ---- matrices and Arrow ------------------------------------------------------------------------
 
 
-def list_matrix(column: pa.Array) -> np.ndarray:
-    """n x d matrix of a list<double> column whose lists all have one length."""
+def list_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """n x d matrix of a list<double> column; missing lists and lists of another length are an error."""
     n = len(column)
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    dim = dim if dim is not None else int(sizes[0]) if n else 0
+    if n and (sizes != dim).any():
+        wrong = sorted({int(x) for x in sizes[sizes != dim]})[:3]
+        raise ValueError(f"vectors must have {dim} values, found {wrong} (-1: no vector)")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
@@ -196,8 +202,9 @@ class VectorBlocks:
 
         states = self.df.mapInArrow(run, "state binary")
         width = self.width
+        fan = max(2, min(_MERGE_WIDTH, _TASK_BYTES // state_bytes))  # states one task merges
         while width > _MERGE_WIDTH or (width > 1 and width * state_bytes > _DRIVER_BYTES):
-            width = -(-width // _MERGE_WIDTH)
+            width = -(-width // fan)
             states = states.repartition(width).mapInArrow(combine, "state binary")
         total = None
         for row in states.collect():

@@ -93,22 +93,33 @@ def write_json(points: DataFrame, clusters: DataFrame, k: int, path: str) -> Non
     spark.createDataFrame([(k,)], "k int").coalesce(1).write.json(f"{path}/summary")
 
 
-_DOCUMENT_ROWS = 100_000
-
-
-def json_document(points: DataFrame, clusters: DataFrame, k: int) -> str:
-    """One JSON document {k, clusters, points} of a map of at most 100,000 points."""
-    n = points.count()
-    if n > _DOCUMENT_ROWS:
-        raise ValueError(f"{n} points are too many for one document; use write_json")
-    body = export_json(export_rows(points, clusters, keep=("id",)), keep=("id",))
-    groups = clusters.select(
-        "id",
+def json_clusters(clusters: DataFrame) -> DataFrame:
+    """(id, record): one JSON object per cluster."""
+    return clusters.select(
+        F.col("id").cast("long").alias("id"),
         _object(
             _member("id", F.col("id").cast("string")),
             _member("label", json_string(F.col("label"))),
             _member("size", F.col("size").cast("string")),
         ).alias("record"),
     )
-    listed = [",".join(r.record for r in df.orderBy("id").collect()) for df in (groups, body)]
-    return f'{{"k":{k},"clusters":[{listed[0]}],"points":[{listed[1]}]}}'
+
+
+def json_document(points: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    """(part, id, record): the pieces of one JSON document {k, clusters, points}.
+
+    The records in order of (part, id), joined, are the document. They are made row by row, so the
+    number of points does not matter; a comma precedes every cluster and point but the first.
+    """
+    spark = points.sparkSession
+    body = export_json(export_rows(points, clusters, keep=("id",)), keep=("id",))
+    first_cluster, first_point = clusters.agg(F.min("id")).first()[0], points.agg(F.min("id")).first()[0]
+
+    def listed(rows: DataFrame, part: int, first) -> DataFrame:
+        comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
+        return rows.select(F.lit(part).alias("part"), "id", F.concat(comma, "record").alias("record"))
+
+    frame = spark.createDataFrame(
+        [(0, 0, f'{{"k":{k},"clusters":['), (2, 0, '],"points":['), (4, 0, "]}")], "part int, id long, record string"
+    )
+    return frame.union(listed(json_clusters(clusters), 1, first_cluster)).union(listed(body, 3, first_point))

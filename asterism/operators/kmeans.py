@@ -26,6 +26,7 @@ from .blocks import (
     to_float,
 )
 
+TIE = 1e-9
 _KEPT = 16  # race entrants each task reports per step
 _HALF = GRID_BITS // 2
 _ROWS = 4096  # rows per matrix product, so that its parts stay in the processor's cache
@@ -43,16 +44,16 @@ def squared_distance(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 def nearest_in(x: np.ndarray, models: Sequence[np.ndarray]) -> list[np.ndarray]:
     """Per model (k x d centres), the index of the nearest centre per row; low indexes win ties.
 
-    One matrix product ranks the centres of all models; rows whose best two lie within its rounding
-    error are decided again from plain differences, so the answer never depends on how rows are
-    batched.
+    Distances within TIE times the largest length here count as equal. One matrix product ranks the
+    centres of all models; rows whose best two lie near each other are decided again from plain
+    differences, so the answer never depends on how rows are batched.
     """
     every = np.vstack(models)
     c2 = np.einsum("ij,ij->i", every, every)
     scores = (-2.0 * every) @ x.T
     scores += c2[:, None]
     lengths = np.sqrt(np.einsum("ij,ij->i", x, x))
-    ulps = 8.0 * (x.shape[1] + 4) * np.finfo(float).eps
+    near = 8.0 * (x.shape[1] + 4) * np.finfo(float).eps + 4.0 * TIE
     found, start = [], 0
     for centres in models:
         k = len(centres)
@@ -63,12 +64,12 @@ def nearest_in(x: np.ndarray, models: Sequence[np.ndarray]) -> list[np.ndarray]:
         for c in range(1, k):
             own[part[c] < best] = c
             np.minimum(best, part[c], out=best)
-        best += ulps * reach * reach
+        best += near * reach * reach
         close = np.flatnonzero((part <= best).sum(axis=0) > 1)
         if len(close):
             rows = x[close]
             exact = np.stack([np.sqrt(squared_distance(rows, c)) for c in centres])
-            own[close] = exact.argmin(axis=0)
+            own[close] = (exact <= exact.min(axis=0) + TIE * reach[close]).argmax(axis=0)
         found.append(own)
     return found
 

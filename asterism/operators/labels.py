@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EMPTY_LABEL, LABEL_SEPARATOR, LABEL_TERMS
 from ..functions.text import distinct_terms
+from ..session import durable
 
 
 def valid_assignments(df: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:
@@ -25,14 +26,16 @@ def term_df(
 
     Texts become terms row by row; counts are combined on the map side before the shuffle, so a
     group or a term that fills much of the data costs no more than any other. ``df`` is summed
-    from the per-group counts, not from a second scan.
+    from the per-group counts, combined by term, and joined back, so that a term of very many
+    groups is a key that Spark can split.
     """
     per_group = (
         _assigned(df, group, k)
         .select(group, F.explode(distinct_terms(F.col(text))).alias("term"))
         .groupBy(group, "term").agg(F.count("*").alias("tf"))
     )
-    return per_group.withColumn("df", F.sum("tf").over(Window.partitionBy("term")))
+    totals = per_group.groupBy("term").agg(F.sum("tf").alias("df"))
+    return per_group.join(totals, "term").select(group, "term", "tf", "df")
 
 
 def top_terms(
@@ -91,9 +94,11 @@ def label_groups(
 
     Groups without any term are called "misc".
     """
-    named = join_terms(top_terms(df, group, text, k, top_n), group)
+    counts = durable(df.groupBy(group).agg(F.count("*").alias("n")))  # both N and the groups
+    n_texts = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = join_terms(top_terms(df, group, text, k, top_n, n_texts), group)
     if k is None:
-        groups = df.filter(F.col(group).isNotNull()).select(group).distinct()
+        groups = counts.filter(F.col(group).isNotNull()).select(group)
     else:
         ids = df.sparkSession.range(k)
         groups = ids.select(F.col("id").cast(df.schema[group].dataType).alias(group))

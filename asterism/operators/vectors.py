@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import durable
 from .blocks import VectorBlocks, list_matrix, moments, on_grid
 from .kmeans import nearest
 
@@ -61,17 +62,24 @@ def remove_component(
     return vectors.withColumn(features, V.remove_component(F.col(features), axis))
 
 
-# Centroids are held by every task, so their number of values is bounded.
-_MAX_CENTROID_VALUES = 1 << 22
+# Centroids held by every task at a time; more of them are met in several passes.
+_TILE_VALUES = 1 << 22
 
 
-def centroid_matrix(centroids: DataFrame) -> tuple[list, np.ndarray]:
-    """(cluster ids, k x d matrix) ordered by cluster id, after a check of its size."""
+def centroid_tiles(centroids: DataFrame, tile_values: int = _TILE_VALUES) -> Iterator[tuple[list, np.ndarray]]:
+    """(cluster ids, k x d matrix) in order of cluster id, at most ``tile_values`` numbers at a time."""
     k, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    if k == 0 or k * dim > _MAX_CENTROID_VALUES:
-        raise ValueError(f"cannot hold {k} centroids of {dim} values in every task")
-    rows = centroids.select("cluster", "centroid").orderBy("cluster").collect()
-    return [r.cluster for r in rows], np.array([r.centroid for r in rows], dtype=float)
+    if k == 0:
+        raise ValueError("there are no centroids")
+    per_tile = max(1, tile_values // dim)
+    ids = [r.cluster for r in centroids.select("cluster").orderBy("cluster").collect()] if k > per_tile else []
+    for start in range(0, k, per_tile):
+        tile = centroids
+        if ids:
+            part = ids[start : start + per_tile]
+            tile = centroids.filter(F.col("cluster").between(part[0], part[-1]))
+        rows = tile.select("cluster", "centroid").orderBy("cluster").collect()
+        yield [r.cluster for r in rows], np.array([r.centroid for r in rows], dtype=float)
 
 
 def assign_to(
@@ -89,7 +97,7 @@ def assign_to(
         if not len(features):
             own, d2 = np.zeros(0, dtype=np.int64), np.zeros(0)
         else:
-            x = list_matrix(features)
+            x = list_matrix(features, centres.shape[1])
             x = x if exponent is None else on_grid(x, exponent)
             own = nearest(x, centres)
             diff = x - centres[own]
@@ -106,10 +114,25 @@ def assign_to(
     )
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``vectors`` plus (cluster, d2): the closest of (cluster, centroid); low ids win ties."""
-    labels, matrix = centroid_matrix(centroids)
-    return assign_to(vectors, matrix, labels=labels)
+def nearest_centroid(
+    vectors: DataFrame, centroids: DataFrame, tile_values: int = _TILE_VALUES
+) -> DataFrame:
+    """``vectors`` plus (cluster, d2): the closest of (cluster, centroid); low ids win ties.
+
+    Beyond one tile of centroids the best so far is stored after every tile.
+    """
+    best = None
+    for labels, matrix in centroid_tiles(centroids, tile_values):
+        if best is None:
+            best = assign_to(vectors, matrix, labels=labels)
+            continue
+        kept = durable(best).withColumnsRenamed({"cluster": "_cluster", "d2": "_d2"})
+        nearer = F.col("d2") < F.col("_d2")
+        best = assign_to(kept, matrix, labels=labels).withColumns({
+            "cluster": F.when(nearer, F.col("cluster")).otherwise(F.col("_cluster")),
+            "d2": F.least("d2", "_d2"),
+        }).drop("_cluster", "_d2")
+    return best
 
 
 def inertia(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators.kmeans import KMeansModel, fit_kmeans, scan_k, seed_centres
 from ..operators.nearest_point import pick_nearest
 from ..operators.pca import fit_pca
 from ..operators.similar import topk_similar
+from ..session import durable, shared_folder
 from ..sources import lines
 from ..sources.tables import read_texts
 from ..sources.vectors import embed_hash, load_vectors
@@ -27,7 +29,6 @@ from .semantic_map import cluster_sizes as sizes_of
 CAP = 5000
 FIXED_K = 5
 RECLUSTER_K = 7
-MAX_ITER = 4
 SEEDS = 8
 TOP_K = 5
 TURN = 0.8
@@ -64,9 +65,11 @@ def _labelled(spark, folder):
 
 
 def _items(spark, folder):
-    """(id, text, features): documents with an embedding."""
+    """(id, text, features) of every document: its stored vector, or else the hashed one of its text."""
     texts = _documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
-    return _vectors(spark, folder).join(texts, "id")
+    stored = _vectors(spark, folder)
+    others = embed_hash(texts.join(stored, "id", "left_anti"))
+    return durable(texts.join(stored, "id").unionByName(others))
 
 
 def _graded(spark, folder):
@@ -103,13 +106,13 @@ def _label_centres(spark, folder):
 
 
 def _map(spark, folder, k=None) -> SemanticMap:
-    return build_map(_items(spark, folder), k=k, max_iter=MAX_ITER).close()
+    return build_map(_items(spark, folder), k=k).close()
 
 
 def _kmeans(spark, folder) -> tuple[DataFrame, KMeansModel, VectorBlocks]:
     rows = _vectors(spark, folder)
     blocks = VectorBlocks.of(rows)
-    model = fit_kmeans(blocks, [FIXED_K], KMEANS_SEED, MAX_ITER)[FIXED_K]
+    model = fit_kmeans(blocks, [FIXED_K], KMEANS_SEED)[FIXED_K]
     return rows, model, blocks
 
 
@@ -137,7 +140,7 @@ def tokens(spark, folder):
 def hashed(spark, folder):
     return _long(
         embed_hash(_documents(spark, folder), "doc_id"), ["id"], "features", "bucket", "value"
-    ).filter(F.col("value") != 0)
+    )
 
 
 def csv_guard(spark, folder):
@@ -267,7 +270,7 @@ def kmeans_centroids(spark, folder):
 
 def elbow_k(spark, folder):
     blocks = VectorBlocks.of(_vectors(spark, folder))
-    best, models = scan_k(blocks, max_iter=MAX_ITER)
+    best, models = scan_k(blocks)
     blocks.close()
     rows = [(k, m.inertia, k == best) for k, m in sorted(models.items())]
     return spark.createDataFrame(rows, "k int, inertia double, is_elbow boolean").withColumn(
@@ -298,7 +301,7 @@ def map_summary(spark, folder):
 
 
 def recluster(spark, folder):
-    first = build_map(_items(spark, folder), k=FIXED_K, max_iter=MAX_ITER)
+    first = build_map(_items(spark, folder), k=FIXED_K)
     second = first.recluster(RECLUSTER_K).close()
     named = second.clusters.withColumnRenamed("id", "cluster")
     return _rounded_xy(
@@ -323,9 +326,30 @@ def export_json(spark, folder):
     return export.export_json(_exported(spark, folder), ("id",))
 
 
+def export_document(spark, folder):
+    """The pieces of the JSON document of the whole map: k, clusters and points."""
+    m = _map(spark, folder, FIXED_K)
+    return export.json_document(m.points, m.clusters, m.k)
+
+
+def reproject_export(spark, folder):
+    """A map turned and normalised again, then exported."""
+    turned = _map(spark, folder, FIXED_K).reproject(TURN_ANGLE, TURNS)
+    return export.export_rows(turned.points, turned.clusters, ("id",)).select("id", "cluster", "label", "x", "y")
+
+
+def place_on_saved_map(spark, folder):
+    """All documents placed by a map of the stored vectors that was saved and read again."""
+    texts = _documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    m = build_map(_vectors(spark, folder).join(texts, "id"), k=FIXED_K).close()
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    m.model.save(spark, path)
+    return _rounded_xy(FittedMap.load(spark, path).place(_items(spark, folder)), "id", "cluster", digits=5)
+
+
 def lines_map(spark, folder):
     """Every line of every document: hashed, clustered with automatic k, placed and named."""
-    m = map_documents(_documents(spark, folder), max_iter=MAX_ITER).close()
+    m = map_documents(_documents(spark, folder)).close()
     labels_by_id = m.clusters.select(F.col("id").alias("cluster"), "label")
     return _rounded_xy(m.points.join(F.broadcast(labels_by_id), "cluster"), "id", "cluster", "label", digits=5)
 
@@ -421,6 +445,9 @@ QUERIES: dict[str, Query] = {
     "export_rows": export_rows,
     "export_csv": export_csv,
     "export_json": export_json,
+    "export_document": export_document,
+    "reproject_export": reproject_export,
+    "place_on_saved_map": place_on_saved_map,
     "lines_map": lines_map,
     "normalize_coords": normalize_coords,
     "rotate_coords": rotate_coords,

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 from ..constants import (
-    BOX_PAD, ELBOW_K_MAX, ELBOW_K_MIN, EMPTY_LABEL, KMEANS_SEED, LABEL_SEPARATOR, STOPWORDS,
+    BOX_PAD, ELBOW_K_MAX, ELBOW_K_MIN, EMPTY_LABEL, KMEANS_MAX_ITER, KMEANS_SEED, LABEL_SEPARATOR, STOPWORDS,
     TURN_ANGLE, WHITESPACE,
 )
 from ..functions.draws import sql_exponential
+from ..operators.kmeans import TIE
 from ..sources.vectors import HASH_DIM
 from .catalog import (
-    BOX, CAP, FIXED_K, LINE_K, MAX_ITER, RADIUS, RECLUSTER_K, SEEDS, TOP_K, TURN, TURNS,
+    BOX, CAP, FIXED_K, LINE_K, RADIUS, RECLUSTER_K, SEEDS, TOP_K, TURN, TURNS,
 )
 
 _WS = "".join(f"\\x{{{ord(c):04x}}}" for c in WHITESPACE)
@@ -132,11 +133,40 @@ centres AS (
 
 VECTORS = """
 v AS MATERIALIZED (SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings)"""
-ITEMS = """
+
+
+def _hashed(source: str) -> str:
+    """CTEs ending in hashed(id, f): unit vectors of signed counts of hashed terms of (id, text)."""
+    return f"""
+codes AS (
+  SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h
+  FROM (SELECT id, unnest({_tokens('text')}) AS t FROM {source})),
+bucket_sums AS (
+  SELECT id, h % {HASH_DIM} AS bucket, sum(CASE WHEN (h // {HASH_DIM}) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s
+  FROM codes GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(s * s)) AS z FROM bucket_sums GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT id, list(CASE WHEN coalesce(z, 0) = 0 THEN 0.0 ELSE coalesce(s, 0.0) / z END ORDER BY bucket) AS f
+  FROM (SELECT id, unnest(range({HASH_DIM})) AS bucket FROM {source})
+  LEFT JOIN bucket_sums USING (id, bucket) LEFT JOIN norms USING (id) GROUP BY id)"""
+
+
+ITEMS = f"""
+texts AS (SELECT doc_id AS id, text FROM documents),
+{_hashed('texts')},
 v AS MATERIALIZED (
-  SELECT vec_id AS id, text, embedding::DOUBLE[] AS f
-  FROM embeddings JOIN documents ON vec_id = doc_id
+  SELECT id, text, coalesce(embedding::DOUBLE[], hashed.f) AS f
+  FROM texts JOIN hashed USING (id) LEFT JOIN embeddings ON vec_id = id
 )"""
+LINE_ITEMS = f"""
+{LINES},
+texts AS MATERIALIZED (
+  SELECT (doc_id - (SELECT min(doc_id) FROM documents)) * (SELECT max(pos) + 1 FROM lines) + pos AS id, line AS text
+  FROM lines),
+{_hashed('texts')},
+v AS MATERIALIZED (SELECT id, text, f FROM texts JOIN hashed USING (id))"""
+# More rounds than the data need: a model that is at rest stays so.
+ROUNDS = KMEANS_MAX_ITER
 
 
 def _means(keys: str, rows: str) -> str:
@@ -183,8 +213,9 @@ def _lloyd(ks: list[int], rounds: int) -> str:
     ]
     for t in range(1, rounds + 1):
         ctes.append(
-            f"a{t} AS MATERIALIZED (SELECT c.k, v.id, v.f, c.cluster FROM v, c{t - 1} c QUALIFY row_number() OVER "
-            f"(PARTITION BY c.k, v.id ORDER BY list_distance(v.f, c.f), c.cluster) = 1)"
+            f"a{t} AS MATERIALIZED (SELECT k, id, f, cluster FROM (SELECT c.k, v.id, v.f, c.cluster, "
+            f"list_distance(v.f, c.f) AS d, min(d) OVER (PARTITION BY c.k, v.id) AS least FROM v, c{t - 1} c) "
+            f"WHERE d <= least + {TIE} QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY cluster) = 1)"
         )
         ctes.append(
             f"m{t} AS MATERIALIZED ({_means('k, cluster', f'a{t}')})"
@@ -254,12 +285,12 @@ raw AS MATERIALIZED (
 coords AS MATERIALIZED ({_normalized('raw', 'id')})"""
 
 
-def _map(k: int | None, rounds: int = MAX_ITER) -> str:
+def _map(k: int | None, items: str = ITEMS, rounds: int = ROUNDS) -> str:
     """CTEs ending in mp(id, text, x, y, cluster) and named(id, label, size)."""
     ks = ALL_K if k is None else [k]
     pick = f"{ELBOW}," if k is None else f"chosen AS (SELECT {k} AS k),"
     return f"""
-{ITEMS},
+{items},
 {_seeds(max(ks))},
 {_lloyd(ks, rounds)},
 {pick}
@@ -297,16 +328,9 @@ def oracle_sql() -> dict[str, str]:
         "tokenize": f"""SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
             FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)""",
         "embed_hash": f"""
-            WITH codes AS (
-              SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h
-              FROM (SELECT doc_id, unnest({_tokens('text')}) AS t FROM documents)),
-            sums AS (
-              SELECT doc_id, h % {HASH_DIM} AS bucket,
-                     sum(CASE WHEN (h // {HASH_DIM}) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s
-              FROM codes GROUP BY ALL),
-            norms AS (SELECT doc_id, sqrt(sum(s * s)) AS z FROM sums GROUP BY ALL)
-            SELECT doc_id AS id, bucket::INT AS bucket, {rnd('s / z')} AS value
-            FROM sums JOIN norms USING (doc_id) WHERE s <> 0""",
+            WITH texts AS (SELECT doc_id AS id, text FROM documents), {_hashed('texts')}
+            SELECT id, bucket, {rnd('value')} AS value FROM (
+              SELECT id, unnest(f) AS value, (generate_subscripts(f, 1) - 1)::INT AS bucket FROM hashed)""",
         "csv_guard": f"WITH {LINES} SELECT doc_id, pos, {_cell('line')} AS cell FROM lines",
         "valid_assignments": f"WITH {graded} SELECT doc_id, cluster FROM graded WHERE cluster BETWEEN 0 AND 1",
         "term_df": f"WITH {terms} SELECT lang, term, tf, df FROM term_counts JOIN term_totals USING (term)",
@@ -350,12 +374,12 @@ def oracle_sql() -> dict[str, str]:
                      (generate_subscripts(f, 1) - 1)::INT AS pos FROM v, dir)""",
         "pca_2d": f"WITH {VECTORS}, {PCA} SELECT id, {rnd('x')} AS x, {rnd('y')} AS y FROM coords",
         "kmeans_seed": f"WITH {VECTORS}, {_seeds(SEEDS)} SELECT step::INT AS step, id FROM seeds",
-        "kmeans": f"""WITH {VECTORS}, {_seeds(FIXED_K)}, {_lloyd([FIXED_K], MAX_ITER)}
-            SELECT id, cluster::INT AS cluster FROM a{MAX_ITER}""",
-        "kmeans_centroids": f"""WITH {VECTORS}, {_seeds(FIXED_K)}, {_lloyd([FIXED_K], MAX_ITER)}
+        "kmeans": f"""WITH {VECTORS}, {_seeds(FIXED_K)}, {_lloyd([FIXED_K], ROUNDS)}
+            SELECT id, cluster::INT AS cluster FROM a{ROUNDS}""",
+        "kmeans_centroids": f"""WITH {VECTORS}, {_seeds(FIXED_K)}, {_lloyd([FIXED_K], ROUNDS)}
             SELECT cluster::INT AS cluster, pos, {rnd('x')} AS value FROM (
-              SELECT cluster, unnest(f) AS x, (generate_subscripts(f, 1) - 1)::INT AS pos FROM c{MAX_ITER})""",
-        "elbow_k": f"""WITH {VECTORS}, {_seeds(ELBOW_K_MAX)}, {_lloyd(ALL_K, MAX_ITER)}, {ELBOW}
+              SELECT cluster, unnest(f) AS x, (generate_subscripts(f, 1) - 1)::INT AS pos FROM c{ROUNDS})""",
+        "elbow_k": f"""WITH {VECTORS}, {_seeds(ELBOW_K_MAX)}, {_lloyd(ALL_K, ROUNDS)}, {ELBOW}
             SELECT k::INT AS k, {rnd('inertia')} AS inertia, k = (SELECT k FROM chosen) AS is_elbow FROM curve""",
         "build_map": f"""WITH {_map(None)} SELECT id, cluster::INT AS cluster, {rnd('x', 5)} AS x, {rnd('y', 5)} AS y,
             md5(text) AS text_md5 FROM mp""",
@@ -370,6 +394,19 @@ def oracle_sql() -> dict[str, str]:
             {_cell('label')}, {_cell(_number('x'))}, {_cell(_number('y'))}) AS record FROM er""",
         "export_json": f"""WITH {fixed}, {EXPORT} SELECT id, '{{"line":' || to_json(line)::VARCHAR || ',"cluster":' || cluster::VARCHAR
             || ',"label":' || to_json(label)::VARCHAR || ',"x":' || {_number('x')} || ',"y":' || {_number('y')} || '}}' AS record FROM er""",
+        "export_document": f"""WITH {fixed}, {EXPORT}, groups AS (
+              SELECT 1 AS part, id, '{{"id":' || id::VARCHAR || ',"label":' || to_json(label)::VARCHAR || ',"size":' || size::VARCHAR || '}}' AS record
+              FROM named
+              UNION ALL SELECT 3, id, '{{"line":' || to_json(line)::VARCHAR || ',"cluster":' || cluster::VARCHAR
+                || ',"label":' || to_json(label)::VARCHAR || ',"x":' || {_number('x')} || ',"y":' || {_number('y')} || '}}' FROM er)
+            SELECT part::INT AS part, id::BIGINT AS id,
+              CASE WHEN id = min(id) OVER (PARTITION BY part) THEN '' ELSE ',' END || record AS record FROM groups
+            UNION ALL SELECT 0, 0, '{{"k":{FIXED_K},"clusters":[' UNION ALL SELECT 2, 0, '],"points":[' UNION ALL SELECT 4, 0, ']}}'""",
+        "reproject_export": f"""WITH {fixed}, t AS ({_turned('mp', 'id, cluster', TURN_ANGLE * TURNS)}),
+            r AS ({_normalized('t', 'id, cluster')})
+            SELECT r.id, cluster::INT AS cluster, label, {_round4('x')} AS x, {_round4('y')} AS y FROM r JOIN named ON named.id = cluster""",
+        "lines_map": f"""WITH {_map(None, LINE_ITEMS)} SELECT mp.id, cluster::INT AS cluster, label, {rnd('x', 5)} AS x,
+            {rnd('y', 5)} AS y FROM mp JOIN named ON named.id = cluster""",
         "normalize_coords": f"""WITH {POINTS}, n AS ({_normalized('points', 'id')})
             SELECT id, {rnd('x')} AS x, {rnd('y')} AS y FROM n""",
         "rotate_coords": f"""WITH {POINTS}, n AS ({_normalized('points', 'id')}), t AS ({_turned('n', 'id', TURN)})

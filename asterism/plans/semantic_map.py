@@ -19,7 +19,6 @@ from ..constants import (
     MIN_LINES,
     TURN_ANGLE,
 )
-from ..functions.text import line_id
 from ..functions.vector import as_vector
 from ..operators import layout
 from ..operators.blocks import VectorBlocks, list_matrix, on_grid
@@ -28,7 +27,8 @@ from ..operators.labels import join_terms, top_terms
 from ..operators.layout import per_cluster
 from ..operators.pca import Basis, fit_pca
 from ..schemas import CLUSTERS, POINTS
-from ..sources.lines import cap_lines
+from ..session import durable
+from ..sources.lines import cap_lines, with_line_ids
 from ..sources.vectors import embed_hash
 
 
@@ -54,7 +54,7 @@ class FittedMap:
             if not len(features):
                 xy, own = np.zeros((0, 2)), np.zeros(0)
             else:
-                rows = on_grid(list_matrix(features), exponent)
+                rows = on_grid(list_matrix(features, centres.shape[1]), exponent)
                 xy, own = basis.place(rows), nearest(rows, centres)
             return pa.StructArray.from_arrays(
                 [pa.array(xy[:, 0]), pa.array(xy[:, 1]), pa.array(own, pa.int32())],
@@ -140,10 +140,10 @@ class SemanticMap:
 
     @property
     def summary(self) -> DataFrame:
-        """One row: k, number of points, number of clusters with members."""
-        return self.points.agg(
-            F.count("*").alias("n_points"), F.count_distinct("cluster").alias("n_clusters")
-        ).select(F.lit(self.k).alias("k"), "n_points", "n_clusters")
+        """One row: k, number of points, number of clusters with members; all known from the fit."""
+        sizes = self.model.kmeans.sizes if self.model else np.zeros(0, np.int64)
+        row = (self.k, int(sizes.sum()), int((sizes > 0).sum()))
+        return self.points.sparkSession.createDataFrame([row], "k int, n_points long, n_clusters long")
 
     def legend(self) -> DataFrame:
         """The clusters in order of their id (at most k rows)."""
@@ -206,8 +206,8 @@ def line_items(
     docs: DataFrame, embed: Callable[[DataFrame], DataFrame] = embed_hash, max_lines: int | None = None
 ) -> DataFrame:
     """(id, text, features) of every line of (doc_id, text); the id orders the lines."""
-    lines = cap_lines(docs, max_lines)
-    return embed(lines.select(line_id(F.col("doc_id"), F.col("pos")).alias("id"), F.col("line").alias("text")))
+    lines = with_line_ids(cap_lines(docs, max_lines), docs)
+    return embed(lines.select("id", F.col("line").alias("text")))
 
 
 def map_documents(
@@ -222,7 +222,8 @@ def map_documents(
 ) -> SemanticMap:
     """The map of all lines of (doc_id, text); refuses fewer than ``min_lines`` lines.
 
-    ``embed`` turns (id, text) into (id, text, features). Store its result first (``durable``)
-    when it is costly.
+    ``embed`` turns (id, text) into (id, text, features). Its result is stored once; points, names
+    and exports read it from there.
     """
-    return build_map(line_items(docs, embed, max_lines), k, seed, max_iter, top_n, min_lines)
+    items = durable(line_items(docs, embed, max_lines))
+    return build_map(items, k, seed, max_iter, top_n, min_lines)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,14 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    use_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The frame, computed once and stored in the shared checkpoint folder."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame, computed once, stored as a table in the shared checkpoint folder and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_LINES
 from ..functions.text import split_lines, trim_ws
+from ..session import durable
 
 
 def parse_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -37,17 +38,31 @@ def line_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
 
-def _cut_point(counts: DataFrame, max_lines: int, buckets: int = 4096) -> tuple[int, int] | None:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, doc_id, text) of text files for the map: one document per file, ids in the order of paths."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
+    )
+    names = durable(files.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    ranked = _numbered(names, ["path"], "doc_id")
+    return files.join(ranked.select("path", "doc_id"), "path")
+
+
+def _cut_point(counts: DataFrame, max_lines: int, buckets: int = 4096) -> tuple[int | None, int] | None:
     """(doc_id, lines kept of it): the document in which the cap is reached, or None.
 
-    Narrows a range of doc ids, one small aggregation per round, so nothing is sorted.
+    Narrows a range of doc ids, one small aggregation per round, so nothing is sorted. Documents
+    without an id come first.
     """
-    low, high, total = counts.agg(
-        F.min("doc_id"), F.max("doc_id"), F.coalesce(F.sum("n_lines"), F.lit(0))
+    lines = F.coalesce(F.sum("n_lines"), F.lit(0))
+    low, high, total, before = counts.agg(
+        F.min("doc_id"), F.max("doc_id"), lines,
+        F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n_lines"))), F.lit(0)),
     ).first()
     if total <= max_lines:
         return None
-    before = 0
+    if before >= max_lines:
+        return None, max_lines
     while low < high:
         width = -(-(high - low + 1) // buckets)
         bucket = F.expr(f"(doc_id - {low}L) div {width}L")
@@ -68,7 +83,9 @@ def cap_lines(
 ) -> DataFrame:
     """The first ``max_lines`` lines in (doc_id, pos) order; every line when it is None.
 
-    The cap becomes a plain filter on (doc_id, pos): no sort, no single-task limit, any size.
+    The cap becomes a filter on doc_id, and a rank inside the one id at which it is reached: no
+    global sort, no single-task limit, any size. Lines without an id come first; lines that share
+    (doc_id, pos) are ordered by their text.
     """
     lines = parse_lines(docs, text, doc_id)
     if max_lines is None:
@@ -82,7 +99,40 @@ def cap_lines(
         return lines
     doc, kept = cut
     d = F.col("doc_id")
-    return lines.filter((d < doc) | ((d == doc) & (F.col("pos") < kept)))
+    last = Window.partitionBy("doc_id").orderBy("pos", "line")
+    partly = (
+        lines.filter(d.eqNullSafe(F.lit(doc).cast("long"))).withColumn("_rank", F.row_number().over(last))
+        .filter(F.col("_rank") <= kept).drop("_rank")
+    )
+    return partly if doc is None else lines.filter(d.isNull() | (d < doc)).unionByName(partly)
+
+
+def _numbered(parts: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of ``order``; ``part`` numbers ranges of rows in that order."""
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("_rank", rank).join(F.broadcast(starts), "part").withColumn(
+        name, F.col("_start") + F.col("_rank") - 1
+    ).drop("part", "_rank", "_start")
+
+
+def with_line_ids(lines: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``lines`` of ``docs`` and ``id``, one BIGINT per line without collisions, ordered as (doc_id, pos).
+
+    Distinct ids close together give (doc_id - lowest) * (most lines of a document) + pos, row by
+    row. Missing, repeated or widely spread ids are numbered through in sorted ranges.
+    """
+    d = F.col("doc_id")
+    n, known, different, low, high, most = line_counts(docs, text, doc_id).agg(
+        F.count("*"), F.count(d), F.count_distinct(d), F.min(d), F.max(d), F.max("n_lines")
+    ).first()
+    if n == 0 or (n == known == different and (high - low + 1) * max(most, 1) < 2**63):
+        return lines.withColumn("id", (d - F.lit(low or 0)) * F.lit(max(most or 0, 1)) + F.col("pos"))
+    order = ["doc_id", "pos", "line"]
+    parts = lines.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    return _numbered(durable(parts), order, "id")
 
 
 def line_stats(

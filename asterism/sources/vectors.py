@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -45,17 +44,16 @@ def unit_rows(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(scaled.ravel()))
 
 
-def _code(term: str) -> int:
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+def _code(term: Column) -> Column:
+    """The first 32 bits of a term's MD5 as a number."""
+    return F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _hash_embedder(dim: int):
     @F.arrow_udf("array<double>")
     def embed(terms: pa.Array) -> pa.Array:
         n = len(terms)
-        coded = terms.flatten().dictionary_encode()
-        codes = np.array([_code(t) for t in coded.dictionary.to_pylist()], dtype=np.int64)
-        code = codes[coded.indices.to_numpy()]
+        code = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(n), terms.value_lengths().to_numpy())
         sign = np.where((code // dim) % 2 == 0, 1.0, -1.0)
         counts = np.bincount(row * dim + code % dim, weights=sign, minlength=n * dim)
@@ -65,17 +63,18 @@ def _hash_embedder(dim: int):
 
 
 def embed_hash(
-    df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = HASH_DIM
+    df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = HASH_DIM, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(id, text, features): signed counts of hashed terms, L2-normalised. Needs no model.
+    """(id, text, features) and ``keep`` columns: signed counts of hashed terms, L2-normalised. Needs no model.
 
     A text is embedded from its own row alone, so nothing is shuffled. Texts without terms get
     the zero vector.
     """
     return df.select(
+        *keep,
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
-        _hash_embedder(dim)(tokenize(F.col(text_col))).alias("features"),
+        _hash_embedder(dim)(F.transform(tokenize(F.col(text_col)), _code)).alias("features"),
     )
 
 
@@ -85,6 +84,7 @@ def embed_with(
     id_col: str = "id",
     text_col: str = "text",
     batch_size: int = 64,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, text, features) from any model, L2-normalised.
 
@@ -109,6 +109,7 @@ def embed_with(
             yield unit_rows(found[coded.indices.to_numpy()])
 
     return df.select(
+        *keep,
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("text"),
         embed.asNondeterministic()(F.col(text_col)).alias("features"),
