@@ -13,31 +13,31 @@ def named(df, k, **kw):
 
 def test_clusters_are_named_by_distinctive_terms(spark):
     df = docs(
-        spark, ("refund my invoice please", 0), ("billing invoice was wrong", 0),
-        ("the login page is broken", 1), ("cannot login to my account", 1),
+        spark, ("prune every rose in March", 0), ("feed the rose weekly", 0), ("rose wants full sun", 0),
+        ("tune the banjo first", 1), ("restring an old banjo", 1),
     )
     first, second = named(df, 2)
-    assert "invoice" in first and "login" in second
+    assert first.startswith("rose") and second.startswith("banjo")
 
 
 def test_a_group_without_terms_is_misc(spark):
-    assert named(docs(spark, ("hello world", 0)), 2)[1] == "misc"
+    assert named(docs(spark, ("gravel path", 0)), 2)[1] == "misc"
     assert named(docs(spark).limit(0), 3) == ["misc"] * 3
-    assert named(docs(spark, ("!!!", 0)), 1) == ["misc"]
+    assert named(docs(spark, ("-- ?; --", 0)), 1) == ["misc"]
 
 
 def test_assignments_out_of_range_are_skipped_but_counted(spark):
-    df = docs(spark, ("alpha beta", 0), ("gamma delta", 0), ("orphaned words", -1), ("nullish words", 5), ("none", None))
-    (label,) = named(df, 1, top_n=4)
-    assert label == "alpha · beta · delta · gamma"
+    df = docs(spark, ("walnut larch", 0), ("cedar", 0), ("left out", -2), ("far away", 8), ("no group", None), ("also far", 3))
+    (label,) = named(df, 1, top_n=5)
+    assert label == "cedar · larch · walnut"
     row = labels.top_terms(df, k=1).first()
-    assert math.isclose(row.score, math.log(1 + 5 / 1))
+    assert math.isclose(row.score, math.log(1 + 6 / 1))
 
 
 def test_terms_count_once_per_text_and_df_spans_groups(spark):
-    df = docs(spark, ("mango mango", 0), ("mango sweet", 0), ("mango sour", 1))
+    df = docs(spark, ("copper copper copper", 0), ("dull copper", 0), ("bright copper", 1), ("bright", 1))
     got = {(r.cluster, r.term): (r.tf, r.df) for r in labels.term_df(df, k=2).collect()}
-    assert got == {(0, "mango"): (2, 3), (0, "sweet"): (1, 1), (1, "mango"): (1, 3), (1, "sour"): (1, 1)}
+    assert got == {(0, "copper"): (2, 3), (0, "dull"): (1, 1), (1, "copper"): (1, 3), (1, "bright"): (2, 2)}
 
 
 def test_ties_follow_the_alphabet_not_the_bytes(spark):
@@ -46,12 +46,12 @@ def test_ties_follow_the_alphabet_not_the_bytes(spark):
 
 
 def test_any_column_can_group(spark):
-    df = spark.createDataFrame([("red apple", "x"), ("blue sky", "y"), ("...", "z")], "body string, kind string")
+    df = spark.createDataFrame([("tin drum", "x"), ("loose wire", "y"), ("(?)", "z")], "body string, kind string")
     got = {r.kind: r.label for r in labels.label_groups(df, "kind", "body").collect()}
-    assert got == {"x": "apple · red", "y": "blue · sky", "z": "misc"}
+    assert got == {"x": "drum · tin", "y": "loose · wire", "z": "misc"}
 
 
 def test_ranking_limits_groups_before_the_last_shuffle(spark):
-    df = docs(spark, ("alpha beta", 0))
+    df = docs(spark, ("walnut larch", 0))
     plan = labels.top_terms(df, k=1)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -20,8 +20,8 @@ def xy(df, key="id"):
 
 
 def test_normalised_into_the_box(spark):
-    assert xy(layout.normalize_coords(points(spark, [(0, 0), (10, 10)]))) == [(-1, -1), (1, 1)]
-    assert xy(layout.normalize_coords(points(spark, [(2, 2), (2, 2)]))) == [(0, 0), (0, 0)]
+    assert xy(layout.normalize_coords(points(spark, [(-3, 5), (17, 25)]))) == [(-1, -1), (1, 1)]
+    assert xy(layout.normalize_coords(points(spark, [(8, -6)] * 3))) == [(0, 0)] * 3
     assert xy(layout.normalize_coords(points(spark, [(0, 0)]).limit(0))) == []
     # One side of 0 counts as 1, so a shorter other side does not fill the box.
     assert xy(layout.normalize_coords(points(spark, [(0, 3), (0.5, 3)]))) == [(-0.5, 0), (0.5, 0)]
@@ -36,10 +36,10 @@ def test_random_points_land_in_the_box_and_keep_their_number(spark):
 
 
 def test_rotation(spark):
-    p = points(spark, [(0.5, -0.3), (1, 0)])
-    assert xy(layout.rotate_coords(p, 2 * math.pi))[0] == pytest.approx((0.5, -0.3))
-    assert xy(layout.rotate_coords(p, math.pi / 2))[1] == pytest.approx((0, 1))
-    assert math.hypot(*xy(layout.rotate_coords(p, 1.234))[0]) == pytest.approx(math.hypot(0.5, 0.3))
+    p = points(spark, [(-0.7, 0.2), (0, 3)])
+    assert xy(layout.rotate_coords(p, 4 * math.pi))[0] == pytest.approx((-0.7, 0.2))
+    assert xy(layout.rotate_coords(p, math.pi / 2))[1] == pytest.approx((-3, 0))
+    assert math.hypot(*xy(layout.rotate_coords(p, 0.4321))[0]) == pytest.approx(math.hypot(0.7, 0.2))
 
 
 def test_turning_once_by_the_whole_angle_equals_turning_step_by_step(spark):
@@ -52,8 +52,8 @@ def test_turning_once_by_the_whole_angle_equals_turning_step_by_step(spark):
 
 def test_box(spark):
     p = points(spark, [(-1, -1), (1, 1), (0, 0)])
-    assert xy(layout.scale_to_box(p, 200, 200, 20)) == [(20, 20), (180, 180), (100, 100)]
-    assert xy(layout.scale_to_box(p, 0, 0, 0)) == [(0, 0), (1, 1), (0.5, 0.5)]
+    assert xy(layout.scale_to_box(p, 300, 140, 30)) == [(30, 30), (270, 110), (150, 70)]
+    assert xy(layout.scale_to_box(p, 5, 4, 9)) == [(9, 9), (10, 10), (9.5, 9.5)]
 
 
 def test_centres_and_edges(spark):

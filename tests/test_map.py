@@ -7,20 +7,47 @@ import numpy as np
 import pytest
 
 from asterism.operators import export
-from asterism.plans.semantic_map import FittedMap, build_map, clamp_k, map_documents
+from asterism.plans.semantic_map import FittedMap, build_map, clamp_k, line_items, map_documents
 from asterism.session import durable
+from asterism.sources.lines import read_documents
+from asterism.sources.vectors import embed_with
 from asterism.streaming.scoring import score_lines
 
-VECTORS = [
-    [1, 0, 0], [0.9, 0.1, 0], [1, 0.1, 0.1],
-    [0, 1, 0], [0.1, 0.9, 0], [0, 1, 0.1],
-    [0, 0, 1], [0.1, 0, 0.9], [0, 0.1, 1],
-]
-TEXTS = [
-    "violin cello piano", "cello piano flute", "violin flute harp",
-    "granite basalt slate", "basalt slate marble", "granite marble chalk",
-    "heron falcon swift", "falcon swift raven", "heron raven magpie",
-]
+# Four themes of five rows in five dimensions; rows of theme g lie near (g + 2) times axis g.
+THEMES = {
+    "kitchen": "oven whisk ladle skillet colander grater",
+    "harbour": "anchor buoy rudder mast jetty tide",
+    "weather": "drizzle thaw gust hail humid fog",
+    "sewing": "thimble bobbin hem pleat zipper spool",
+}
+PER_THEME, DIM = 5, 5
+
+
+def themed(seed=3):
+    rng = np.random.default_rng(seed)
+    vectors, texts = [], []
+    for g, words in enumerate(THEMES.values()):
+        for _ in range(PER_THEME):
+            row = rng.normal(0, 0.05, DIM)
+            row[g] += g + 2
+            vectors.append(row.tolist())
+            texts.append(" ".join(rng.choice(words.split(), size=3, replace=False)))
+    return vectors, texts
+
+
+VECTORS, TEXTS = themed()
+N = len(TEXTS)
+
+
+def expected_label(texts, others, top=3):
+    """Best terms by count times ln(1 + N / df), equal ones by alphabet, counted plainly."""
+    every = texts + others
+    terms = {w for t in texts for w in t.split()}
+
+    def score(w):
+        return sum(w in t.split() for t in texts) * math.log(1 + len(every) / sum(w in t.split() for t in every))
+
+    return " · ".join(sorted(terms, key=lambda w: (-round(score(w), 12), w))[:top])
 
 
 def items(spark, vectors=VECTORS, texts=TEXTS, parts=1):
@@ -30,7 +57,7 @@ def items(spark, vectors=VECTORS, texts=TEXTS, parts=1):
 
 @pytest.fixture(scope="module")
 def built(spark):
-    m = build_map(items(spark), k=3)
+    m = build_map(items(spark), k=len(THEMES))
     yield m
     m.close()
 
@@ -49,13 +76,16 @@ def check(m, n):
 
 
 def test_points_clusters_and_labels_fit_together(built):
-    points, clusters = check(built, 9)
-    assert built.k == 3 and [p.text for p in points] == TEXTS
+    points, clusters = check(built, N)
+    assert built.k == len(THEMES) and [p.text for p in points] == TEXTS
     labels = {c.id: c.label for c in clusters}
-    assert labels[points[0].cluster] == "cello · flute · piano"
-    assert labels[points[3].cluster] == "basalt · granite · marble"
-    assert [c.id for c in built.legend().collect()] == [0, 1, 2]
-    assert built.summary.first() == (3, 9, 3)
+    for g in range(len(THEMES)):
+        part = slice(g * PER_THEME, (g + 1) * PER_THEME)
+        assert len({p.cluster for p in points[part]}) == 1
+        others = TEXTS[: part.start] + TEXTS[part.stop :]
+        assert labels[points[part.start].cluster] == expected_label(TEXTS[part], others)
+    assert [c.id for c in built.legend().collect()] == list(range(len(THEMES)))
+    assert built.summary.first() == (len(THEMES), N, len(THEMES))
 
 
 def test_no_rows_give_an_empty_map(spark):
@@ -65,28 +95,28 @@ def test_no_rows_give_an_empty_map(spark):
     assert m.summary.first() == (0, 0, 0)
 
 
-@pytest.mark.parametrize("dim,n,k", [(4, 8, 3), (2, 5, 4)])
+@pytest.mark.parametrize("dim,n,k", [(3, 7, 4), (6, 11, 2)])
 def test_identical_rows_leave_no_empty_cluster(spark, dim, n, k):
-    m = build_map(items(spark, [[0.5] * dim] * n, ["buy milk"] * n), k=k).close()
+    m = build_map(items(spark, [[0.25] * dim] * n, ["mend the fence"] * n), k=k).close()
     _, clusters = check(m, n)
-    assert m.k == k and len(clusters) == 1 and clusters[0].label == "buy · milk"
+    assert m.k == k and len(clusters) == 1 and clusters[0].label == "fence · mend"
 
 
 def test_k_is_chosen_when_not_given(spark):
     m = build_map(items(spark)).close()
-    check(m, 9)
-    assert 1 <= m.k <= 9
+    check(m, N)
+    assert 2 <= m.k <= 10
     assert build_map(items(spark, VECTORS[:1], TEXTS[:1])).close().k == 1
 
 
 def test_clamp():
-    assert [clamp_k(k, 5) for k in (0, 99, 3.4, 2.5, -50)] == [1, 5, 3, 3, 1]
+    assert [clamp_k(k, 7) for k in (-1, 0.4, 7.5, 1000, 4.5, 6.49)] == [1, 1, 7, 7, 5, 6]
 
 
 def test_reproject_moves_points_only(built):
     before = rows_of(built)
-    turned = built.reproject(math.pi / 3)
-    after, clusters = check(turned, 9)
+    turned = built.reproject(0.77)
+    after, clusters = check(turned, N)
     assert [p.cluster for p in after] == [p.cluster for p in before]
     assert sorted(clusters) == sorted(built.clusters.collect())
     assert any(abs(a.x - b.x) > 1e-6 for a, b in zip(after, before))
@@ -95,7 +125,7 @@ def test_reproject_moves_points_only(built):
 
 def test_recluster_keeps_the_layout(built):
     other = built.recluster(2)
-    check(other, 9)
+    check(other, N)
     assert other.k == 2
     assert [(p.x, p.y) for p in rows_of(other)] == [(p.x, p.y) for p in rows_of(built)]
     again = build_map(items(built.points.sparkSession), k=2).close()
@@ -113,31 +143,69 @@ def test_same_map_for_every_partitioning(spark):
     assert found[0] == found[1] == found[2]
 
 
+def planted_documents(spark):
+    """Documents of themed lines with blank ones between, and one without text."""
+    _, texts = themed(9)
+    rows = [(10 * g + 7, "\n\n ".join(texts[g * PER_THEME : (g + 1) * PER_THEME])) for g in range(len(THEMES))]
+    return spark.createDataFrame([*rows, (99, None)], "doc_id long, text string"), texts
+
+
 def test_documents_become_a_map_and_new_lines_are_placed_on_it(spark, tmp_path):
-    docs = spark.createDataFrame(
-        [(1, "pay the invoice\nsend invoice to billing\nrefund billing invoice"),
-         (2, "book a flight\nflight and hotel\nhotel near airport\n\n"), (3, None)],
-        "doc_id long, text string",
-    )
+    docs, texts = planted_documents(spark)
     with pytest.raises(ValueError):
-        map_documents(docs.filter("doc_id = 3"))
-    m = map_documents(docs, k=2)
-    points, _ = check(m, 6)
+        map_documents(docs.filter("doc_id = 99"))
+    m = map_documents(docs, k=3)
+    points, _ = check(m, len(texts))
+    assert [p.text for p in points] == texts
     m.model.save(spark, str(tmp_path / "model"))
     model = FittedMap.load(spark, str(tmp_path / "model"))
-    again = score_lines(docs, model).orderBy("id").collect()
-    assert again == points
-    docs.filter("doc_id < 3").write.parquet(str(tmp_path / "in"))
+    placed = [(p.text, p.x, p.y, p.cluster) for p in points]
+    again = score_lines(docs, model).orderBy("doc_id", "pos").collect()
+    assert [(r.text, r.x, r.y, r.cluster) for r in again] == placed
+    docs.filter("doc_id < 50").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
     query = (
         score_lines(stream, model).writeStream.format("memory").queryName("placed")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
-    assert spark.table("placed").orderBy("id").collect() == points
+    assert [tuple(r)[2:] for r in spark.table("placed").orderBy("doc_id", "pos").collect()] == placed
+    m.close()
+
+
+def test_each_text_is_embedded_once(spark):
+    docs, texts = planted_documents(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(batch):
+            seen.add(len(batch))
+            return np.array([[len(t), t.count("e"), t.count("a")] for t in batch], float)
+
+        return model
+
+    m = map_documents(docs, k=2, embed=lambda df: embed_with(df, load))
+    m.legend().collect(), m.summary.collect(), m.points.collect()
+    export.export_rows(m.reproject().points, m.clusters).collect()
+    assert seen.value == len(set(texts)) or seen.value == len(texts)
     m.close()
 
 
+def test_text_files_become_a_map(spark, tmp_path):
+    _, texts = themed(4)
+    for g in range(len(THEMES)):
+        (tmp_path / f"file{g}.txt").write_text("\n".join(texts[g * PER_THEME : (g + 1) * PER_THEME]) + "\n")
+    m = map_documents(read_documents(spark, str(tmp_path)), k=2).close()
+    assert [p.text for p in rows_of(m)] == texts
+
+
+@pytest.mark.parametrize("ids", [[5, 9, 5], [None, 3, None], [-(2**62), 0, 2**62], [1, 1 + 2**38, 2**62 + 1]])
+def test_line_ids_never_collide(spark, ids):
+    docs = spark.createDataFrame([(d, f"one{i}\ntwo{i}\nthree{i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    got = line_items(docs).orderBy("id").collect()
+    assert len({r.id for r in got}) == 9 and {r.text for r in got} == {f"{w}{i}" for w in ("one", "two", "three") for i in range(3)}
+
+
 def test_durable_frames_live_in_the_shared_folder(spark):
     df = durable(spark.range(5))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
@@ -154,15 +222,15 @@ def exported(spark, points, clusters):
 
 
 SAMPLE = (
-    [("Book flights", 0.123456, -0.2, 0), ("Renew passport", 0.5, 0.5, 0), ("Line with, comma\nand newline", -1.0, 1.0, 1)],
-    [(0, "travel · trip", 2), (1, 'billing, "urgent"', 1)],
+    [("Sweep the porch; then rest", -0.98765, 0.00004, 4), ('He said "fog", twice', 0.25, -0.75, 2), ("two\nrows, one cell", 1.0, -1.0, 4)],
+    [(4, "porch · sweep", 2), (2, 'fog, "twice"', 1)],
 )
 
 
 def test_rows_carry_labels_and_rounded_coordinates(spark):
     rows = export.export_rows(*exported(spark, *SAMPLE), keep=("id",)).orderBy("id").collect()
-    assert rows[0][1:] == ("Book flights", 0, "travel · trip", 0.1235, -0.2)
-    assert rows[2].label == 'billing, "urgent"'
+    assert rows[0][1:] == ("Sweep the porch; then rest", 4, "porch · sweep", -0.9876, 0.0)
+    assert rows[1].label == 'fog, "twice"'
     lone = export.export_rows(*exported(spark, [("x", 0.0, 0.0, 9)], []))
     assert lone.first().label == ""
     assert export.export_rows(*exported(spark, [], [])).count() == 0
@@ -176,13 +244,13 @@ def records(spark, encode, sample=SAMPLE):
 def test_csv_records(spark):
     assert export.csv_header() == "line,cluster,label,x,y"
     assert records(spark, export.export_csv) == [
-        "Book flights,0,travel · trip,0.1235,-0.2",
-        "Renew passport,0,travel · trip,0.5,0.5",
-        '"Line with, comma\nand newline",1,"billing, ""urgent""",-1,1',
+        "Sweep the porch; then rest,4,porch · sweep,-0.9876,0",
+        '"He said ""fog"", twice",2,"fog, ""twice""",0.25,-0.75',
+        '"two\nrows, one cell",4,porch · sweep,1,-1',
     ]
-    evil = ([("=SUM(A1:A9)", -0.2, 0.5, 0), ("-", 0.0, 0.0, 0), ("1e5", 0.0, 0.0, 0)], [(0, "@evil", 3)])
-    assert records(spark, export.export_csv, evil) == [
-        "'=SUM(A1:A9),0,'@evil,-0.2,0.5", "'-,0,'@evil,0,0", "1e5,0,'@evil,0,0",
+    risky = ([("+cmd|run", -0.5, 0.125, 1), ("@", 0.0, 0.0, 1), ("-7e-2", 0.0, 0.0, 1)], [(1, "=now()", 3)])
+    assert records(spark, export.export_csv, risky) == [
+        "'+cmd|run,1,'=now(),-0.5,0.125", "'@,1,'=now(),0,0", "-7e-2,1,'=now(),0,0",
     ]
 
 
@@ -199,21 +267,25 @@ def test_random_csv_parses_back_to_five_fields(spark):
         assert len(fields) == 5 and fields[0].lstrip("'") == point[0].lstrip("'")
 
 
+def document(spark, points, clusters, k):
+    pieces = export.json_document(*exported(spark, points, clusters), k).orderBy("part", "id").collect()
+    return json.loads("".join(r.record for r in pieces))
+
+
 def test_json_records_and_document(spark):
     got = [json.loads(r) for r in records(spark, export.export_json)]
-    assert got[0] == {"line": "Book flights", "cluster": 0, "label": "travel · trip", "x": 0.1235, "y": -0.2}
-    points, clusters = exported(spark, *SAMPLE)
-    whole = json.loads(export.json_document(points, clusters, 2))
-    assert whole["k"] == 2 and whole["points"] == got
-    assert whole["clusters"] == [{"id": i, "label": t, "size": n} for i, t, n in SAMPLE[1]]
-    assert json.loads(export.json_document(*exported(spark, [], []), 0)) == {"k": 0, "clusters": [], "points": []}
+    assert got[1] == {"line": 'He said "fog", twice', "cluster": 2, "label": 'fog, "twice"', "x": 0.25, "y": -0.75}
+    whole = document(spark, *SAMPLE, 6)
+    assert whole["k"] == 6 and whole["points"] == got
+    assert whole["clusters"] == [{"id": i, "label": t, "size": n} for i, t, n in sorted(SAMPLE[1])]
+    assert document(spark, [], [], 0) == {"k": 0, "clusters": [], "points": []}
 
 
 def test_written_files(spark, tmp_path):
     points, clusters = exported(spark, *SAMPLE)
     export.write_csv(points, clusters, str(tmp_path / "csv"))
     text = "".join(sorted(p.read_bytes().decode() for p in (tmp_path / "csv" / "records").glob("part-*")))
-    assert '"Line with, comma\nand newline",1' in text and text.count("\r\n") == 3
+    assert '"two\nrows, one cell",4' in text and text.count("\r\n") == 3
     (header,) = (tmp_path / "csv" / "header").glob("part-*")
     assert header.read_bytes() == b"line,cluster,label,x,y\r\n"
     export.write_json(points, clusters, 2, str(tmp_path / "json"))

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -19,12 +20,11 @@ def frame(spark, rows, parts=1):
 @pytest.mark.parametrize(
     "a,b,dot,cosine,euclid",
     [
-        ([1, 0], [2, 0], 2, 1, 1),
-        ([1, 0], [0, 1], 0, 0, math.sqrt(2)),
-        ([0, 0], [1, 1], 0, 0, math.sqrt(2)),
-        ([1, 2], [0, 0], 0, 0, math.sqrt(5)),
-        ([0, 0], [3, 4], 0, 0, 5),
-        ([3, 4], [0, 0], 0, 0, 5),
+        ([2, 6], [1, 3], 20, 1, math.sqrt(10)),
+        ([5, -2], [2, 5], 0, 0, math.sqrt(58)),
+        ([0, 0], [7, 24], 0, 0, 25),
+        ([8, 15], [0, 0], 0, 0, 17),
+        ([1, 1], [-2, -2], -4, -1, math.sqrt(18)),
     ],
 )
 def test_pair_functions(spark, a, b, dot, cosine, euclid):
@@ -35,8 +35,8 @@ def test_pair_functions(spark, a, b, dot, cosine, euclid):
 
 
 def test_unit_vectors_and_zero(spark):
-    got = [r.features for r in vec.normalize_vectors(frame(spark, [[3, 4], [0, 0]])).orderBy("id").collect()]
-    assert got == [[0.6, 0.8], [0.0, 0.0]]
+    got = [r.features for r in vec.normalize_vectors(frame(spark, [[-5, 12], [0, 0]])).orderBy("id").collect()]
+    assert got == [[-5 / 13, 12 / 13], [0.0, 0.0]]
 
 
 def test_means(spark):
@@ -160,3 +160,28 @@ def test_most_similar_rows(spark, monkeypatch, tiled):
     df = frame(spark, x, 4)
     got = {(r.probe_id, r.rank, r.id, round(r.similarity, 6)) for r in similar.topk_similar(df, df, 3).collect()}
     assert got == brute_top(x, list(range(120)), 3)
+
+
+def test_centroids_in_tiles_give_the_same_answer(spark):
+    rng = np.random.default_rng(21)
+    cents = spark.createDataFrame([(int(c), rng.normal(size=3).tolist()) for c in range(11)], "cluster int, centroid array<double>")
+    rows = frame(spark, rng.normal(size=(60, 3)))
+    whole = vec.nearest_centroid(rows, cents).select("id", "cluster", "d2").orderBy("id").collect()
+    assert vec.nearest_centroid(rows, cents, tile_values=9).select("id", "cluster", "d2").orderBy("id").collect() == whole
+
+
+@pytest.mark.parametrize("wrong", [[[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]], [[1.0] * 4, None]])
+def test_ragged_and_missing_vectors_are_refused(spark, wrong):
+    cents = spark.createDataFrame([(0, [0.0] * 4)], "cluster int, centroid array<double>")
+    rows = spark.createDataFrame(list(enumerate(wrong)), "id long, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="vectors must have 4 values"):
+        vec.nearest_centroid(rows, cents).collect()
+
+
+def test_scalars_are_bound_once_for_wide_vectors(spark):
+    rows = frame(spark, np.ones((200, 1024)))
+    for out in (vec.normalize_vectors(rows), vec.remove_component(rows, [1.0] + [0.0] * 1023)):
+        start = time.perf_counter()
+        assert out.count() == 200 and len(out.first().features) == 1024
+        out.write.format("noop").mode("overwrite").save()
+        assert time.perf_counter() - start < 20
