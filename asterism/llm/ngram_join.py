@@ -38,7 +38,7 @@ from .marks import only_marked
 WORDS = 5
 UP, DOWN = 3, 4
 SPARE = 16  # the prefix holds n // SPARE shingles more than one shared shingle asks for
-FINE_SPARE = 4
+FINE_SPARE = 8
 ENTRIES_PER_BUCKET = 400_000
 BLOCK = 512
 
@@ -242,31 +242,26 @@ class InvertedLists:
 
 
 def _sets_column(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()]
+    return shingle_sets(table.column(name).combine_chunks())
 
 
 _LINKS = "a long, b long"
 
 
-def _leader_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _leader_links(texts: DataFrame) -> DataFrame:
     """Links between classes and their leaders; a leader's followers are searched in blocks."""
-    parts = pairs.groupBy("leader").agg(F.count("*").alias("n")).select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "leader").select(
-        "id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    )
-    followers = sets.join(dealt, "id").select("leader", "part", "id", "shingles")
-    asking = sets.join(parts.withColumnRenamed("leader", "id"), "id").select(
+    followers = texts.filter("leader IS NOT NULL").select("leader", "part", "id", "text")
+    asking = texts.filter("parts IS NOT NULL").select(
         F.col("id").alias("query"),
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"),
-        F.col("shingles").alias("asked"),
+        F.col("text").alias("asked"),
     )
 
     def run(followed: pa.Table, asked: pa.Table) -> pa.Table:
         a = b = np.zeros(0, np.int64)
         if followed.num_rows and asked.num_rows:
-            ids = followed.column("id").to_numpy()
-            query = np.frombuffer(asked.column("asked")[0].as_py(), np.uint64)
-            a = ids[InvertedLists(_sets_column(followed, "shingles")).search(query)]
+            (query,) = _sets_column(asked.slice(0, 1), "asked")
+            a = followed.column("id").to_numpy()[InvertedLists(_sets_column(followed, "text")).search(query)]
             b = np.full(len(a), asked.column("query")[0].as_py())
         return pa.table({"a": a, "b": b})
 
@@ -274,7 +269,7 @@ def _leader_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _group_links(active: DataFrame) -> DataFrame:
-    """Links between classes of different components inside each candidate group (id, team, group, shingles).
+    """Links between classes of different components inside each candidate group (id, team, group, text).
 
     A group beyond BLOCK classes is cut into blocks, and every two blocks meet once.
     """
@@ -283,11 +278,11 @@ def _group_links(active: DataFrame) -> DataFrame:
     )
     dealt = active.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "team", "shingles"
+        "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "team", "text"
     )
 
     def run(table: pa.Table) -> pa.Table:
-        ids, teams, sets = table.column("id").to_numpy(), table.column("team").to_pylist(), _sets_column(table, "shingles")
+        ids, teams, sets = table.column("id").to_numpy(), table.column("team").to_pylist(), _sets_column(table, "text")
         lists = InvertedLists(sets)
         leader: dict[int, int] = {}
 
@@ -329,19 +324,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .join(classes.select("n", F.col("ref").alias("id"), F.col("id").alias("doc")), "id")
         .filter(F.col("shared") >= needed(F.col("n"), SPARE))
     )
-    open_classes = stored(enough.select(F.col("doc").alias("id"), "n", F.col("id").alias("ref"), "leader"))
-    sets = stored(_open_sets(read, open_classes))
-
-    leaders = open_classes.select(F.col("ref").alias("leader"), F.col("id").alias("leader_id"))
-    pairs = stored(
-        open_classes.filter("ref <> leader").join(leaders, "leader").select("id", F.col("leader_id").alias("leader"))
-    )
-    links = stored(_leader_links(sets, pairs))
+    open_classes = stored(enough.select(F.col("doc").alias("id"), F.col("id").alias("ref"), F.col("leader").alias("leader_ref")))
+    texts = stored(_open_texts(read, open_classes))
+    links = stored(_leader_links(texts))
     teams = components(links)
-    teamed = stored(
-        sets.join(teams, "id", "left").select("id", "shingles", "n", F.coalesce("component", "id").alias("team"))
-    )
-    more = _rest(teamed)
+    more = _rest(texts, teams)
     final = components(links.union(more))
     of_class = classes.join(final, "id", "left").select(
         "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id")
@@ -352,42 +339,59 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def _open_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, shingles) of the wanted documents, made again from their texts; texts are not shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets_of(batches):
-            n, ref, _ = _set_names(sets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(ref), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["id", "n", "ref", "shingles"],
-            )
+def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, n, text, leader, part, parts) of the classes that may have links, with one document's text each.
 
-    found = only_marked(docs, "doc_id", wanted.select(F.col("id").alias("doc_id"))).mapInArrow(run, "id long, n long, ref long, shingles binary")
-    return found.join(wanted.select("id", "ref"), ["id", "ref"]).select("id", "n", "shingles").dropDuplicates(["id"])
+    Texts go through shuffles instead of shingles, which take twice as much room; ``part`` is the block in which a
+    class is searched for its leader, ``parts`` the number of blocks in which it leads.
+    """
+    leaders = classes.select(F.col("ref").alias("leader_ref"), F.col("id").alias("leader"))
+    led = classes.filter("ref <> leader_ref").join(leaders, "leader_ref").select("id", "leader")
+    parts = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = led.join(parts, "leader").select(
+        "id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    )
+    wanted = stored(
+        classes.select("id").join(placed, "id", "left").join(parts.withColumnRenamed("leader", "id"), "id", "left")
+    )
+    marked = only_marked(docs, "doc_id", wanted.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+    return marked.join(wanted, "id").select("id", "text", "leader", "part", "parts")
 
 
-def _rest(teamed: DataFrame) -> DataFrame:
+def _rest(texts: DataFrame, teams: DataFrame) -> DataFrame:
     """Links between components that the search by leaders left open."""
-    total = teamed.agg(F.sum(F.floor(F.col("n") / DOWN) + F.floor(F.col("n") / FINE_SPARE) + 1)).first()[0]
+    teamed = texts.select("id", "text").join(teams, "id", "left").select("id", "text", F.coalesce("component", "id").alias("team"))
 
-    def entries(frame: DataFrame, spare: int, buckets: int) -> DataFrame:
+    def entries(frame: DataFrame, buckets: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            for batch, sets in _sets_of(batches):
                 if sets:
-                    yield _prefix_entries(sets, batch.column("id").to_numpy(), batch.column("team").to_numpy(), spare, buckets)
+                    yield _prefix_entries(
+                        sets, batch.column("id").to_numpy(), batch.column("team").to_numpy(), FINE_SPARE, buckets
+                    )
 
-        return frame.select("id", "team", "shingles").mapInArrow(run, _ENTRIES)
+        return frame.mapInArrow(run, _ENTRIES)
 
-    buckets = _buckets(total)
-    mixed = _shared(entries(teamed, FINE_SPARE, buckets)).groupBy("id").agg(F.sum("n").alias("shared"))
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets_of(batches):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64())], ["id", "n"]
+            )
+
+    counted = stored(texts.select("id", "text").mapInArrow(sizes, "id long, n long"))
+    length = F.floor(F.col("n") / DOWN) + F.floor(F.col("n") / FINE_SPARE) + 1
+    mixed = _shared(entries(teamed, _buckets(counted.agg(F.sum(length)).first()[0])))
+    open_ids = stored(
+        mixed.groupBy("id").agg(F.sum("n").alias("shared")).join(counted.dropDuplicates(["id"]), "id")
+        .filter(F.col("shared") >= needed(F.col("n"), FINE_SPARE)).select("id", "n")
+    )
     active = stored(
-        teamed.join(mixed, "id").filter(F.col("shared") >= needed(F.col("n"), FINE_SPARE)).drop("shared")
+        only_marked(texts.select("id", "text"), "id", open_ids).join(open_ids, "id").join(teams, "id", "left")
+        .select("id", "text", F.coalesce("component", "id").alias("team"))
     )
-    candidates = _shared(entries(active, FINE_SPARE, buckets)).select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    groups = components(candidates).withColumnRenamed("component", "group")
-    return stored(_group_links(active.join(groups, "id").select("id", "team", "group", "shingles")))
+    again = _shared(entries(active, _buckets(open_ids.agg(F.sum(length)).first()[0])))
+    groups = components(again.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "group")
+    return stored(_group_links(active.join(groups, "id").select("id", "team", "group", "text")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
