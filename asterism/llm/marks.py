@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 BITS = 1 << 25
 
 
-def only_marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def only_marked(rows: DataFrame, key: str, wanted: DataFrame, marked: bool = True) -> DataFrame:
     """Rows whose key may be in the column ``key`` of ``wanted``; all rows of wanted keys pass.
 
+    With ``marked`` false the other rows, whose keys are surely not in it.
+
     The bitmap has BITS bits (4 MB) whatever the data. Hashes that fall on one bit let other rows
     pass, all of them when there are very many keys; a join that follows removes them. It only
     saves shuffling texts that cannot meet a partner.
@@ -33,6 +35,7 @@ def only_marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         known = marks.value
         for batch in batches:
             at = batch.column("__spot").to_numpy()
-            yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["__spot"])
+            hit = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(hit == marked)).drop_columns(["__spot"])
 
     return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)

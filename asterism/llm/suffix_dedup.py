@@ -1,6 +1,6 @@
 """Removes passages of ``LENGTH`` bytes that are somewhere else too, exactly.
 
-Every LENGTH-byte string holds an anchor: of its K-byte grams the one with the smallest hash, the rightmost
+Every LENGTH-byte string (a multiple of 8) holds an anchor: of its K-byte grams the one with the smallest hash, the rightmost
 of equal ones. Equal strings have equal anchors, so it is enough to compare the surroundings of anchors with
 the same gram. Surroundings are hashed first:
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import slices, stored, text_bytes, text_or_empty
 from .hashing import RangeHash, mix
 from .marks import only_marked
 
 LENGTH = 200
-K = 16
+K = 48
 BUCKET_BYTES = 600_000
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -99,33 +99,33 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_directly(data: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
-    """The suffixes at ``at`` in order of their first ``length`` bytes; equal names are equal bytes."""
-    _, once, again = np.unique(name[at], return_index=True, return_inverse=True)
-    rows = np.lib.stride_tricks.sliding_window_view(data, length)[at[once]]
-    keys = np.ascontiguousarray(rows).view(f"V{length}").ravel()
-    words = keys.view(">u8").reshape(len(keys), -1)
-    order = _refined(words, np.argsort(words[:, 0], kind="stable"))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return at[np.argsort(rank[again], kind="stable")]
-
+    """The suffixes at ``at`` in order of their first ``length`` bytes; equal names are equal bytes.
 
-def _refined(words: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Completes an order by the first word: rows that tie are ordered by the next words."""
-    group = np.cumsum(np.concatenate([[0], words[order[1:], 0] != words[order[:-1], 0]]))
-    for w in range(1, words.shape[1]):
-        size = np.bincount(group)
-        open_ = np.flatnonzero(size[group] > 1)
+    Sorts by eight bytes; those that tie are sorted by the next eight, and so on.
+    """
+    words = np.zeros(len(data) - 7, np.uint64)  # the eight bytes at each place as one number
+    for i in range(8):
+        words |= data[i : len(data) - 7 + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+    _, once, again = np.unique(name[at], return_index=True, return_inverse=True)
+    places = at[once]
+    order = np.argsort(words[places], kind="stable")
+    first = words[places[order]]
+    group = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]]))
+    for step in range(8, length, 8):
+        open_ = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(open_):
             break
         rows, of = order[open_], group[open_]
-        inner = np.lexsort((words[rows, w], of))
+        # length is a multiple of 8, and ``length`` bytes follow the last suffix
+        inner = np.lexsort((words[places[rows] + step], of))
         order[open_] = rows = rows[inner]
-        of = of[inner]
+        of, now = of[inner], words[places[rows] + step]
         cut = np.zeros(len(group), bool)
-        cut[open_[1:]] = (of[1:] == of[:-1]) & (words[rows[1:], w] != words[rows[:-1], w])
+        cut[open_[1:]] = (of[1:] == of[:-1]) & (now[1:] != now[:-1])
         group = group + np.cumsum(cut)
-    return order
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return at[np.argsort(rank[again], kind="stable")]
 
 
 def suffix_order(data: np.ndarray, name: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -243,9 +243,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             (F.col("place") + F.col("reach_right")).cast("long").alias("end"),
         )
     )
-    mixed = around.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    mixed = stored(around.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
     wanted = stored(
-        around.join(mixed, "gram").filter(F.col("one.reach_left") + F.col("one.reach_right") >= length)
+        only_marked(around, "gram", mixed).join(mixed, "gram").filter(F.col("one.reach_left") + F.col("one.reach_right") >= length)
         .select("gram", (F.col("n") > 1).alias("often"), "one.*")
     )
     total = wanted.count() * (2 * length - K)
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept`` are the remaining bytes."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(read.filter("doc_id IS NOT NULL"), length)
+    spans = stored(repeated_spans(read.filter("doc_id IS NOT NULL"), length))
     lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
                 zip(*out) if out else [[]] * 6, (pa.int64(),) * 4 + (pa.binary(), pa.string()), strict=True
             )], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = read.join(lists, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.encode("text", "utf-8"), F.encode(F.lit(""), "utf-8")).alias("raw"), "spans"
+    # texts without a span are not moved
+    joined = only_marked(read, "doc_id", spans).join(lists, "doc_id", "left").select("doc_id", "text", "spans")
+    others = only_marked(read, "doc_id", spans, marked=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    every = joined.union(others).select(
+        "doc_id", F.encode(text_or_empty(F.col("text")), "utf-8").alias("raw"), "spans"
     )
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return every.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
