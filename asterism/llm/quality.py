@@ -97,6 +97,8 @@ def features(texts: pa.Array) -> np.ndarray:
     letter_then[1:] = (of[1:] == 7) & (of[:-1] != 7) & (of[:-1] != 3)
     capital = np.zeros(len(data), bool)
     capital[1:] = (of[1:] == 1) & ((of[:-1] == 3) | (of[:-1] == 4))
+    starts = offsets[:-1][n > 0]  # what stands before a text is no part of it
+    letter_then[starts] = capital[starts] = False
     letters = np.maximum(shares[0] + shares[1], 1)
     columns = [
         np.log1p(n), *(s / some for s in shares), shares[1] / letters, entropy, n / n_words,

@@ -27,8 +27,11 @@ def space_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     start = np.zeros(n, bool)
     feed = data == 0x0A
     start[1:] = ((data[1:] == 0x20) | feed[1:]) & ends[:-1]
-    start[2:] |= begins[2:] & feed[1:-1] & ends[:-2]
+    after_feed = np.zeros(n, bool)
+    after_feed[2:] = begins[2:] & feed[1:-1] & ends[:-2]
     filled = offsets[:-1][offsets[1:] > offsets[:-1]]
+    after_feed[np.minimum(filled + 1, n - 1)] = False  # the feed opens its text
+    start |= after_feed
     start[filled] = True
     at = np.flatnonzero(start)
     words = pa.LargeStringArray.from_buffers(
