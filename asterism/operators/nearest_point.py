@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PICK_RADIUS
+from ..session import durable
 
 _CUT = 4  # children per side
 _MAX_DEPTH = 24
@@ -128,21 +129,15 @@ def _finite(value: Column) -> Column:
     return F.abs(value) < F.lit(float("inf"))
 
 
-def _hot_leaves(probes: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame | None:
-    """(leaf, parts) of at most _MAX_HOT leaves with very many probes; None when there are none."""
-    if probes.count() <= _HOT_LEAF:
-        return None
-    counts = (
-        asked.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > _HOT_LEAF).persist()
+def _hot_leaves(asked: DataFrame, key: list[str]) -> DataFrame | None:
+    """(leaf, parts) of the _MAX_HOT leaves with the most probes; None when no leaf has very many."""
+    rows = (
+        asked.filter("lvl >= 0").groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > _HOT_LEAF)
+        .orderBy(F.col("n").desc(), *key).limit(_MAX_HOT).collect()
     )
-    limit = _HOT_LEAF
-    while counts.filter(F.col("n") > limit).count() > _MAX_HOT:
-        limit *= 2
-    rows = counts.filter(F.col("n") > limit).collect()
-    counts.unpersist()
     if not rows:
         return None
-    return probes.sparkSession.createDataFrame(
+    return asked.sparkSession.createDataFrame(
         [(r.lvl, r.cx, r.cy, -(-r.n // _HOT_LEAF)) for r in rows],
         "lvl long, cx long, cy long, parts long",
     )
@@ -153,15 +148,16 @@ def pick_nearest(
 ) -> DataFrame:
     """(probe_id, id): for every (probe_id, px, py) the nearest of (id, x, y) within ``radius``.
 
-    The radius is inclusive, the highest id wins ties, and -1 says that no point is in reach.
+    The radius is inclusive, the highest id wins ties, and -1 says that no point is in reach. A
+    probe id at several places has an answer for each; equal probes are answered once. Points and probes are
+    each read once.
     """
     size = float(radius) * (1.0 + 1e-9) if radius > 0 else 1.0
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     # Points on the same spot: only the highest id can win.
-    spots = (
+    spots = durable(
         points.filter(_finite(x) & _finite(y))
         .groupBy(x.alias("x"), y.alias("y")).agg(F.max("id").cast("long").alias("id"))
-        .persist()
     )
     n_spots, reach = spots.agg(
         F.count("*"), F.max(F.greatest(F.abs("x"), F.abs("y")))
@@ -170,7 +166,6 @@ def pick_nearest(
     depth = _MAX_DEPTH if not reach else int(52 - math.log2(max(1.0, reach / size))) // 2
     limit = max(_LEAF_POINTS, n_spots // _MAX_HEAVY)
     levels = _heavy_cells(spots, size, limit, max(0, min(_MAX_DEPTH, depth)))
-    spots.unpersist()
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,7 +178,13 @@ def pick_nearest(
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             px, py = b.column("px").to_numpy(), b.column("py").to_numpy()
-            (who, lvl, cx, cy), bound = _candidate_batch(levels, size, radius, px, py)
+            fine = np.flatnonzero(np.isfinite(px) & np.isfinite(py))
+            (who, lvl, cx, cy), bound = _candidate_batch(levels, size, radius, px[fine], py[fine])
+            who = fine[who]
+            alone = np.setdiff1d(np.arange(len(px)), who)  # no leaf in reach: one row without a leaf
+            none = np.full(len(alone), -1)
+            who, lvl, cx, cy = (np.append(a, b) for a, b in zip((who, lvl, cx, cy), (alone, none, none, none), strict=True))
+            bound = np.append(bound, np.zeros(len(alone)))
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays(
                 [b.column(i).take(at) for i in range(3)] + [pa.array(v) for v in (lvl, cx, cy, bound)],
@@ -194,16 +195,19 @@ def pick_nearest(
         leaves, "id long, x double, y double, lvl long, cx long, cy long"
     )
     px, py = F.col("px").cast("double"), F.col("py").cast("double")
-    asked = (
-        probes.filter(_finite(px) & _finite(py))
-        .select(F.col("probe_id").cast("long"), px.alias("px"), py.alias("py"))
+    inside = _finite(px) & _finite(py)
+    asked = durable(
+        probes.select(
+            F.col("probe_id").cast("long"),
+            *(F.when(inside, c).otherwise(float("nan")).alias(n) for n, c in (("px", px), ("py", py))),
+        )
         .mapInArrow(
             candidates,
             "probe_id long, px double, py double, lvl long, cx long, cy long, bound double",
         )
     )
     key = ["lvl", "cx", "cy"]
-    hot = _hot_leaves(probes, asked, key)
+    hot = _hot_leaves(asked, key)
     if hot is not None:
         # A leaf asked for by very many probes is joined in parts; its few points are copied.
         parts = F.coalesce("parts", F.lit(1))
@@ -219,12 +223,9 @@ def pick_nearest(
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     d2 = dx * dx + dy * dy
     reach2 = F.least(F.lit(float(radius) * float(radius)), F.col("bound") * F.col("bound"))
-    best = (
-        asked.join(placed, key)
-        .select("probe_id", "id", d2.alias("d2"), reach2.alias("reach2"))
-        .filter(F.col("d2") <= F.col("reach2"))
-        .groupBy("probe_id").agg(F.max_by("id", F.struct(-F.col("d2"), F.col("id"))).alias("id"))
+    found = asked.join(placed, key, "left").select(
+        "probe_id", "px", "py", F.when(d2 <= reach2, F.struct((-d2).alias("near"), F.col("id").alias("id"))).alias("hit")
     )
-    return probes.select(F.col("probe_id").cast("long")).join(best, "probe_id", "left").select(
-        "probe_id", F.coalesce("id", F.lit(-1).cast("long")).alias("id")
+    return found.groupBy("probe_id", "px", "py").agg(F.max("hit").alias("hit")).select(
+        "probe_id", F.coalesce("hit.id", F.lit(-1).cast("long")).alias("id")
     )

@@ -94,6 +94,15 @@ def test_nearest_within_the_radius(spark):
     assert pick_nearest(q, points(spark, [(0, 0)]).limit(0)).first().id == -1
 
 
+def test_a_probe_id_at_several_places_and_odd_probes(spark):
+    q = spark.createDataFrame(
+        [(7, 0.0, 0.0), (7, 50.0, 50.0), (7, 0.0, 0.0), (8, None, 1.0), (9, float("nan"), 0.0), (9, float("inf"), 0.0)],
+        "probe_id long, px double, py double",
+    )
+    got = sorted((r.probe_id, r.id) for r in pick_nearest(q, points(spark, [(1, 1), (49, 50)]), 5.0).collect())
+    assert got[:2] == [(7, 0), (7, 1)] and {i for p, i in got if p > 7} == {-1} and {p for p, _ in got} == {7, 8, 9}
+
+
 def brute_nearest(probes, pts, radius):
     out = []
     for px, py in probes:
