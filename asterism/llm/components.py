@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_least(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = stored(large.filter("a <> b").distinct())
+        large = large.filter("a <> b").distinct()  # its shuffle serves both uses
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("least").alias("b")), F.struct(F.col("a"), F.col("least").alias("b")))).alias("e")

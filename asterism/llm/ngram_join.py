@@ -324,12 +324,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .join(classes.select("n", F.col("ref").alias("id"), F.col("id").alias("doc")), "id")
         .filter(F.col("shared") >= needed(F.col("n"), SPARE))
     )
-    open_classes = stored(enough.select(F.col("doc").alias("id"), F.col("id").alias("ref"), F.col("leader").alias("leader_ref")))
+    open_classes = stored(
+        enough.select(F.col("doc").alias("id"), "n", F.col("id").alias("ref"), F.col("leader").alias("leader_ref"))
+    )
     texts = stored(_open_texts(read, open_classes))
     links = stored(_leader_links(texts))
     teams = components(links)
-    more = _rest(texts, teams)
-    final = components(links.union(more))
+    more = _rest(texts, open_classes, teams)
+    final = _merged(teams, more)
     of_class = classes.join(final, "id", "left").select(
         "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id")
     )
@@ -340,7 +342,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, n, text, leader, part, parts) of the classes that may have links, with one document's text each.
+    """(id, text, leader, part, parts) of the classes that may have links, with one document's text each.
 
     Texts go through shuffles instead of shingles, which take twice as much room; ``part`` is the block in which a
     class is searched for its leader, ``parts`` the number of blocks in which it leads.
@@ -358,7 +360,26 @@ def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return marked.join(wanted, "id").select("id", "text", "leader", "part", "parts")
 
 
-def _rest(texts: DataFrame, teams: DataFrame) -> DataFrame:
+def _merged(teams: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) when further links join the components of ``teams``."""
+    if more.isEmpty():
+        return teams
+    known = teams.select(F.col("id"), F.col("component").alias("team"))
+    ends = [
+        known.select(F.col("id").alias(end), F.col("team").alias(f"{end}_team")) for end in ("a", "b")
+    ]
+    joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+        F.coalesce("a_team", "a").alias("a"), F.coalesce("b_team", "b").alias("b")
+    )
+    over = components(joined).withColumnsRenamed({"id": "team", "component": "over"})
+    grown = known.join(over, "team", "left").select("id", F.coalesce("over", "team").alias("component"))
+    alone = over.join(known.select(F.col("id").alias("team")), "team", "left_anti").select(
+        F.col("team").alias("id"), F.col("over").alias("component")
+    )
+    return grown.union(alone)
+
+
+def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame) -> DataFrame:
     """Links between components that the search by leaders left open."""
     teamed = texts.select("id", "text").join(teams, "id", "left").select("id", "text", F.coalesce("component", "id").alias("team"))
 
@@ -372,24 +393,20 @@ def _rest(texts: DataFrame, teams: DataFrame) -> DataFrame:
 
         return frame.mapInArrow(run, _ENTRIES)
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets_of(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64())], ["id", "n"]
-            )
-
-    counted = stored(texts.select("id", "text").mapInArrow(sizes, "id long, n long"))
     length = F.floor(F.col("n") / DOWN) + F.floor(F.col("n") / FINE_SPARE) + 1
-    mixed = _shared(entries(teamed, _buckets(counted.agg(F.sum(length)).first()[0])))
+    mixed = _shared(entries(teamed, _buckets(classes.agg(F.sum(length)).first()[0])))
     open_ids = stored(
-        mixed.groupBy("id").agg(F.sum("n").alias("shared")).join(counted.dropDuplicates(["id"]), "id")
+        mixed.groupBy("id").agg(F.sum("n").alias("shared")).join(classes.select("id", "n"), "id")
         .filter(F.col("shared") >= needed(F.col("n"), FINE_SPARE)).select("id", "n")
     )
+    total = open_ids.agg(F.sum(length)).first()[0]
+    if not total:
+        return open_ids.select(F.col("id").alias("a"), F.col("id").alias("b"))
     active = stored(
         only_marked(texts.select("id", "text"), "id", open_ids).join(open_ids, "id").join(teams, "id", "left")
         .select("id", "text", F.coalesce("component", "id").alias("team"))
     )
-    again = _shared(entries(active, _buckets(open_ids.agg(F.sum(length)).first()[0])))
+    again = _shared(entries(active, _buckets(total)))
     groups = components(again.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "group")
     return stored(_group_links(active.join(groups, "id").select("id", "team", "group", "text")))
 
