@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from .marks import only_marked
 LENGTH = 200
 K = 48
 BUCKET_BYTES = 600_000
+SORT_BYTES = 300_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -257,18 +259,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     pieces = texts.join(by_document, "doc_id").select(
         "doc_id", F.encode("text", "utf-8").alias("raw"), F.explode("cut").alias("c")
     ).select(
-        F.pmod("c.gram", F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "c.often",
+        F.pmod("c.gram", F.lit(buckets)).cast("int").alias("bucket"), "c.gram", "doc_id", "c.often",
         (F.col("c.place") - F.col("c.reach_left")).cast("long").alias("start"),
         F.substring("raw", F.col("c.place") - F.col("c.reach_left") + 1, (F.col("c.reach_left") + F.col("c.reach_right")).cast("int")).alias("piece"),
     )
 
     def run(table: pa.Table) -> pa.Table:
-        owner = table.column("doc_id").to_numpy()
-        piece, where = repeated_places(
-            table.column("piece").to_pylist(), owner, table.column("start").to_numpy(),
-            table.column("often").to_numpy(), length,
-        )
-        ids, start, end = _runs(owner[piece], where, length)
+        table = table.sort_by("gram")  # pieces of one gram stay together, so parts can be sorted one by one
+        gram = table.column("gram").to_numpy()
+        size = np.cumsum(pc.binary_length(table.column("piece")).to_numpy())
+        ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+        found, start = [(np.zeros(0, np.int64),) * 3], 0
+        while start < len(gram):
+            most = (size[start - 1] if start else 0) + SORT_BYTES
+            fits = ends[(ends > start) & (size[ends - 1] <= most)]
+            stop = int(fits[-1] if len(fits) else ends[np.searchsorted(ends, start, side="right")])
+            part = table.slice(start, stop - start)
+            owner = part.column("doc_id").to_numpy()
+            piece, where = repeated_places(
+                part.column("piece").to_pylist(), owner, part.column("start").to_numpy(),
+                part.column("often").to_numpy(), length,
+            )
+            found.append(_runs(owner[piece], where, length))
+            start = stop
+        ids, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"doc_id": ids, "start": start, "end": end})
 
     return settled.union(pieces.groupBy("bucket").applyInArrow(run, _SPANS))
