@@ -41,6 +41,7 @@ SPARE = 16  # the prefix holds n // SPARE shingles more than one shared shingle
 FINE_SPARE = 8
 ENTRIES_PER_BUCKET = 400_000
 BLOCK = 512
+PROBES = 64  # long lists probed at a time
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -207,6 +208,8 @@ class InvertedLists:
         self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]  # ascending inside a list
         self.shingles, self.first = np.unique(flat[order], return_index=True)
         self.ends = np.append(self.first[1:], len(flat))
+        # lists one after the other as one ascending array, so that many probes are one search
+        self.probed = np.repeat(np.arange(len(self.first)), self.ends - self.first) * len(sets) + self.members
 
     def search(self, query: np.ndarray) -> np.ndarray:
         """Sets whose likeness with the query is at least UP / DOWN, by DivideSkip.
@@ -230,13 +233,13 @@ class InvertedLists:
         asked = -(-UP * (self.sizes[candidates] + len(query)) // (UP + DOWN))
         open_ = seen >= asked - n_long
         candidates, seen, asked = candidates[open_], seen[open_], asked[open_]
-        for left, i in zip(range(len(long) - 1, -1, -1), long, strict=True):
+        for i in range(0, len(long), PROBES):
             if not len(candidates):
                 break
-            members = self.members[self.first[i] : self.ends[i]]
-            place = np.minimum(np.searchsorted(members, candidates), len(members) - 1)
-            seen = seen + (members[place] == candidates)
-            open_ = seen >= asked - left
+            probes = long[i : i + PROBES, None] * len(self.sizes) + candidates[None, :]
+            place = np.minimum(np.searchsorted(self.probed, probes), len(self.probed) - 1)
+            seen = seen + (self.probed[place] == probes).sum(0)
+            open_ = seen >= asked - max(len(long) - i - PROBES, 0)
             candidates, seen, asked = candidates[open_], seen[open_], asked[open_]
         return candidates
 
@@ -301,7 +304,9 @@ def _group_links(active: DataFrame) -> DataFrame:
                     b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("group", "low", "high").applyInArrow(run, _LINKS)
+    # pairs of blocks are much work each: they are dealt out evenly, not gathered by their few bytes
+    width = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.sparkSession.sparkContext.defaultParallelism)
+    return met.repartition(width, "group", "low", "high").groupBy("group", "low", "high").applyInArrow(run, _LINKS)
 
 
 def _buckets(total: int | None) -> int:
