@@ -21,7 +21,8 @@ HEADLINE = [
     "parse_lines", "tokenize", "label_groups", "embed_hash", "csv_guard", "group_centroids",
     "nearest_centroid", "topk_similar", "covariance", "pca_2d", "kmeans_seed", "kmeans", "elbow_k",
     "build_map", "legend", "recluster", "export_csv", "export_json", "lines_map",
-    "normalize_coords", "reproject", "constellation_edges", "pick_nearest",
+    "normalize_coords", "reproject", "constellation_edges", "pick_nearest", "normalize_vectors",
+    "remove_component", "export_document", "place_on_saved_map",
 ]
 
 
