@@ -227,6 +227,70 @@ def _runs(owner: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray
     return owner[first], where[first], where[last] + length
 
 
+def _alike_segments(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, start, end) of the runs of strings whose hash occurs twice or more among the pieces.
+
+    All other strings are unlike each other. Hashes are made a few pieces at a time.
+    """
+    counts = np.array([max(len(p) - length + 1, 0) for p in pieces], np.int64)
+    names, first = [], 0
+    ends = np.cumsum([len(p) for p in pieces])
+    while first < len(pieces):
+        most = (ends[first - 1] if first else 0) + SORT_BYTES
+        last = max(int(np.searchsorted(ends, most, side="right")), first + 1)
+        data = np.frombuffer(b"".join(pieces[first:last]), np.uint8)
+        n = counts[first:last]
+        begin = np.cumsum([0, *(len(p) for p in pieces[first : last - 1])])
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        names.append(RangeHash(data)(at, at + length))
+        first = last
+    flat = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    _, again, times = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+    hit = np.flatnonzero(times[again] > 1)
+    if not len(hit):
+        return hit, hit, hit
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(hit)) - 1
+    return owner[hit[head]], place[hit[head]], place[hit[tail]] + length
+
+
+def _part_spans(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, often: np.ndarray, length: int):
+    """(owner, start, end) of the repeats among pieces.
+
+    Only segments that hold a string met twice are sorted, each different segment once; what is found in
+    it holds for all places where it occurs. So a passage in very many documents is sorted once.
+    """
+    none = (np.zeros(0, np.int64),) * 3
+    piece, low, high = _alike_segments(pieces, length)
+    if not len(piece):
+        return none
+    known: dict[bytes, int] = {}
+    segment = np.array([
+        known.setdefault(pieces[p][a:b], len(known)) for p, a, b in zip(piece.tolist(), low.tolist(), high.tolist(), strict=True)
+    ])
+    owners, starts = owner[piece], start[piece] + low
+    order = np.argsort(segment, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], segment[order][1:] != segment[order][:-1]]))
+    by = lambda f, x: f.reduceat(x[order], first)
+    several = (
+        (by(np.minimum, owners) != by(np.maximum, owners)) | (by(np.minimum, starts) != by(np.maximum, starts))
+        | (by(np.maximum, often[piece].astype(np.int64)) > 0)
+    )
+    one = order[first]  # a place of each segment
+    found, where = repeated_places(list(known), owners[one], starts[one], several, length)
+    if not len(found):
+        return none
+    which, a, b = _runs(found, where - starts[one][found], length)
+    size = np.diff(np.append(first, len(order)))
+    repeat = size[which]
+    members = order[np.repeat(first[which] - (np.cumsum(repeat) - repeat), repeat) + np.arange(int(repeat.sum()))]
+    return owners[members], starts[members] + np.repeat(a, repeat), starts[members] + np.repeat(b, repeat)
+
+
 _SPANS = "doc_id long, start long, end long"
 
 
@@ -275,12 +339,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             fits = ends[(ends > start) & (size[ends - 1] <= most)]
             stop = int(fits[-1] if len(fits) else ends[np.searchsorted(ends, start, side="right")])
             part = table.slice(start, stop - start)
-            owner = part.column("doc_id").to_numpy()
-            piece, where = repeated_places(
-                part.column("piece").to_pylist(), owner, part.column("start").to_numpy(),
-                part.column("often").to_numpy(), length,
-            )
-            found.append(_runs(owner[piece], where, length))
+            found.append(_part_spans(
+                part.column("piece").to_pylist(), part.column("doc_id").to_numpy(),
+                part.column("start").to_numpy(), part.column("often").to_numpy(), length,
+            ))
             start = stop
         ids, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"doc_id": ids, "start": start, "end": end})
