@@ -41,6 +41,7 @@ SPARE = 16  # the prefix holds n // SPARE shingles more than one shared shingle
 FINE_SPARE = 8
 ENTRIES_PER_BUCKET = 400_000
 BLOCK = 512
+GROUP_BLOCK = 2048  # a candidate group is copied once for every so many classes in it
 PROBES = 64  # long lists probed at a time
 
 
@@ -274,10 +275,10 @@ def _leader_links(texts: DataFrame) -> DataFrame:
 def _group_links(active: DataFrame) -> DataFrame:
     """Links between classes of different components inside each candidate group (id, team, group, text).
 
-    A group beyond BLOCK classes is cut into blocks, and every two blocks meet once.
+    A group beyond GROUP_BLOCK classes is cut into blocks, and every two blocks meet once.
     """
     sizes = active.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select(
-        "group", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
+        "group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("parts")
     )
     dealt = active.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
