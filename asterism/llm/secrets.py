@@ -45,12 +45,14 @@ CLASSES = (
     (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 3.7, 2),
     (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.9, 3),
 )
-# harmless strings: UUIDs, dates and numbers, slugs and paths of plain words, rulers
+# harmless strings: UUIDs, dates and numbers, rulers
 _ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[0-9+/_=-]+",
-    r"([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8})([/_=+-]+([A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8}))*",
 )
+# slugs and paths: between separators there are plain words only; tested part by part, so in linear time
+_SEPARATORS = r"[/_=+-]+"
+_WORD = r"[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,8}"
 
 
 def _kind_of(char: str) -> int:
@@ -61,7 +63,7 @@ def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Parts of one run of key characters in which some class has windows of high entropy."""
     if len(text) < window:
         return []
-    part = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+    part = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]  # one more, as a character enters before one leaves
     flagged = []
     for members, least, variety in CLASSES:
         counts: dict[str, int] = {}
@@ -96,7 +98,11 @@ def _finder():
     """Compiled once in each task: (text, which kinds may occur) -> spans by start, then kind."""
     assign = re.compile(_ASSIGN, re.IGNORECASE | re.ASCII)
     access, hexes, runs = re.compile(_ACCESS), re.compile(_HEX), re.compile(_RUN)
-    allowed = re.compile("|".join(f"(?:{p})" for p in _ALLOWED))
+    listed = re.compile("|".join(f"(?:{p})" for p in _ALLOWED))
+    separators, word = re.compile(_SEPARATORS), re.compile(_WORD)
+
+    def allowed(run: str) -> bool:
+        return bool(listed.fullmatch(run)) or all(word.fullmatch(p) for p in separators.split(run))
 
     def find(text: str, maybe: tuple[bool, bool, bool, bool]) -> list[tuple[int, int, int]]:
         found = []
@@ -109,7 +115,7 @@ def _finder():
         if maybe[3]:
             base = list(found)
             for m in runs.finditer(text):
-                if allowed.fullmatch(m[0]):
+                if allowed(m[0]):
                     continue
                 for a, b in entropy_spans(m[0]):
                     a, b = a + m.start(), b + m.start()
