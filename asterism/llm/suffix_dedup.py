@@ -35,6 +35,7 @@ LENGTH = 200
 K = 48
 BUCKET_BYTES = 600_000
 SORT_BYTES = 300_000
+PART_BYTES = 1 << 20  # longer texts are looked at in parts
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -77,25 +78,41 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict
     }
 
 
+def anchors_in_parts(data: np.ndarray, length: int = LENGTH, part: int = PART_BYTES) -> Iterator[dict[str, np.ndarray]]:
+    """The anchors of one text of any length, a part at a time; memory is bounded by the part.
+
+    Parts overlap so far that every anchor of a string that starts in a part is met there with all of its surroundings.
+    """
+    n, done = len(data), -1
+    for begin in range(0, n, part):
+        low, high = max(begin - 2 * length, 0), min(begin + part + 2 * length, n)
+        a = anchors(data[low:high], np.array([0, high - low]), length)
+        place = a["place"] + low
+        whole = ((place - (length - K) >= low) | (low == 0)) & ((place + length <= high) | (high == n))
+        keep = whole & (place > done)  # the part before has given the others
+        if keep.any():
+            done = int(place[keep][-1])
+            yield {name: values[keep] for name, values in (a | {"place": place}).items()}
+
+
 _ANCHORS = "doc_id long, place int, reach_left short, reach_right short, gram long, around long"
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", PART_BYTES):
                 data, offsets = text_bytes(batch.column("text"))
-                if len(data) > int(_PLACE):
-                    raise ValueError("a text of more than 16 MB")
-                a = anchors(data, offsets, length)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(a["text"])), pa.array(a["place"].astype(np.int32)),
-                        pa.array(a["left"].astype(np.int16)), pa.array(a["right"].astype(np.int16)),
-                        pa.array(a["gram"]), pa.array(a["around"]),
-                    ],
-                    ["doc_id", "place", "reach_left", "reach_right", "gram", "around"],
-                )
+                # a batch above PART_BYTES is one text
+                for a in [anchors(data, offsets, length)] if len(data) <= PART_BYTES else anchors_in_parts(data, length):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").take(pa.array(a["text"])), pa.array(a["place"].astype(np.int32)),
+                            pa.array(a["left"].astype(np.int16)), pa.array(a["right"].astype(np.int16)),
+                            pa.array(a["gram"]), pa.array(a["around"]),
+                        ],
+                        ["doc_id", "place", "reach_left", "reach_right", "gram", "around"],
+                    )
 
     return docs.mapInArrow(run, _ANCHORS)
 

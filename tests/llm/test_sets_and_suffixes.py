@@ -141,3 +141,26 @@ def test_repeated_rows_and_no_rows(frame, prose):
     assert sorted((r.n_bytes, r.n_bytes - r.n_removed) for r in got)[0] == (5, 5) and len(got) == 3
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id == 4)
     assert suffix_dedup.drop_repeats(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghij"])
+def test_anchors_in_parts_are_those_of_the_whole_text(letters):
+    rng = random.Random(len(letters))
+    for n in (0, 199, 200, 700, 1000, 5000):
+        data = np.frombuffer("".join(rng.choice(letters) for _ in range(n)).encode(), np.uint8)
+        whole = suffix_dedup.anchors(data, np.array([0, n]))
+        for part in (100, 250, 1000):
+            found = list(suffix_dedup.anchors_in_parts(data, suffix_dedup.LENGTH, part))
+            for name, values in whole.items():
+                assert np.concatenate([f[name] for f in found] + [np.zeros(0, np.int64)]).tolist() == values.tolist()
+
+
+def test_a_text_above_16_mb(frame, prose):
+    rng = np.random.default_rng(5)
+    passage = prose(60, 3)[:300]
+    text = rng.integers(97, 123, 17_500_000, np.uint8).tobytes().decode()
+    got = suffix_dedup.drop_repeats(frame([text[:17_000_000] + passage + text[17_000_000:], "Q" + passage + "Q"]))
+    size = len(passage.encode())
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got.drop("kept").collect()) == [
+        (size + 2, size, 1), (17_500_000 + size, size, 1),
+    ]
