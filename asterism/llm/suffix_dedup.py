@@ -10,6 +10,11 @@ the same gram. Surroundings are hashed first:
   two stages: suffixes smaller than their successor are sorted, all others are induced by scanning
   the buckets of first bytes in order. Adjacent suffixes with LENGTH bytes in common are repeats.
 
+* a gram with more than CROWD different surroundings is not taken to one bucket. Its strings are halved by the number of
+  bytes before the gram, again and again; each half has some bytes on both sides of the gram in common, so it is dealt
+  by their hash, counted before the shuffle. A half met once has no partner, equal pieces are settled, and
+  a half with at most CROWD different pieces goes to a bucket.
+
 Only the first LENGTH bytes of a suffix decide its place here, which is all that the comparison needs.
 
 Defined cases: a null or empty text has no bytes; texts below LENGTH bytes lose nothing; matches never
@@ -35,6 +40,7 @@ LENGTH = 200
 K = 48
 BUCKET_BYTES = 600_000
 SORT_BYTES = 300_000
+CROWD = SORT_BYTES // (2 * LENGTH - K)  # pieces that are sorted together
 PART_BYTES = 1 << 20  # longer texts are looked at in parts
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -309,9 +315,82 @@ def _part_spans(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, often
 
 
 _SPANS = "doc_id long, start long, end long"
+_HALVES = (
+    "gram long, low short, high short, key long, whole long, doc_id long, start long, reach_left short, often boolean, piece binary"
+)
+
+
+def _halved(pieces: DataFrame, length: int) -> DataFrame:
+    """Both halves of each piece whose strings have ``low`` to ``high`` bytes before the gram.
+
+    ``key`` names the bytes that all strings of a half have in common, ``whole`` all of its bytes.
+    """
+    slack = length - K
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large in batches:
+            for batch in slices(large, "piece", PART_BYTES):
+                raw = batch.column("piece").to_pylist()
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                size = np.array([len(p) for p in raw], np.int64)
+                low, high, left, begin = (
+                    batch.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "reach_left", "start")
+                )
+                right = size - left - K
+                at = np.cumsum(size) - size + left
+                of = RangeHash(data)
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    before, after = np.minimum(left, b), np.minimum(right, slack - a)
+                    has = np.flatnonzero(np.maximum(a, slack - right) <= before)
+                    a, b, before, after, g = a[has], b[has], before[has], after[has], at[has]
+                    key = of(g - a, g + K + slack - b)
+                    whole = mix(of(g - before, g + K + after) + before.astype(np.uint64))
+                    cut = [data[x:y].tobytes() for x, y in zip((g - before).tolist(), (g + K + after).tolist(), strict=True)]
+                    rows = pa.array(has)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("gram").take(rows), pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)),
+                            pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("doc_id").take(rows),
+                            pa.array(begin[has] + left[has] - before), pa.array(before.astype(np.int16)),
+                            batch.column("often").take(rows), pa.array(cut, pa.binary()),
+                        ],
+                        [f.split(" ")[0] for f in _HALVES.split(", ")],
+                    )
+
+    return pieces.mapInArrow(run, _HALVES)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _spread(pieces: DataFrame, length: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """(spans that are settled, pieces for buckets, number of the latter) of grams with more than ``crowd`` pieces.
+
+    Ends after as many rounds as ``length - K`` can be halved: the strings of the last halves are one each.
+    """
+    part = ["gram", "low", "high", "key"]
+    cells = pieces.withColumns({"low": F.lit(0).cast("short"), "high": F.lit(length - K).cast("short")})
+    settled, dealt, total = [], [], 0
+    while True:
+        halves = stored(_halved(cells, length))
+        kinds = stored(
+            halves.groupBy(*part, "whole")
+            .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "reach_left", "often", "piece")).alias("one"))
+            .select(*part, "whole", "n", "one.doc_id", "one.start", "one.reach_left", (F.col("one.often") | (F.col("n") > 1)).alias("often"), "one.piece")
+        )
+        twice = kinds.filter("n > 1").select(*part, "whole")
+        settled.append(
+            halves.join(twice, [*part, "whole"]).select("doc_id", "start", (F.col("start") + F.length("piece")).alias("end"))
+        )
+        sizes = stored(kinds.groupBy(*part).agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+        few, crowded = sizes.filter(F.col("kinds") <= crowd).select(*part), sizes.filter(F.col("kinds") > crowd).select(*part)
+        total += sizes.filter(F.col("kinds") <= crowd).agg(F.sum("kinds")).first()[0] or 0
+        dealt.append(kinds.join(few, part).select(F.xxhash64(*part).alias("gram"), "doc_id", "often", "start", "piece"))
+        if crowded.isEmpty():
+            return settled, dealt, total
+        # at most one of ``crowd`` rows
+        cells = kinds.join(F.broadcast(crowded), part).select("gram", "doc_id", "often", "start", "reach_left", "piece", "low", "high")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start, end) of bytes covered by repeated strings; spans of one document may overlap."""
     found = stored(_anchored(docs, length))
     around = stored(
@@ -326,24 +405,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             (F.col("place") + F.col("reach_right")).cast("long").alias("end"),
         )
     )
-    mixed = stored(around.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
-    wanted = stored(
-        only_marked(around, "gram", mixed).join(mixed, "gram").filter(F.col("one.reach_left") + F.col("one.reach_right") >= length)
-        .select("gram", (F.col("n") > 1).alias("often"), "one.*")
-    )
-    total = wanted.count() * (2 * length - K)
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    by_document = wanted.groupBy("doc_id").agg(
-        F.collect_list(F.struct("gram", "often", "place", "reach_left", "reach_right")).alias("cut")
-    )
-    texts = only_marked(docs, "doc_id", wanted.select("doc_id")).dropDuplicates(["doc_id"])
-    pieces = texts.join(by_document, "doc_id").select(
-        "doc_id", F.encode("text", "utf-8").alias("raw"), F.explode("cut").alias("c")
-    ).select(
-        F.pmod("c.gram", F.lit(buckets)).cast("int").alias("bucket"), "c.gram", "doc_id", "c.often",
-        (F.col("c.place") - F.col("c.reach_left")).cast("long").alias("start"),
-        F.substring("raw", F.col("c.place") - F.col("c.reach_left") + 1, (F.col("c.reach_left") + F.col("c.reach_right")).cast("int")).alias("piece"),
-    )
+    mixed = stored(around.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    few, crowded = mixed.filter(F.col("kinds") <= crowd).select("gram"), mixed.filter(F.col("kinds") > crowd).select("gram")
+    wide = around.filter(F.col("one.reach_left") + F.col("one.reach_right") >= length)
+    with_text = lambda rows: rows.select("gram", (F.col("n") > 1).alias("often"), "one.*")
+    wanted = stored(with_text(only_marked(wide, "gram", few).join(few, "gram")))
+    total = wanted.count()
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        by_document = wanted.groupBy("doc_id").agg(
+            F.collect_list(F.struct("gram", "often", "place", "reach_left", "reach_right")).alias("cut")
+        )
+        texts = only_marked(docs, "doc_id", wanted.select("doc_id")).dropDuplicates(["doc_id"])
+        return texts.join(by_document, "doc_id").select(
+            "doc_id", F.encode("text", "utf-8").alias("raw"), F.explode("cut").alias("c")
+        ).select(
+            "c.gram", "doc_id", "c.often", (F.col("c.place") - F.col("c.reach_left")).cast("long").alias("start"), "c.reach_left",
+            F.substring("raw", F.col("c.place") - F.col("c.reach_left") + 1, (F.col("c.reach_left") + F.col("c.reach_right")).cast("int")).alias("piece"),
+        )
+
+    pieces = cut(wanted).drop("reach_left")
+    if not crowded.isEmpty():
+        # at most one of ``crowd`` rows is broadcast
+        hot = stored(with_text(wide.join(F.broadcast(crowded), "gram")))
+        spans, dealt, more = _spread(cut(hot), length, crowd)
+        total += more
+        for part in dealt:
+            pieces = pieces.union(part)
+        for part in spans:
+            settled = settled.union(part)
+    buckets = max(1, -(-total * (2 * length - K) // BUCKET_BYTES))
+    pieces = pieces.withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("gram")  # pieces of one gram stay together, so parts can be sorted one by one

@@ -164,3 +164,34 @@ def test_a_text_above_16_mb(frame, prose):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in got.drop("kept").collect()) == [
         (size + 2, size, 1), (17_500_000 + size, size, 1),
     ]
+
+
+def test_a_crowded_gram_is_spread_and_equals_brute_force(frame, prose, monkeypatch):
+    rng = random.Random(4)
+    passage = prose(120, 31)
+    texts = []
+    for size in (60, 120, 170, 199, 230, 420):  # shared by many, with other text around it or alike on one side only
+        for i in range(14):
+            before = prose(20, 1000 + size + i) if i % 3 else prose(20, 7)
+            texts.append(before + passage[:size] + (prose(20, 5000 + size + i) if i % 4 else prose(20, 8)[rng.randint(0, 9) :]))
+    texts += ["x" + " " * n + "y" * i for i, n in enumerate((150, 199, 210, 260))]
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "_spread", lambda *a, f=suffix_dedup._spread: sizes.append(f(*a)) or sizes[-1])
+    docs = frame(texts)
+    spans = {}
+    for crowd in (2, 5):
+        rows = suffix_dedup.repeated_spans(docs.select("doc_id", "text"), crowd=crowd).collect()
+        spans[crowd] = {(r.doc_id, p) for r in rows for p in range(r.start, r.end)}
+        _, dealt, total = sizes[-1]
+        groups = [r["count"] for d in dealt for r in d.groupBy("gram").count().collect()]
+        assert groups and max(groups) <= crowd and sum(groups) == total
+    want = set()
+    places = defaultdict(list)
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        for p in range(len(raw) - suffix_dedup.LENGTH + 1):
+            places[raw[p : p + suffix_dedup.LENGTH]].append((i, p))
+    for found in places.values():
+        if len(found) > 1:
+            want |= {(i, q) for i, p in found for q in range(p, p + suffix_dedup.LENGTH)}
+    assert spans[2] == spans[5] == want and want
