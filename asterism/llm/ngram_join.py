@@ -418,6 +418,17 @@ def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id."""
-    kept = near_groups(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """``docs`` with one row of each group: that of the smallest id, a missing id being the largest.
+
+    Rows with a missing or repeated id are compared like any others; of rows with one id the one with the smallest
+    hashed text stays. Texts without words are in no group, so all of their rows stay.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(F.col("doc_id").cast("long"))).first()
+    if rows == ids:
+        kept = near_groups(docs).filter("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi")
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_groups(numbered, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    named = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("name"))
+    kept = groups.join(named, "__row").groupBy("component_id").agg(F.min("name").alias("name")).select("name.__row")
+    return numbered.join(kept, "__row", "left_semi").drop("__row")

@@ -68,6 +68,14 @@ def test_repeated_rows_missing_ids_and_no_rows(frame, prose):
     assert {r.doc_id for r in ngram_join.keep_one_of_each(frame([text, text, "other words"], [3, 4, 6])).collect()} == {3, 6}
 
 
+def test_one_row_of_each_group_with_missing_and_repeated_ids(frame, prose):
+    one, two, three = (prose(50, i) for i in (4, 5, 6))
+    rows = [(one, 5), (one, 5), (one + " end", 5), (one, None), (two, None), (two, None), (three, 7), ("", None), (None, None), ("", 9)]
+    got = ngram_join.keep_one_of_each(frame([t for t, _ in rows], [i for _, i in rows])).collect()
+    kept = sorted((str(r.doc_id), (r.text or "")[:20]) for r in got)
+    assert kept == sorted([("5", one[:20]), ("None", two[:20]), ("7", three[:20]), ("None", ""), ("None", ""), ("9", "")])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_divide_skip_finds_every_set_that_reaches_the_threshold(seed):
     rng = np.random.default_rng(seed)
