@@ -14,7 +14,8 @@ have a shingle, and a partner must be in at least T of a query's lists.
   searched again, each against all of its candidates, in blocks; with that no link between two
   components is missed.
 
-Links inside one component are not all listed: components and not pairs are the result.
+``near_groups`` does not list links inside a component. ``near_links`` does: every link lies inside one component, so
+the classes of each component are compared in blocks, all with all, and each class gets the number of documents it links with.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts below ``WORDS`` words have
 one shingle, the whole sequence; repeated rows and copies fall in one class; a null doc_id keeps
@@ -272,18 +273,22 @@ def _leader_links(texts: DataFrame) -> DataFrame:
     return followers.groupBy("leader", "part").cogroup(asking.groupBy("query", "block")).applyInArrow(run, _LINKS)
 
 
-def _group_links(active: DataFrame) -> DataFrame:
-    """Links between classes of different components inside each candidate group (id, team, group, text).
-
-    A group beyond GROUP_BLOCK classes is cut into blocks, and every two blocks meet once.
-    """
+def _blocks(active: DataFrame, *carried: str) -> DataFrame:
+    """Each candidate group (id, group, text) in pairs of blocks of GROUP_BLOCK classes; every two blocks meet once."""
     sizes = active.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select(
         "group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("parts")
     )
     dealt = active.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "id", "team", "text"
+        "group", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", *carried, "text"
     )
+    # pairs of blocks are much work each: they are dealt out evenly, not gathered by their few bytes
+    width = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.sparkSession.sparkContext.defaultParallelism)
+    return met.repartition(width, "group", "low", "high")
+
+
+def _group_links(active: DataFrame) -> DataFrame:
+    """Links between classes of different components inside each candidate group (id, team, group, text)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, teams, sets = table.column("id").to_numpy(), table.column("team").to_pylist(), _sets_column(table, "text")
@@ -305,9 +310,26 @@ def _group_links(active: DataFrame) -> DataFrame:
                     b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # pairs of blocks are much work each: they are dealt out evenly, not gathered by their few bytes
-    width = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.sparkSession.sparkContext.defaultParallelism)
-    return met.repartition(width, "group", "low", "high").groupBy("group", "low", "high").applyInArrow(run, _LINKS)
+    return _blocks(active, "team").groupBy("group", "low", "high").applyInArrow(run, _LINKS)
+
+
+def _link_counts(active: DataFrame) -> DataFrame:
+    """(id, linked): documents of the other classes that each class (id, docs, group, text) links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, docs, part = (table.column(c).to_numpy() for c in ("id", "docs", "part"))
+        sets = _sets_column(table, "text")
+        lists = InvertedLists(sets)
+        linked = np.zeros(len(ids), np.int64)
+        across = part.min() != part.max()  # then pairs inside a block are counted where it meets itself
+        for i, query in enumerate(sets):
+            found = lists.search(query)
+            found = found[(part[found] != part[i]) if across else (found != i)]
+            linked[i] = docs[found].sum()
+        return pa.table({"id": ids, "linked": linked})
+
+    found = _blocks(active, "docs").groupBy("group", "low", "high").applyInArrow(run, "id long, linked long")
+    return found.groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
 def _buckets(total: int | None) -> int:
@@ -316,10 +338,44 @@ def _buckets(total: int | None) -> int:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    named, classes, _, final = _solved(docs, doc_id, text)
+    of_class = classes.join(final, "id", "left").select(
+        "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id")
+    )
+    alone = named.join(of_class, ["n", "ref", "ref2"], "left")
+    return alone.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links) of every document.
+
+    ``class_id`` is the smallest id with the same set, ``n_links`` the number of other documents whose likeness
+    reaches ALIKE, copies among them. Both are null where all documents of a class have a null id; without shingles there is no link.
+    """
+    named, classes, texts, final = _solved(docs, doc_id, text)
+    final = stored(final)
+    members = texts.select("id", "text").join(final, "id").join(classes.select("id", "n", "docs"), "id")
+    linked = _link_counts(members.select("id", "docs", F.col("component").alias("group"), "text"))
+    of_class = classes.join(final, "id", "left").join(linked, "id", "left").select(
+        "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id"), F.col("id").alias("class_id"),
+        (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+    )
+    return named.join(of_class, ["n", "ref", "ref2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+    )
+
+
+def _solved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Named sets of all documents, their classes, texts of the classes that may have links, and components of classes."""
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = stored(_named(read))
     classes = stored(
-        named.filter("n > 0").groupBy("n", "ref", "ref2").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL")
+        named.filter("n > 0").groupBy("n", "ref", "ref2").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs"))
+        .filter("id IS NOT NULL")
     )
     length = lambda spare: F.floor(F.col("n") / DOWN) + F.greatest(F.floor(F.col("n") / spare), F.lit(1))
     total = classes.agg(F.sum(length(SPARE))).first()[0]
@@ -337,14 +393,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     links = stored(_leader_links(texts))
     teams = components(links)
     more = _rest(texts, open_classes, teams)
-    final = _merged(teams, more)
-    of_class = classes.join(final, "id", "left").select(
-        "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id")
-    )
-    alone = named.join(of_class, ["n", "ref", "ref2"], "left")
-    return alone.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return named, classes, texts, _merged(teams, more)
 
 
 def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:

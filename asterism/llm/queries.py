@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
-from .ngram_join import near_groups
+from .ngram_join import near_links
 from .packing import pack_documents
 from .personal import BASE as PERSONAL_BASE
 from .personal import find_personal
@@ -50,7 +50,7 @@ def line_dedup(spark, folder):
 
 
 def ngram_join(spark, folder):
-    return near_groups(table(spark, folder, "documents"))
+    return near_links(table(spark, folder, "documents")).drop("class_id")
 
 
 def quality_classifier(spark, folder):

@@ -76,6 +76,24 @@ def test_one_row_of_each_group_with_missing_and_repeated_ids(frame, prose):
     assert kept == sorted([("5", one[:20]), ("None", two[:20]), ("7", three[:20]), ("None", ""), ("None", ""), ("9", "")])
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_links_equal_all_pairs(frame, prose, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCK", block)
+    rng = random.Random(9)
+    texts = [varied(prose(90, 1), rng, s) for s in [0.01] * 12] + [prose(30, 2)] * 3 + [None, "", prose(40, 3)]
+    chain = prose(150, 7).split(" ")
+    texts += [" ".join(chain[i : i + 110]) for i in range(0, 40, 8)] + texts[:2]
+    sets = [shingles(t) for t in texts]
+    want = {
+        i: sum(1 for j, b in enumerate(sets) if i != j and a and 100 * len(a & b) >= 75 * len(a | b)) for i, a in enumerate(sets)
+    }
+    found = ngram_join.near_links(frame(texts)).collect()
+    groups = plain_groups(texts, list(range(len(texts))))
+    assert {r.doc_id: r.n_links for r in found} == want and max(want.values()) > 5
+    assert {r.doc_id: tuple(r)[:3] for r in found} == groups
+    assert {r.doc_id: r.class_id for r in found} == {i: sets.index(s) if s else i for i, s in enumerate(sets)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_divide_skip_finds_every_set_that_reaches_the_threshold(seed):
     rng = np.random.default_rng(seed)
