@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clustering import CLUSTERS, DIM, ROUNDS, cluster_rows, whole_rows
 from .common import table
 from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
+from .mixing import mix_sources
 from .ngram_join import near_links
 from .packing import pack_documents
 from .personal import BASE as PERSONAL_BASE
@@ -19,6 +21,8 @@ from .quality import score_quality
 from .secrets import find_secrets
 from .suffix_dedup import drop_repeats
 from .topk_join import topk_inner, whole_vectors
+from .whitening import whitened_rows
+from .whitening import whole_vectors as padded_vectors
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -99,6 +103,29 @@ def topk_search(spark, folder):
     return topk_inner(rows, rows.filter("id % 20 = 0"), 20)
 
 
+def source_mixing(spark, folder):
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def centroid_clustering(spark, folder):
+    found = cluster_rows(whole_rows(table(spark, folder, "embeddings"), DIM))
+    most = 2**63 - 1
+    of_clusters = [
+        (j, min(total, most), ",".join(map(str, centre)))
+        for j, (centre, total) in enumerate(zip(found.centroids, found.inertias))
+    ]
+    spelled_out = spark.createDataFrame(of_clusters, "cluster int, cluster_inertia long, centroid string")  # k rows
+    return found.rows.join(F.broadcast(spelled_out), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia",
+        F.lit(min(sum(found.inertias), most)).cast("long").alias("inertia"),
+        F.sha2("centroid", 256).alias("centroid_sha256"),
+    )
+
+
+def embedding_whitening(spark, folder):
+    return whitened_rows(padded_vectors(table(spark, folder, "embeddings")))
+
+
 LINE_DEDUP_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -126,6 +153,9 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": personal_data,
     "op9_secret_scans": secret_scans,
     "op10_topk_search": topk_search,
+    "op11_source_mixing": source_mixing,
+    "op12_centroid_clustering": centroid_clustering,
+    "op13_embedding_whitening": embedding_whitening,
 }
 
 TOPK_SQL = """
@@ -142,7 +172,45 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+
+
+def _clustering_sql() -> str:
+    """All rounds written out: every vector against every centroid, sums by (cluster, component)."""
+    parts = [f"""
+WITH kept AS (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h NULLS LAST, v) - 1)::INTEGER AS cluster, v AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept) ORDER BY h NULLS LAST, v LIMIT {CLUSTERS})"""]
+    for r in range(ROUNDS + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, row, v, cluster, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY d, cluster) AS place FROM (
+      SELECT k.*, c{r}.cluster,
+             list_sum(list_transform(list_zip(k.v, c{r}.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+      FROM kept k, c{r}))
+  WHERE place = 1)""")
+        if r < ROUNDS:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, old.c) AS c FROM c{r} old LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS c FROM (
+      SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY ALL)
+    GROUP BY cluster) m USING (cluster))""")
+    last = ROUNDS
+    return ",".join(parts) + f"""
+SELECT vec_id, cluster, d AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (cluster)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op10_topk_search": TOPK_SQL,
+    "op12_centroid_clustering": _clustering_sql(),
     "op5_line_dedup": LINE_DEDUP_SQL,
 }
