@@ -1,20 +1,31 @@
-"""Most similar vectors by cosine: exact top k for a table of probes."""
+"""Most similar vectors by cosine: exact top k for a table of probes.
+
+A side of at most _HELD_VALUES numbers is held by every task of the other one. Beyond that, unit vectors
+are divided into Voronoi cells around some of the rows, and the spread of angles inside a cell says how similar any of
+its rows can be to a probe. A probe first meets rows of its own cell, which gives a similarity that k
+rows reach; it is then copied only to cells that can still reach it.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .blocks import list_matrix
 
-_BROADCAST_VALUES = 1 << 22  # probe values held by every task
-_TILE_ROWS = 8192
+_HELD_VALUES = 1 << 22  # of the smaller side, held by every task
+_GROUP_VALUES = 1 << 22  # of either side in one group of the join
+_MOST_CELLS = 4096
 _CELLS = 1 << 21  # similarities computed at once
 _DIGITS = 6
+_SLACK = 2e-6  # similarities are rounded to 6 decimals
+_ANGLE = 1e-7  # rounding of an arc cosine near 1
 
 _FOUND = "probe_id long, id long, similarity double"
 
@@ -33,34 +44,35 @@ def _first_k(who: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
 
 
 def _search(
-    probe_ids: np.ndarray,
     probes: np.ndarray,
     batches: Iterable[tuple[np.ndarray, np.ndarray]],
     k: int,
-    skip_self: bool,
+    own: np.ndarray | None = None,
+    floor: np.ndarray | None = None,
 ):
-    """(probe id, id, similarity) of the k best rows per probe over all batches of (ids, rows).
+    """(place of the probe, id, similarity) of the k best rows per probe over all batches of (ids, rows).
 
-    Only rows that reach a probe's current k-th best are looked at again, and a product never has
-    more than _CELLS cells, so memory stays bounded by the probes.
+    Rows with the id ``own`` of a probe are left out; ``floor`` gives similarities that rows must reach. Only
+    rows that reach a probe's current k-th best are looked at again, and a product never has more than
+    _CELLS cells, so memory stays bounded by the probes.
     """
     who, found, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    floor = np.full(len(probe_ids), -np.inf)
-    step = max(1, _CELLS // max(1, len(probe_ids)))
+    floor = np.full(len(probes), -np.inf) if floor is None else floor.copy()
+    step = max(1, _CELLS // max(1, len(probes)))
     for ids, rows in batches:
         for start in range(0, len(ids), step):
             part = ids[start : start + step]
             sim = np.round(probes @ _unit(rows[start : start + step]).T, _DIGITS) + 0.0
             good = sim >= floor[:, None]
-            if skip_self:
-                good &= probe_ids[:, None] != part[None, :]
+            if own is not None:
+                good &= own[:, None] != part[None, :]
             p, r = np.nonzero(good)
             who, found, sims = _first_k(
                 np.concatenate([who, p]), np.concatenate([found, part[r]]), np.concatenate([sims, sim[p, r]]), k
             )
             full = np.flatnonzero(np.bincount(who, minlength=len(floor)) == k)
             floor[full] = sims[np.searchsorted(who, full, side="right") - 1]
-    return probe_ids[who], found, sims
+    return who, found, sims
 
 
 def _batch(probe_ids, ids, value) -> pa.RecordBatch:
@@ -70,23 +82,33 @@ def _batch(probe_ids, ids, value) -> pa.RecordBatch:
     )
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
+
+
 def topk_similar(
-    vectors: DataFrame, probes: DataFrame, k: int = 5, skip_self: bool = True
+    vectors: DataFrame, probes: DataFrame, k: int = 5, skip_self: bool = True, held_values: int | None = None
 ) -> DataFrame:
     """(probe_id, rank, id, similarity): for each of ``probes`` the k most similar ``vectors``.
 
     Both frames are (id, features). Similarity is the cosine rounded to 6 decimals (0 for a zero
-    vector); ties go to the lower id. Every task keeps only its own k best per probe before
-    anything is shuffled. Few probes are broadcast after a check of their size; otherwise both
-    sides are cut into tiles of bounded size and joined tile by tile.
+    vector); ties go to the lower id. Ids of ``vectors`` tell vectors apart: one id has one vector. Every
+    task keeps only its own k best per probe before anything is shuffled. A side is held by all tasks
+    only after a check of its size.
     """
-    n_probes, dim = probes.agg(F.count("*"), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
-    right = vectors.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>"))
-    left = probes.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>"))
-    if n_probes * dim <= _BROADCAST_VALUES:
-        found = _by_broadcast(left, right, k, skip_self)
+    held_values = _HELD_VALUES if held_values is None else held_values
+    left, right = _typed(probes), _typed(vectors)
+    size = F.count("*"), F.coalesce(F.max(F.size("features")), F.lit(0))
+    n_probes, dim = left.agg(*size).first()
+    if n_probes * dim <= held_values:
+        found = _by_held_probes(left, right, k, skip_self)
     else:
-        found = _by_tiles(left, right, n_probes, right.count(), k, skip_self)
+        n_rows, _ = right.agg(*size).first()
+        if n_rows * dim <= held_values:
+            found = _by_held_rows(left, right, k, skip_self)
+        else:
+            asks, rows, alone = cell_plan(left, right, dim, n_rows, k, skip_self)
+            found = _join_cells(asks, rows, k, skip_self).union(alone)
     best = Window.partitionBy("probe_id").orderBy(F.col("similarity").desc(), F.col("id"))
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -94,44 +116,197 @@ def topk_similar(
     )
 
 
-def _by_broadcast(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    table = left.toArrow()
-    probe_ids = table.column("id").to_numpy()
-    matrix = _unit(list_matrix(table.column("features").combine_chunks())) if len(table) else np.zeros((0, 0))
+def _held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = df.toArrow()
+    x = list_matrix(table.column("features").combine_chunks()) if len(table) else np.zeros((0, 0))
+    return table.column("id").to_numpy(), x
+
+
+def _by_held_probes(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    probe_ids, matrix = _held(left)
+    matrix = _unit(matrix)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(probe_ids):
             rows = ((b.column(0).to_numpy(), list_matrix(b.column(1))) for b in batches if len(b))
-            yield _batch(*_search(probe_ids, matrix, rows, k, skip_self))
+            who, found, sims = _search(matrix, rows, k, probe_ids if skip_self else None)
+            yield _batch(probe_ids[who], found, sims)
 
     return right.mapInArrow(search, _FOUND)
 
 
-def _by_tiles(
-    left: DataFrame, right: DataFrame, n_left: int, n_right: int, k: int, skip_self: bool
-) -> DataFrame:
-    """Row tiles are picked by hashed id, so no tile depends on the data's skew."""
-    a, b = -(-n_left // _TILE_ROWS), -(-n_right // _TILE_ROWS)
+def _by_held_rows(left: DataFrame, right: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    ids, matrix = _held(right)
 
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b) and len(ids):
+                own = b.column(0).to_numpy()
+                probes = _unit(list_matrix(b.column(1)))
+                who, found, sims = _search(probes, [(ids, matrix)], k, own if skip_self else None)
+                yield _batch(own[who], found, sims)
 
-    own = F.xxhash64("id")
-    tiles = (
-        left.withColumn("p", F.pmod(own, F.lit(a)).cast("int")).withColumn("v", every(b)).groupBy("p", "v")
-        .cogroup(
-            right.withColumn("v", F.pmod(own, F.lit(b)).cast("int")).withColumn("p", every(a)).groupBy("p", "v")
-        )
+    return left.mapInArrow(search, _FOUND)
+
+
+# ---- two large sides -------------------------------------------------------------------------------
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(id, features, cell, angle): the nearest pivot and the angle to it; zero vectors have cell -1."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = list_matrix(b.column("features"), pivots.shape[1])
+            cell, angle = np.zeros(len(x), np.int32), np.zeros(len(x))
+            step = max(1, _CELLS // len(pivots))
+            for i in range(0, len(x), step):
+                at = slice(i, i + step)
+                angles = _angles(_unit(x[at]), pivots)
+                cell[at] = angles.argmin(1)
+                angle[at] = angles.min(1)
+            zero = ~x.any(1)
+            cell[zero], angle[zero] = -1, 0.0
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("features"), pa.array(cell), pa.array(angle)],
+                names=["id", "features", "cell", "angle"],
+            )
+
+    return df.mapInArrow(place, "id long, features array<double>, cell int, angle double")
+
+
+def _every(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
+
+
+def _dealt(column: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(column), parts)
+
+
+def _wanted_cells(unit: np.ndarray, reach: np.ndarray, pivots: np.ndarray, cells: list[tuple], need: int):
+    """(probe, cell) pairs of the cells that can hold one of the k best of a probe.
+
+    ``cells`` are (cell, rows, least angle, largest angle); ``reach`` is a similarity that k rows of a
+    probe are known to have, and the cells' largest angles give another one.
+    """
+    number, n, least, most = (np.array(c) for c in zip(*cells))
+    known = number >= 0
+    angle = np.where(known[None, :], _angles(unit, pivots)[:, number], np.pi / 2)
+    sure = np.where(known, np.cos(np.minimum(angle + most + _ANGLE, np.pi)), 0.0)
+    order = np.argsort(-sure, axis=1)
+    enough = (np.cumsum(n[order], axis=1) >= need).argmax(1)
+    at = np.arange(len(unit))
+    by_cells = np.where(n.sum() >= need, sure[at, order[at, enough]], -np.inf)
+    possible = np.cos(np.maximum(np.maximum(angle - most, least - angle) - _ANGLE, 0))
+    possible = np.where(known[None, :], possible, 0.0)
+    who, where = np.nonzero(possible >= np.maximum(reach, by_cells)[:, None] - _SLACK)
+    return who, number[where]
+
+
+def cell_plan(
+    left: DataFrame, right: DataFrame, dim: int, n_rows: int, k: int, skip_self: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(probes copied to groups, rows copied to groups, what zero probes find).
+
+    A group is (cell, part of its rows, block of the probes that want the cell); both sides of a group are
+    bounded, however many rows or probes a cell has. Of equal vectors only the lowest ids take part.
+    """
+    spark, need = right.sparkSession, 2 * k if skip_self else k  # a row is there k times at most, also the probe's own
+    group_rows = max(1, _GROUP_VALUES // max(1, dim))
+    by_id = Window.partitionBy("features").orderBy("id")
+    again = Window.partitionBy("features", "id").orderBy("id")
+    few = (
+        right.withColumn("_place", F.dense_rank().over(by_id)).filter(F.col("_place") <= k + int(skip_self))
+        .withColumn("_copy", F.row_number().over(again)).filter(F.col("_copy") <= k)
+        .select("id", "features")
+    )
+    wanted = max(1, min(_MOST_CELLS, group_rows, math.isqrt(n_rows)))
+    taken = few.filter(F.exists("features", lambda x: x != 0)).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(wanted)
+    pivots = _unit(np.array([r.features for r in taken.collect()] or [[1.0] + [0.0] * (dim - 1)]))
+    pivots = np.unique(pivots, axis=0)
+    rows, asks = durable(_in_cells(few, pivots)), durable(_in_cells(left, pivots))
+
+    cells = [
+        (r.cell, r.n, r.least, r.most)
+        for r in rows.groupBy("cell").agg(
+            F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most")
+        ).orderBy("cell").collect()  # one row per pivot
+    ]
+    askers = {r.cell: r.n for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    parts = {cell: -(-n // group_rows) for cell, n, *_ in cells}
+    turns = {cell: max(p, -(-askers.get(cell, 0) // group_rows)) for cell, p in parts.items()}
+    table = spark.createDataFrame([(c, p, turns[c]) for c, p in parts.items()], "cell int, parts long, turns long")
+
+    # Every probe meets one part of its own cell; a part is met in several turns where probes are many.
+    own = asks.filter("cell >= 0").join(F.broadcast(table), "cell").select(
+        "cell", _dealt("id", F.col("turns")).alias("turn"), F.col("id").alias("probe_id"), "features"
     )
+    part = _dealt("id", F.col("parts"))
+    met = rows.filter("cell >= 0").join(F.broadcast(table), "cell").select(
+        "cell", "id", "features", F.explode(F.sequence(part, F.col("turns") - 1, F.col("parts"))).alias("turn")
+    )
+
+    def first(ask: pa.Table, have: pa.Table) -> pa.Table:
+        out = []
+        ids = ask.column("probe_id").to_numpy()
+        q = _unit(list_matrix(ask.column("features").combine_chunks(), dim)) if len(ids) else np.zeros((0, dim))
+        reach = np.full(len(q), -np.inf)
+        if len(ids) and len(have):
+            x = list_matrix(have.column("features").combine_chunks(), dim)
+            who, _, sims = _search(q, [(have.column("id").to_numpy(), x)], k, ids if skip_self else None)
+            full = np.flatnonzero(np.bincount(who, minlength=len(q)) == k)
+            reach[full] = sims[np.searchsorted(who, full, side="right") - 1]
+        step = max(1, _CELLS // len(pivots))
+        for i in range(0, len(q), step):
+            who, cell = _wanted_cells(q[i : i + step], reach[i : i + step], pivots, cells, need)
+            counts = np.bincount(who, minlength=len(q[i : i + step]))
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            out.append(pa.ListArray.from_arrays(ends, pa.array(cell.astype(np.int32))))
+        wants = pa.chunked_array(out, pa.list_(pa.int32()))
+        return ask.select(["probe_id", "features"]).append_column("reach", pa.array(reach)).append_column("wants", wants)
+
+    asked = durable(
+        own.groupBy("cell", "turn").cogroup(met.groupBy("cell", "turn"))
+        .applyInArrow(first, "probe_id long, features array<double>, reach double, wants array<int>")
+    )
+    visits = asked.select("probe_id", "features", "reach", F.explode("wants").alias("cell"))
+    crowd = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    blocks = {c: max(1, -(-crowd.get(c, 0) // group_rows)) for c in parts}
+    table = spark.createDataFrame([(c, p, blocks[c]) for c, p in parts.items()], "cell int, parts long, blocks long")
+    probe_copies = visits.join(F.broadcast(table), "cell").select(
+        "cell", _every(F.col("parts")).alias("part"), _dealt("probe_id", F.col("blocks")).alias("block"),
+        "probe_id", "features", "reach",
+    )
+    row_copies = rows.join(F.broadcast(table), "cell").select(
+        "cell", part.alias("part"), _every(F.col("blocks")).alias("block"), "id", "features"
+    )
+
+    lowest = [r.id for r in right.select("id").orderBy("id").limit(k * need).collect()]
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a zero vector is as similar to any row as to the others
+            for probe in b.column("id").to_pylist():
+                ids = [i for i in lowest if not (skip_self and i == probe)][:k]
+                yield _batch(np.full(len(ids), probe), np.array(ids, np.int64), np.zeros(len(ids)))
+
+    return probe_copies, row_copies, asks.filter("cell < 0").mapInArrow(alone, _FOUND)
+
 
-    def search(probes: pa.Table, rows: pa.Table) -> pa.Table:
-        if not len(probes) or not len(rows):
+def _join_cells(asks: DataFrame, rows: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    def search(ask: pa.Table, have: pa.Table) -> pa.Table:
+        if not len(ask) or not len(have):
             none = np.zeros(0, np.int64)
             return pa.Table.from_batches([_batch(none, none, np.zeros(0))])
-        x, y = (list_matrix(t.column("features").combine_chunks()) for t in (probes, rows))
-        batches = [(rows.column("id").to_numpy(), y)]
-        return pa.Table.from_batches(
-            [_batch(*_search(probes.column("id").to_numpy(), _unit(x), batches, k, skip_self))]
+        q, x = (list_matrix(t.column("features").combine_chunks()) for t in (ask, have))
+        ids, floor = ask.column("probe_id").to_numpy(), ask.column("reach").to_numpy() - _SLACK
+        who, found, sims = _search(
+            _unit(q), [(have.column("id").to_numpy(), x)], k, ids if skip_self else None, floor
         )
+        return pa.Table.from_batches([_batch(ids[who], found, sims)])
 
-    return tiles.applyInArrow(search, _FOUND)
+    key = ["cell", "part", "block"]
+    return asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(search, _FOUND)

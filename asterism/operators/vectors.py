@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..session import durable
-from .blocks import VectorBlocks, list_matrix, moments, on_grid
+from .blocks import VectorBlocks, list_matrix, on_grid
+from .gram import covariance_blocks
 from .kmeans import nearest
 
 
@@ -44,14 +45,17 @@ def group_centroids(
 
 
 def covariance(vectors: DataFrame) -> DataFrame:
-    """(i, j, cov): the d x d covariance (divided by n) of (id, features)."""
+    """(i, j, cov): the d x d covariance (divided by n) of (id, features), stored and read back.
+
+    Blocks of the matrix are made and divided in tasks; neither a task nor the driver holds all of it.
+    """
     blocks = VectorBlocks.of(vectors)
     try:
-        cov = moments(blocks)[1] if blocks.n else np.zeros((0, 0))
+        if not blocks.n:
+            return vectors.sparkSession.createDataFrame([], "i int, j int, cov double")
+        return durable(covariance_blocks(blocks))
     finally:
         blocks.close()
-    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
-    return vectors.sparkSession.createDataFrame(rows, "i int, j int, cov double")
 
 
 def remove_component(

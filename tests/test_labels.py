@@ -1,4 +1,7 @@
 import math
+import random
+
+import pytest
 
 from asterism.operators import labels
 
@@ -26,12 +29,28 @@ def test_a_group_without_terms_is_misc(spark):
     assert named(docs(spark, ("-- ?; --", 0)), 1) == ["misc"]
 
 
-def test_assignments_out_of_range_are_skipped_but_counted(spark):
-    df = docs(spark, ("walnut larch", 0), ("cedar", 0), ("left out", -2), ("far away", 8), ("no group", None), ("also far", 3))
-    (label,) = named(df, 1, top_n=5)
-    assert label == "cedar · larch · walnut"
-    row = labels.top_terms(df, k=1).first()
-    assert math.isclose(row.score, math.log(1 + 6 / 1))
+def plain_best(rows, k, top):
+    """Label of every group by counting: count times ln(1 + N / df), equal scores by the alphabet."""
+    inside = [(set(t.split()), c) for t, c in rows if c is not None and 0 <= c < k]
+    out = []
+    for group in range(k):
+        score = {}
+        for word in {w for words, c in inside if c == group for w in words}:
+            tf, df = (sum(word in words for words, c in inside if g is None or c == g) for g in (group, None))
+            score[word] = round(tf * math.log(1 + len(rows) / df), 9)
+        best = sorted(score, key=lambda w: (-score[w], w))[:top]
+        out.append(" · ".join(best) or "misc")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_assignments_inside_the_range_name_clusters_but_all_texts_count(spark, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bdgkmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(12)]
+    rows = [
+        (" ".join(rng.choices(words, k=rng.randint(1, 5))), rng.choice([None, -2, -1, 0, 1, 1, 2, 3, 9])) for _ in range(60)
+    ]
+    assert named(docs(spark, *rows), 4, top_n=3) == plain_best(rows, 4, 3)
 
 
 def test_terms_count_once_per_text_and_df_spans_groups(spark):

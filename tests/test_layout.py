@@ -84,14 +84,25 @@ def picked(spark, probes, pts, radius=14.0, parts=3):
     return [r.id for r in pick_nearest(q, points(spark, pts, parts), radius).orderBy("probe_id").collect()]
 
 
-def test_nearest_within_the_radius(spark):
-    pts = [(10, 10), (100, 100), (50, 50)]
-    assert picked(spark, [(12, 9), (52, 47), (500, 500)], pts) == [0, 2, -1]
-    assert picked(spark, [(0, 0)], [(14, 0)]) == [0]
-    assert picked(spark, [(0, 0)], [(3, 0), (0, 3), (-3, 0)]) == [2]
-    assert picked(spark, [(1, 1), (2, 2)], [(1, 1), (1, 1)], radius=0) == [1, -1]
-    q = spark.createDataFrame([(0, 0.0, 0.0)], "probe_id long, px double, py double")
-    assert pick_nearest(q, points(spark, [(0, 0)]).limit(0)).first().id == -1
+def grid_case(seed, n, radius, step=0.5):
+    """Seeded points on a coarse grid, so that equal distances and equal spots are common, and probes around them."""
+    rng = np.random.default_rng(seed)
+    pts = rng.integers(-8, 9, (n, 2)) * step
+    probes = np.vstack([rng.integers(-20, 21, (n, 2)) * step / 2, pts[:3] + [radius, 0], [[1e6, -1e6]]])
+    return probes.tolist(), pts.tolist()
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.5, 1.75, 40.0])
+def test_nearest_within_the_radius(spark, radius):
+    probes, pts = grid_case(int(radius * 4), 60, radius)
+    assert picked(spark, probes, pts, radius) == brute_nearest(probes, pts, radius)
+
+
+def test_nearest_without_points(spark):
+    q = spark.createDataFrame([(4, 1.5, 2.5), (4, 1.5, 2.5)], "probe_id long, px double, py double")
+    got = pick_nearest(q, points(spark, [(9, 9)]).limit(0)).collect()
+    assert [(r.probe_id, r.id) for r in got] == [(4, -1)]
+    assert pick_nearest(q.limit(0), points(spark, [(9, 9)])).count() == 0
 
 
 def test_a_probe_id_at_several_places_and_odd_probes(spark):
@@ -115,20 +126,55 @@ def brute_nearest(probes, pts, radius):
     return out
 
 
-@pytest.mark.parametrize("split_leaves", [False, True])
-def test_crowded_cells_agree_with_brute_force(spark, monkeypatch, split_leaves):
+@pytest.mark.parametrize("parts_of,blocks_of", [(1 << 16, 1 << 16), (50, 1 << 16), (16, 7)])
+@pytest.mark.parametrize("shape", ["crowded", "far point", "far below", "lines"])
+def test_parts_of_the_curve_agree_with_brute_force(spark, monkeypatch, shape, parts_of, blocks_of):
+    monkeypatch.setattr(nearest_point, "PART_POINTS", parts_of)
+    monkeypatch.setattr(nearest_point, "BLOCK_PROBES", blocks_of)
+    monkeypatch.setattr(nearest_point, "_LEAF", 4)
+    monkeypatch.setattr(nearest_point, "_LEAST_BOX", 5)
     rng = np.random.default_rng(2)
     crowd = rng.normal(size=(400, 2)) * 0.02 + [3.0, -4.0]
     ring = np.stack([np.cos(np.arange(200)), np.sin(np.arange(200))], axis=1) * 5
     pts = np.vstack([crowd, np.tile([7.0, 7.0], (100, 1)), ring, rng.uniform(-30, 30, size=(300, 2))])
-    probes = np.vstack([rng.normal(size=(150, 2)) * 0.05 + [3.0, -4.0], rng.uniform(-35, 35, size=(150, 2)), [[0, 0], [7, 7]]])
-    monkeypatch.setattr(nearest_point, "_LEAF_POINTS", 8)
-    if split_leaves:
-        monkeypatch.setattr(nearest_point, "_HOT_LEAF", 5)
+    if shape == "far point":
+        pts = np.vstack([pts, [[1e15, 3.0]]])
+    elif shape == "far below":
+        pts = np.vstack([pts, [[-1e15, -1e12], [2.0, -1e300]]])
+    elif shape == "lines":
+        pts = np.stack([np.repeat([0.0, 1.0, 2.0], 200), np.tile(np.linspace(0, 1e5, 200), 3)], axis=1)
+    probes = np.vstack([
+        rng.normal(size=(150, 2)) * 0.05 + [3.0, -4.0], rng.uniform(-35, 35, size=(150, 2)), np.tile([[0, 0], [7, 7]], (40, 1)), pts[-5:] + 0.25,
+    ])
     got = picked(spark, probes.tolist(), pts.tolist(), radius=2.5, parts=4)
     assert got == brute_nearest(probes.tolist(), pts.tolist(), 2.5)
 
 
+def test_points_at_one_distance_from_many_probes(monkeypatch):
+    monkeypatch.setattr(nearest_point, "_PAIRS", 2000)
+    turn = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    x, y = np.cos(turn), np.sin(turn)
+    px = py = np.zeros(50)
+    d2, ids = nearest_point.nearest_inside(x, y, np.arange(3000), px, py, np.full(50, 9.0), 9.0, 9.0)
+    own = x * x + y * y
+    assert set(d2) == {own.min()} and set(ids) == {int(np.flatnonzero(own == own.min()).max())}
+
+
+def test_keys_follow_the_curve_and_parts_are_even(spark, monkeypatch):
+    curve = nearest_point.Curve(0.0, 0.0, 1.0)
+    x, y = np.array([0, 1, 0, 1, 2, 2.5, 1e30]), np.array([0, 0, 1, 1, 0, 3, -1e30])
+    assert curve.key(*curve.cells(x, y)).tolist()[:6] == [0, 1, 2, 3, 4, 14]
+    monkeypatch.setattr(nearest_point, "PART_POINTS", 100)
+    monkeypatch.setattr(nearest_point, "_LEAST_BOX", 8)
+    rng = np.random.default_rng(4)
+    rows = np.vstack([rng.normal(size=(3000, 2)) * 1e-3, rng.uniform(-50, 50, (1000, 2))])
+    ranged, parts = nearest_point._in_parts(points(spark, rows.tolist()), 1.0, 1.0)
+    counts = [r["count"] for r in ranged.groupBy("part").count().collect()]
+    assert len(parts.first) == 40 * parts.each and max(counts) < 300
+    who, part, _ = parts.wanted(rows[:, 0], rows[:, 1])  # crowded probes meet few parts
+    assert len(who) < 5 * len(rows)
+
+
 def place(spark, rows, parts=1):
     blocks = VectorBlocks.of(frame(spark, rows, parts))
     basis = fit_pca(blocks)
@@ -137,19 +183,23 @@ def place(spark, rows, parts=1):
 
 
 def test_projection_of_small_inputs(spark):
-    assert place(spark, [[1, 2, 3]])[1].tolist() == [[0, 0]]
-    _, got = place(spark, [[0.5] * 4] * 8)
+    rng = np.random.default_rng(13)
+    assert place(spark, rng.normal(size=(1, 6)).tolist())[1].tolist() == [[0, 0]]
+    _, got = place(spark, np.tile(rng.normal(size=7), (5, 1)).tolist())
     assert np.abs(got).max() < 1e-12
-    _, got = place(spark, [[i] for i in range(5)])
-    assert np.allclose(got[:, 1], 0) and np.allclose(np.abs(got[:, 0]), [1, 0.5, 0, 0.5, 1])
-    _, got = place(spark, [[i, 2 * i, -i, i % 3] for i in range(20)])
+    spots = np.sort(rng.uniform(0, 9, 6))  # in one dimension the layout is the scaled line itself
+    _, got = place(spark, spots[:, None].tolist())
+    want = (spots - (spots[0] + spots[-1]) / 2) / (spots[-1] - spots[0]) * 2
+    assert np.allclose(got[:, 1], 0) and np.allclose(np.abs(got[:, 0]), np.abs(want))
+    _, got = place(spark, (rng.normal(size=(25, 2)) @ rng.normal(size=(2, 9))).tolist())
     assert np.isfinite(got).all() and np.abs(got).max() <= 1.0001
 
 
 def test_projection_separates_groups_and_matches_an_svd(spark):
-    rows = [[0, 0, 0], [0.1, 0, 0], [0, 0.1, 0], [9, 9, 9], [9.1, 9, 9], [9, 9.1, 9]]
-    _, got = place(spark, rows)
-    assert abs(got[:3, 0].mean() - got[3:, 0].mean()) > 0.5
+    rng = np.random.default_rng(14)
+    near, apart = rng.normal(size=(2, 7, 4)) * 0.1
+    _, got = place(spark, np.vstack([near, apart + rng.normal(size=4) * 20]).tolist())
+    assert abs(got[:7, 0].mean() - got[7:, 0].mean()) > 1
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 5)) * [5, 3, 1, 1, 1]
     basis, _ = place(spark, x, 4)

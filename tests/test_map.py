@@ -2,6 +2,7 @@ import csv
 import io
 import json
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -221,18 +222,28 @@ def exported(spark, points, clusters):
     return p, spark.createDataFrame(clusters, "id int, label string, size long")
 
 
-SAMPLE = (
-    [("Sweep the porch; then rest", -0.98765, 0.00004, 4), ('He said "fog", twice', 0.25, -0.75, 2), ("two\nrows, one cell", 1.0, -1.0, 4)],
-    [(4, "porch · sweep", 2), (2, 'fog, "twice"', 1)],
-)
+def sample(seed=31, n=12):
+    """Generated points and clusters; texts and labels with signs that matter to CSV and JSON."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("bcdf")) + rng.choice(list("aou")) for _ in range(rng.integers(1, 4)))
+    glue = [" ", "; ", ", ", ' "', "\n", "\r\n", " · ", "\\", "\t"]
+    text = lambda k: "".join(word() + str(rng.choice(glue)) for _ in range(k)) + word()
+    points = [(text(3), *map(float, rng.uniform(-1, 1, 2)), int(rng.integers(2, 6))) for _ in range(n)]
+    return points, [(c, text(1), sum(p[3] == c for p in points)) for c in (5, 2, 3)]
+
+
+SAMPLE = sample()
+
+
+def plain_row(point, clusters):
+    line, x, y, cluster = point
+    label = {c: text for c, text, _ in clusters}.get(cluster, "")
+    return line, cluster, label, *(math.floor(v * 1e4 + 0.5) / 1e4 for v in (x, y))
 
 
 def test_rows_carry_labels_and_rounded_coordinates(spark):
     rows = export.export_rows(*exported(spark, *SAMPLE), keep=("id",)).orderBy("id").collect()
-    assert rows[0][1:] == ("Sweep the porch; then rest", 4, "porch · sweep", -0.9876, 0.0)
-    assert rows[1].label == 'fog, "twice"'
-    lone = export.export_rows(*exported(spark, [("x", 0.0, 0.0, 9)], []))
-    assert lone.first().label == ""
+    assert [r[1:] for r in rows] == [plain_row(p, SAMPLE[1]) for p in SAMPLE[0]]
     assert export.export_rows(*exported(spark, [], [])).count() == 0
 
 
@@ -243,15 +254,22 @@ def records(spark, encode, sample=SAMPLE):
 
 def test_csv_records(spark):
     assert export.csv_header() == "line,cluster,label,x,y"
-    assert records(spark, export.export_csv) == [
-        "Sweep the porch; then rest,4,porch · sweep,-0.9876,0",
-        '"He said ""fog"", twice",2,"fog, ""twice""",0.25,-0.75',
-        '"two\nrows, one cell",4,porch · sweep,1,-1',
-    ]
-    risky = ([("+cmd|run", -0.5, 0.125, 1), ("@", 0.0, 0.0, 1), ("-7e-2", 0.0, 0.0, 1)], [(1, "=now()", 3)])
-    assert records(spark, export.export_csv, risky) == [
-        "'+cmd|run,1,'=now(),-0.5,0.125", "'@,1,'=now(),0,0", "-7e-2,1,'=now(),0,0",
-    ]
+    number = lambda v: format(Decimal(repr(v)).quantize(Decimal("0.0001")), "f").rstrip("0").rstrip(".")
+    want = []
+    for line, cluster, label, x, y in (plain_row(p, SAMPLE[1]) for p in SAMPLE[0]):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow([line, cluster, label, number(x), number(y)])
+        want.append(out.getvalue())
+    assert records(spark, export.export_csv) == want
+
+
+def test_cells_that_a_spreadsheet_would_run_are_marked(spark):
+    rng = np.random.default_rng(37)
+    formulas = [sign + "".join(rng.choice(list("abc(1)+"), 5)) + "z" for sign in "=+-@" for _ in range(3)]
+    numbers = [f"{rng.choice(['-', '+'])}{rng.integers(1, 99)}e{rng.integers(-9, 9)}" for _ in range(4)]
+    points = [(text, 0.5, -0.25, 1) for text in formulas + numbers]
+    got = records(spark, export.export_csv, (points, [(1, formulas[0], len(points))]))
+    assert got == [f"'{t},1,'{formulas[0]},0.5,-0.25" for t in formulas] + [f"{t},1,'{formulas[0]},0.5,-0.25" for t in numbers]
 
 
 def test_random_csv_parses_back_to_five_fields(spark):
@@ -274,7 +292,8 @@ def document(spark, points, clusters, k):
 
 def test_json_records_and_document(spark):
     got = [json.loads(r) for r in records(spark, export.export_json)]
-    assert got[1] == {"line": 'He said "fog", twice', "cluster": 2, "label": 'fog, "twice"', "x": 0.25, "y": -0.75}
+    names = ("line", "cluster", "label", "x", "y")
+    assert got == [dict(zip(names, plain_row(p, SAMPLE[1]))) for p in SAMPLE[0]]
     whole = document(spark, *SAMPLE, 6)
     assert whole["k"] == 6 and whole["points"] == got
     assert whole["clusters"] == [{"id": i, "label": t, "size": n} for i, t, n in sorted(SAMPLE[1])]
@@ -285,9 +304,10 @@ def test_written_files(spark, tmp_path):
     points, clusters = exported(spark, *SAMPLE)
     export.write_csv(points, clusters, str(tmp_path / "csv"))
     text = "".join(sorted(p.read_bytes().decode() for p in (tmp_path / "csv" / "records").glob("part-*")))
-    assert '"two\nrows, one cell",4' in text and text.count("\r\n") == 3
+    back = [tuple(r) for r in csv.reader(io.StringIO(text, newline=""))]
+    assert sorted(r[0] for r in back) == sorted(p[0] for p in SAMPLE[0])
     (header,) = (tmp_path / "csv" / "header").glob("part-*")
     assert header.read_bytes() == b"line,cluster,label,x,y\r\n"
     export.write_json(points, clusters, 2, str(tmp_path / "json"))
-    assert spark.read.json(str(tmp_path / "json" / "points")).count() == 3
+    assert spark.read.json(str(tmp_path / "json" / "points")).count() == len(SAMPLE[0])
     assert spark.read.json(str(tmp_path / "json" / "summary")).first().k == 2

@@ -40,11 +40,15 @@ def test_unit_vectors_and_zero(spark):
 
 
 def test_means(spark):
-    assert vec.mean_vector(frame(spark, [[0, 0], [2, 4]])).first().mean == [1.0, 2.0]
-    assert vec.mean_vector(frame(spark, [[0, 0]]).filter("id > 5")).first().mean == []
-    df = frame(spark, [[0, 0], [2, 4], [5, 5]]).withColumn("cluster", (F.col("id") / 2).cast("int"))
-    got = {r.cluster: (r.centroid, r["size"]) for r in vec.group_centroids(df).collect()}
-    assert got == {0: ([1.0, 2.0], 2), 1: ([5.0, 5.0], 1)}
+    rng = np.random.default_rng(30)
+    x, cluster = rng.normal(size=(25, 4)) * 7, rng.integers(0, 3, 25)
+    assert vec.mean_vector(frame(spark, x, 3)).first().mean == pytest.approx(x.mean(0).tolist())
+    assert vec.mean_vector(frame(spark, x).filter("id < 0")).first().mean == []
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, cluster))]
+    df = spark.createDataFrame(rows, "id long, features array<double>, cluster int").repartition(2)
+    for r in vec.group_centroids(df).collect():
+        mine = x[cluster == r.cluster]
+        assert r.centroid == pytest.approx(mine.mean(0).tolist()) and r["size"] == len(mine)
 
 
 def test_nearest_centroid_and_inertia_prefer_low_ids(spark):
@@ -93,11 +97,6 @@ def test_moments_are_the_same_for_every_layout(spark):
     np.testing.assert_allclose(found[0][1], np.cov(x.T, bias=True), rtol=1e-9, atol=1e-9)
 
 
-def test_covariance_frame(spark):
-    got = {(r.i, r.j): r["cov"] for r in vec.covariance(frame(spark, [[0, 0], [2, 4]])).collect()}
-    assert got == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): 2.0, (1, 1): 4.0}
-
-
 def test_states_merge_in_a_tree(spark):
     blocks = VectorBlocks.of(frame(spark, [[i] for i in range(300)], 150))
     blocks.width = 150
@@ -148,18 +147,62 @@ def brute_top(x, ids, k):
     return out
 
 
-@pytest.mark.parametrize("tiled", [False, True])
-def test_most_similar_rows(spark, monkeypatch, tiled):
+def similar_rows(spark, x, path, monkeypatch, k=3, ids=None, probes=None):
+    """Results of one path: probes held, rows held, or cells."""
+    if path == "cells":
+        monkeypatch.setattr(similar, "_GROUP_VALUES", 40 * x.shape[1])
+    ids = list(range(len(x))) if ids is None else ids
+    data = [(i, [float(v) for v in r]) for i, r in zip(ids, x)]
+    df = spark.createDataFrame(data, "id long, features array<double>").repartition(4)
+    asked = df if probes is None else df.filter(F.col("id").isin(probes))
+    if path == "rows held":
+        found = similar._by_held_rows(similar._typed(asked), similar._typed(df), k, True)
+        return {(r.probe_id, r.id, round(r.similarity, 6)) for r in found.collect()}
+    held = 0 if path == "cells" else None
+    found = similar.topk_similar(df, asked, k, held_values=held)
+    return {(r.probe_id, r.rank, r.id, round(r.similarity, 6)) for r in found.collect()}
+
+
+@pytest.mark.parametrize("path", ["probes held", "rows held", "cells"])
+@pytest.mark.parametrize("shape", ["crowded", "clusters", "line"])
+def test_most_similar_rows(spark, monkeypatch, path, shape):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(120, 5))
-    x[40:80] = x[0]  # a third of the rows are copies
-    x[7] = 0
-    if tiled:
-        monkeypatch.setattr(similar, "_BROADCAST_VALUES", 10)
-        monkeypatch.setattr(similar, "_TILE_ROWS", 50)
-    df = frame(spark, x, 4)
-    got = {(r.probe_id, r.rank, r.id, round(r.similarity, 6)) for r in similar.topk_similar(df, df, 3).collect()}
-    assert got == brute_top(x, list(range(120)), 3)
+    x = rng.normal(size=(150, 5))
+    if shape == "crowded":
+        x[40:90] = x[0]  # a third of the rows are copies
+        x[[7, 8, 100, 101, 102]] = 0
+    elif shape == "clusters":
+        x = rng.normal(size=(6, 5))[rng.integers(0, 6, 150)] + 0.05 * x
+    else:
+        x = np.outer(rng.integers(-3, 4, 150), x[0])  # opposite directions, many ties and zeros
+    want = brute_top(x, list(range(150)), 3)
+    got = similar_rows(spark, x, path, monkeypatch)
+    assert got == ({(a, c, s) for a, _, c, s in want} if path == "rows held" else want)
+
+
+def test_cells_take_few_probes_few_rows_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(90, 4))
+    some = {r for r in brute_top(x, list(range(90)), 3) if r[0] in (3, 50)}
+    assert similar_rows(spark, x, "cells", monkeypatch, probes=[3, 50]) == some
+    assert similar_rows(spark, x[:2], "cells", monkeypatch) == brute_top(x[:2], [0, 1], 3)
+    assert similar_rows(spark, np.zeros((5, 4)), "cells", monkeypatch) == brute_top(np.zeros((5, 4)), range(5), 3)
+    twice = np.vstack([x[:40], x[:40]])
+    ids = list(range(40)) * 2
+    assert similar_rows(spark, twice, "cells", monkeypatch, 2, ids) == similar_rows(spark, twice, "held", monkeypatch, 2, ids)
+
+
+def test_copies_of_clustered_vectors_grow_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(similar, "_GROUP_VALUES", 512 * 8)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(4000, 8))
+    copies = []
+    for n in (2000, 8000):  # the number of clusters grows with the table
+        x = centres[rng.integers(0, n // 20, n)] + 0.01 * rng.normal(size=(n, 8))
+        df = frame(spark, x, 4)
+        asks, rows, _ = similar.cell_plan(df, df, 8, n, 5, True)
+        copies.append(asks.count() + rows.count())
+    assert math.log(copies[1] / copies[0], 4) < 1.2
 
 
 def test_centroids_in_tiles_give_the_same_answer(spark):
