@@ -139,12 +139,15 @@ class VectorBlocks:
 
     @staticmethod
     def of(vectors: DataFrame) -> VectorBlocks:
-        """Cache (id, features) and check them; ids must be distinct integers.
+        """Cache (id, features) and check them.
 
-        The rows are read from their source once: the check runs over the cached bytes.
+        Ids only tell rows apart in draws and ties; rows with one id are rows of their own, and a row without
+        an id counts under a hash of its vector. The rows are read from their source once: the check runs
+        over the cached bytes.
         """
+        features = F.col("features").cast("array<double>")
         df = vectors.select(
-            F.col("id").cast("long"), F.col("features").cast("array<double>")
+            F.coalesce(F.col("id").cast("long"), F.xxhash64(features)).alias("id"), features.alias("features")
         ).mapInArrow(_pack, "id long, vec binary").persist()
         n, low, high, size, width = (
             df.mapInArrow(_profile, "n long, low long, high long, size double")

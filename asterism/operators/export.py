@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EXPORT_COLUMNS
@@ -113,7 +113,10 @@ def json_document(points: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     """
     spark = points.sparkSession
     body = export_json(export_rows(points, clusters, keep=("id",)), keep=("id",))
-    first_cluster, first_point = clusters.agg(F.min("id")).first()[0], points.agg(F.min("id")).first()[0]
+    first_cluster = clusters.agg(F.min("id")).first()[0]
+    first_point, without = points.agg(F.min("id"), F.count_if(F.col("id").isNull())).first()
+    if without:
+        raise ValueError(f"a document needs ids to put points in order; {without} points have none")
 
     def listed(rows: DataFrame, part: int, first) -> DataFrame:
         comma = F.when(F.col("id") == F.lit(first), "").otherwise(",")
@@ -123,3 +126,35 @@ def json_document(points: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
         [(0, 0, f'{{"k":{k},"clusters":['), (2, 0, '],"points":['), (4, 0, "]}")], "part int, id long, record string"
     )
     return frame.union(listed(json_clusters(clusters), 1, first_cluster)).union(listed(body, 3, first_point))
+
+
+def write_ordered(records: DataFrame, order: list[str], path: str, line_sep: str = "\n") -> DataFrame:
+    """The column ``record`` as one text in parts: ``<path>/parts``, in order of ``order``.
+
+    Parts are ranges of the order, sorted inside, so that the files joined in order of their names are the text;
+    every record ends in ``line_sep``. Returns the manifest, also stored in ``<path>/manifest``: (file, bytes,
+    offset) of every part, with which parts can be copied into one file side by side.
+    """
+    spark = records.sparkSession
+    ranged = records.repartitionByRange(*order).sortWithinPartitions(*order).select("record")
+    ranged.write.text(f"{path}/parts", lineSep=line_sep)
+    files = spark.read.format("binaryFile").load(f"{path}/parts").select(  # lengths only; no content is read
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes")
+    ).filter("bytes > 0")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    manifest = files.withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+    manifest.write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def write_csv_file(points: DataFrame, clusters: DataFrame, path: str) -> DataFrame:
+    """The map as one CSV text in ordered parts: the header, then the records in order of their ids."""
+    spark = points.sparkSession
+    header = spark.createDataFrame([(0, None, csv_header())], "part int, id long, record string")
+    body = export_csv(export_rows(points, clusters, keep=("id",)), keep=("id",)).select(F.lit(1).alias("part"), "id", "record")
+    return write_ordered(header.union(body), ["part", "id", "record"], path, "\r\n")
+
+
+def write_json_file(points: DataFrame, clusters: DataFrame, k: int, path: str) -> DataFrame:
+    """The map as one JSON document in ordered parts, one cluster or point per line."""
+    return write_ordered(json_document(points, clusters, k), ["part", "id"], path)

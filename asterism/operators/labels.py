@@ -49,7 +49,8 @@ def top_terms(
     """(group, rank, term, tf, df, score): the best terms of each group.
 
     score = tf * ln(1 + N / df), N counting every text, assigned or not (counted unless given). Equal scores are ordered
-    by the term under Unicode collation; only terms that tie into the first places are collated.
+    by the term under Unicode collation, which is compared only where scores are equal. Every task keeps its own
+    ``top_n`` terms of a group before the shuffle, however many of them tie.
     """
     if n_texts is None:
         total = df.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n")).scalar()
@@ -58,15 +59,11 @@ def top_terms(
     scored = term_df(df, group, text, k).withColumn(
         "score", F.col("tf") * F.log(F.lit(1.0) + total / F.col("df"))
     )
-    by_score = Window.partitionBy(group).orderBy(F.col("score").desc())
     best = Window.partitionBy(group).orderBy(
         F.col("score").desc(), F.collate(F.col("term"), "UNICODE"), F.col("term")
     )
     return (
-        scored.withColumn("place", F.rank().over(by_score))
-        .filter(F.col("place") <= top_n)
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= top_n)
+        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n)
         .select(group, "rank", "term", "tf", "df", "score")
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from ..operators.similar import topk_similar
 from ..session import durable, shared_folder
 from ..sources import lines
 from ..sources.tables import read_texts
-from ..sources.vectors import embed_hash, load_vectors
+from ..sources.vectors import embed_distinct, embed_hash, load_vectors
 from .semantic_map import FittedMap, SemanticMap, build_map, map_documents
 from .semantic_map import cluster_sizes as sizes_of
 
@@ -143,6 +144,30 @@ def hashed(spark, folder):
     )
 
 
+def file_lines(spark, folder):
+    """All lines of text files that hold the documents in order, numbered through."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    ordered = _documents(spark, folder).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.select("text").write.text(path, lineSep="\n")
+    return lines.file_lines(spark, path).select("id", "line")
+
+
+def _shape_model():
+    """Stands for a sentence model: letters, vowels and spaces of a text."""
+
+    def model(texts):
+        return np.array([[len(t), sum(map(t.count, "aeiou")), t.count(" "), 1] for t in texts], float)
+
+    return model
+
+
+def embed_model(spark, folder):
+    """Every line through a model that sees each different line once."""
+    rows = lines.parse_lines(_documents(spark, folder)).withColumn("id", F.col("doc_id"))
+    found = embed_distinct(rows, _shape_model, text_col="line", keep=("doc_id", "pos"))
+    return _long(found, ["doc_id", "pos"], "features", "at", "value")
+
+
 def csv_guard(spark, folder):
     return parse_lines(spark, folder).select("doc_id", "pos", csv_cell(F.col("line")).alias("cell"))
 
@@ -225,6 +250,12 @@ def similar(spark, folder):
     return topk_similar(rows, rows, TOP_K)
 
 
+def similarity_join(spark, folder):
+    """Every document with the documents most like it in hashed terms, both sides divided into cells."""
+    rows = embed_hash(_documents(spark, folder), "doc_id")
+    return topk_similar(rows, rows, TOP_K, held_values=0)
+
+
 def covariance(spark, folder):
     return vec.covariance(_vectors(spark, folder)).withColumn("cov", rnd(F.col("cov"), 9))
 
@@ -235,15 +266,24 @@ def remove_component(spark, folder):
     return _long(vec.remove_component(rows, direction), ["id"], "features", "pos", "value")
 
 
-def pca_2d(spark, folder):
+def _projected(spark, folder, **options):
     rows = _vectors(spark, folder)
     blocks = VectorBlocks.of(rows)
-    basis = fit_pca(blocks)
+    basis = fit_pca(blocks, **options)
     centre = KMeansModel(1, basis.mean[None, :], basis.mean[None, :], None, 0)
     blocks.close()
     return _rounded_xy(FittedMap(centre, basis, blocks.exponent).place(rows), "id")
 
 
+def pca_2d(spark, folder):
+    return _projected(spark, folder)
+
+
+def pca_by_passes(spark, folder):
+    """The same layout without the matrix of covariances."""
+    return _projected(spark, folder, exact_dim=0)
+
+
 # ---- k-means -------------------------------------------------------------------------------------
 
 
@@ -332,6 +372,14 @@ def export_document(spark, folder):
     return export.json_document(m.points, m.clusters, m.k)
 
 
+def export_csv_file(spark, folder):
+    """The lines of the CSV text of a map, read from its parts in order."""
+    m = _map(spark, folder, FIXED_K)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    export.write_csv_file(m.points, m.clusters, path)
+    return lines.file_lines(spark, f"{path}/parts").select("id", "line")
+
+
 def reproject_export(spark, folder):
     """A map turned and normalised again, then exported."""
     turned = _map(spark, folder, FIXED_K).reproject(TURN_ANGLE, TURNS)
@@ -416,6 +464,8 @@ QUERIES: dict[str, Query] = {
     "line_stats": line_stats,
     "tokenize": tokens,
     "embed_hash": hashed,
+    "embed_model": embed_model,
+    "file_lines": file_lines,
     "csv_guard": csv_guard,
     "valid_assignments": valid_assignments,
     "term_df": term_df,
@@ -430,9 +480,11 @@ QUERIES: dict[str, Query] = {
     "nearest_centroid": nearest_centroid,
     "inertia": inertia,
     "topk_similar": similar,
+    "similarity_join": similarity_join,
     "covariance": covariance,
     "remove_component": remove_component,
     "pca_2d": pca_2d,
+    "pca_by_passes": pca_by_passes,
     "kmeans_seed": kmeans_seed,
     "kmeans": kmeans,
     "kmeans_centroids": kmeans_centroids,
@@ -446,6 +498,7 @@ QUERIES: dict[str, Query] = {
     "export_csv": export_csv,
     "export_json": export_json,
     "export_document": export_document,
+    "export_csv_file": export_csv_file,
     "reproject_export": reproject_export,
     "place_on_saved_map": place_on_saved_map,
     "lines_map": lines_map,

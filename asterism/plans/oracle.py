@@ -314,6 +314,46 @@ er AS (
 )"""
 
 
+# Documents with a stored vector give the map; all documents are placed on it.
+SAVED = f"""
+texts AS (SELECT doc_id AS id, text FROM documents),
+{_hashed('texts')},
+everything AS MATERIALIZED (
+  SELECT id, coalesce(embedding::DOUBLE[], hashed.f) AS f FROM hashed LEFT JOIN embeddings ON vec_id = id),
+v AS MATERIALIZED (SELECT vec_id AS id, text, embedding::DOUBLE[] AS f FROM embeddings JOIN documents ON doc_id = vec_id),
+{_seeds(FIXED_K)},
+{_lloyd([FIXED_K], ROUNDS)},
+{PCA},
+near AS (
+  SELECT id, cluster FROM (
+    SELECT e.id, c.cluster, list_distance(e.f, c.f) AS d, min(d) OVER (PARTITION BY e.id) AS least
+    FROM everything e, c{ROUNDS} c)
+  WHERE d <= least + {TIE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cluster) = 1),
+flat AS (
+  SELECT id, sum((x - m) * w1.w) AS x, sum((x - m) * w2.w) AS y
+  FROM (SELECT id, unnest(f) AS x, generate_subscripts(f, 1) AS p FROM everything)
+  JOIN mu USING (p) JOIN w1 USING (p) JOIN w2 USING (p) GROUP BY ALL),
+box AS (SELECT *, greatest(x1 - x0, y1 - y0) AS span
+        FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM raw))"""
+
+
+def _file_lines(records: str, text: str, order: str) -> str:
+    """(id, line) of a text made of records in order."""
+    return f"""
+            SELECT row_number() OVER (ORDER BY {order}, i) - 1 AS id, ls[i] AS line
+            FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, {_lines(text)} AS ls FROM {records}))"""
+
+
+def _topk(rows: str) -> str:
+    size = "sqrt(list_dot_product(a.f, a.f) * list_dot_product(b.f, b.f))"
+    cosine = f"CASE WHEN {size} = 0 THEN 0.0 ELSE list_dot_product(a.f, b.f) / {size} END"
+    return f"""
+            sim AS (SELECT a.id AS probe_id, b.id, {rnd(cosine)} AS similarity FROM {rows} a JOIN {rows} b ON a.id <> b.id)
+            SELECT probe_id, rank::INT AS rank, id, similarity FROM (
+              SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, id) AS rank FROM sim
+            ) WHERE rank <= {TOP_K}"""
+
+
 def oracle_sql() -> dict[str, str]:
     fixed = _map(FIXED_K)
     terms = _term_ctes("documents", "lang", "lang IS NOT NULL")
@@ -331,6 +371,13 @@ def oracle_sql() -> dict[str, str]:
             WITH texts AS (SELECT doc_id AS id, text FROM documents), {_hashed('texts')}
             SELECT id, bucket, {rnd('value')} AS value FROM (
               SELECT id, unnest(f) AS value, (generate_subscripts(f, 1) - 1)::INT AS bucket FROM hashed)""",
+        "embed_model": f"""WITH {LINES}, shapes AS (
+              SELECT doc_id, pos, [length(line), length(line) - length(regexp_replace(line, '[aeiou]', '', 'g')),
+                                   length(line) - length(replace(line, ' ', '')), 1]::DOUBLE[] AS f FROM lines)
+            SELECT doc_id, pos, at_ AS "at", {rnd('x / z')} AS value FROM (
+              SELECT doc_id, pos, sqrt(list_dot_product(f, f)) AS z, unnest(f) AS x, (generate_subscripts(f, 1) - 1)::INT AS at_
+              FROM shapes)""",
+        "file_lines": _file_lines("documents", "text", "doc_id"),
         "csv_guard": f"WITH {LINES} SELECT doc_id, pos, {_cell('line')} AS cell FROM lines",
         "valid_assignments": f"WITH {graded} SELECT doc_id, cluster FROM graded WHERE cluster BETWEEN 0 AND 1",
         "term_df": f"WITH {terms} SELECT lang, term, tf, df FROM term_counts JOIN term_totals USING (term)",
@@ -360,12 +407,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, cluster::INT AS cluster, {rnd('d * d')} AS d2 FROM near""",
         "inertia": f"""WITH {VECTORS}, {LABEL_CENTRES}, {NEAREST_LABEL}
             SELECT count(*) AS n, {rnd('sum(d * d)', 5)} AS inertia FROM near""",
-        "topk_similar": f"""WITH {VECTORS},
-            sim AS (SELECT a.id AS probe_id, b.id, {rnd('list_dot_product(a.f, b.f) / sqrt(list_dot_product(a.f, a.f) * list_dot_product(b.f, b.f))')} AS similarity
-                    FROM v a JOIN v b ON a.id <> b.id)
-            SELECT probe_id, rank::INT AS rank, id, similarity FROM (
-              SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, id) AS rank FROM sim
-            ) WHERE rank <= {TOP_K}""",
+        "topk_similar": f"WITH {VECTORS}, {_topk('v')}",
+        "similarity_join": f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {_hashed('texts')}, {_topk('hashed')}""",
         "covariance": f"""WITH {VECTORS}, {COV} SELECT (i - 1)::INT AS i, (j - 1)::INT AS j, {rnd('s', 9)} AS cov FROM cov""",
         "remove_component": f"""WITH {VECTORS}, mean AS ({_means('one', '(SELECT 1 AS one, f FROM v)')}),
             dir AS (SELECT list_transform(f, lambda x: x / sqrt(list_dot_product(f, f))) AS w FROM mean)
@@ -373,6 +416,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT id, list_dot_product(f, w) AS p, unnest(f) AS x, unnest(w) AS wi,
                      (generate_subscripts(f, 1) - 1)::INT AS pos FROM v, dir)""",
         "pca_2d": f"WITH {VECTORS}, {PCA} SELECT id, {rnd('x')} AS x, {rnd('y')} AS y FROM coords",
+        "pca_by_passes": f"WITH {VECTORS}, {PCA} SELECT id, {rnd('x')} AS x, {rnd('y')} AS y FROM coords",
         "kmeans_seed": f"WITH {VECTORS}, {_seeds(SEEDS)} SELECT step::INT AS step, id FROM seeds",
         "kmeans": f"""WITH {VECTORS}, {_seeds(FIXED_K)}, {_lloyd([FIXED_K], ROUNDS)}
             SELECT id, cluster::INT AS cluster FROM a{ROUNDS}""",
@@ -402,6 +446,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT part::INT AS part, id::BIGINT AS id,
               CASE WHEN id = min(id) OVER (PARTITION BY part) THEN '' ELSE ',' END || record AS record FROM groups
             UNION ALL SELECT 0, 0, '{{"k":{FIXED_K},"clusters":[' UNION ALL SELECT 2, 0, '],"points":[' UNION ALL SELECT 4, 0, ']}}'""",
+        "export_csv_file": f"""WITH {fixed}, {EXPORT}, parts AS (
+              SELECT 0 AS part, 0 AS id, 'line,cluster,label,x,y' AS record
+              UNION ALL SELECT 1, id, concat_ws(',', {_cell('line')}, {_cell('cluster::VARCHAR')},
+                {_cell('label')}, {_cell(_number('x'))}, {_cell(_number('y'))}) FROM er)
+            {_file_lines('parts', 'record', 'part, id')}""",
+        "place_on_saved_map": f"""WITH {SAVED}
+            SELECT id, cluster::INT AS cluster, {rnd('2 * (x - (x0 + x1) / 2) / span', 5)} AS x,
+              {rnd('2 * (y - (y0 + y1) / 2) / span', 5)} AS y FROM near JOIN flat USING (id), box""",
         "reproject_export": f"""WITH {fixed}, t AS ({_turned('mp', 'id, cluster', TURN_ANGLE * TURNS)}),
             r AS ({_normalized('t', 'id, cluster')})
             SELECT r.id, cluster::INT AS cluster, label, {_round4('x')} AS x, {_round4('y')} AS y FROM r JOIN named ON named.id = cluster""",

@@ -28,7 +28,7 @@ from ..operators.layout import per_cluster
 from ..operators.pca import Basis, fit_pca
 from ..schemas import CLUSTERS, POINTS
 from ..session import durable
-from ..sources.lines import cap_lines, with_line_ids
+from ..sources.lines import cap_lines, file_lines, with_line_ids
 from ..sources.vectors import embed_hash
 
 
@@ -227,3 +227,18 @@ def map_documents(
     """
     items = durable(line_items(docs, embed, max_lines))
     return build_map(items, k, seed, max_iter, top_n, min_lines)
+
+
+def map_files(
+    spark: SparkSession,
+    path: str,
+    k: float | None = None,
+    embed: Callable[[DataFrame], DataFrame] = embed_hash,
+    min_lines: int = MIN_LINES,
+    seed: int = KMEANS_SEED,
+    max_iter: int = KMEANS_MAX_ITER,
+    top_n: int = LABEL_TERMS,
+) -> SemanticMap:
+    """The map of all lines of text files; ids number the lines in order of (path, place)."""
+    items = durable(embed(file_lines(spark, path).select("id", F.col("line").alias("text"))))
+    return build_map(items, k, seed, max_iter, top_n, min_lines)

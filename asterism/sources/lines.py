@@ -31,6 +31,36 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ).filter(F.col("line") != "")
 
 
+def _before(rows: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """``rows`` and ``name``, the sum of ``weight`` over all rows before, in sorted ranges of rows."""
+    ranged = durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.sum(weight).alias("_total"))  # one row per range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(starts), "_range").withColumn(
+        name, F.col("_start") + F.coalesce(F.sum(weight).over(inside), F.lit(0))
+    ).drop("_range", "_start")
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, path, pos, line): the clean lines of text files, however large a file is.
+
+    A file is read in splits. One pass counts the kept lines of every split; prefix sums over
+    (path, block_start) then number the lines: ``pos`` inside their file and ``id`` over all files in order of
+    their paths, both from 0. Only counts of splits are sorted or joined to the lines.
+    """
+    kept = read_lines(spark, path).select("path", "block_start", "line").withColumn("seq", F.monotonically_increasing_id())
+    splits = kept.groupBy("path", "block_start").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    numbered = _before(splits, ["path", "block_start"], "n", "start")
+    in_file = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = durable(numbered.withColumn("before", F.coalesce(F.sum("n").over(in_file), F.lit(0))).drop("n"))
+    place = F.col("seq") - F.col("first")
+    return kept.join(starts, ["path", "block_start"]).select(
+        (F.col("start") + place).alias("id"), "path", (F.col("before") + place).alias("pos"), "line"
+    )
+
+
 def line_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_lines), computed row by row without a shuffle."""
     return docs.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..functions.vector import as_vector, norm
+from ..session import durable
 
 HASH_DIM = 64
 
@@ -114,3 +115,52 @@ def embed_with(
         F.col(text_col).alias("text"),
         embed.asNondeterministic()(F.col(text_col)).alias("features"),
     )
+
+
+_HOT_TEXT = 100_000  # rows of one text that one part of the join back takes
+
+
+def embed_distinct(
+    df: DataFrame,
+    load_model: Callable[[], Callable[[Sequence[str]], np.ndarray]],
+    id_col: str = "id",
+    text_col: str = "text",
+    batch_size: int = 64,
+    keep: tuple[str, ...] = (),
+    hot: int = _HOT_TEXT,
+) -> DataFrame:
+    """As ``embed_with``, but every different text of the whole table is embedded once.
+
+    Texts are told apart by 128 bits of hashes; one of each is embedded and its vector stored. Rows get
+    theirs by a join on the hashes. A text with more than ``hot`` rows is joined in parts: such texts are at most
+    one in ``hot`` rows, so that their list can be broadcast.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(
+        *keep, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+        F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(64), text).alias("_h2"),
+    )
+    different = rows.groupBy("_h1", "_h2").agg(F.min(F.coalesce("text", F.lit(""))).alias("_text"), F.count("*").alias("_n"))
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            model = load_model() if model is None else model
+            texts = b.column("_text").to_pylist()
+            found = np.vstack([
+                np.asarray(model(texts[i : i + batch_size]), dtype=np.float64) for i in range(0, len(texts), batch_size)
+            ])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_h1"), b.column("_h2"), b.column("_n"), unit_rows(found)], names=["_h1", "_h2", "_n", "features"]
+            )
+
+    embedded = durable(different.mapInArrow(embed, "_h1 long, _h2 long, _n long, features array<double>"))
+    parts = F.ceil(F.col("_n") / F.lit(hot)).cast("int")
+    crowded = embedded.filter(F.col("_n") > hot).select("_h1", "_h2", parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(crowded), ["_h1", "_h2"], "left").withColumn(
+        "_part", F.pmod(F.xxhash64("id", *keep), F.coalesce("_parts", F.lit(1))).cast("int")
+    )
+    copies = embedded.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, ["_h1", "_h2", "_part"]).select(*keep, "id", "text", "features")

@@ -31,11 +31,7 @@ def test_query_equals_its_sql(spark, duck, tables, name):
     names = sorted(df.columns)
     got = canonical(tuple(r[c] for c in names) for r in df.collect())
     assert got
-    sql = entry_file.oracle_sql().get(name)
-    if sql is None:
-        assert name == "place_on_saved_map"  # compared with the fitted map in test_map
-        return
-    rel = duck.sql(sql)
+    rel = duck.sql(entry_file.oracle_sql()[name])
     assert sorted(rel.columns) == names
     at = [rel.columns.index(c) for c in names]
     assert got == canonical(tuple(r[i] for i in at) for r in rel.fetchall())
