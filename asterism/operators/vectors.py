@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from ..session import durable
 from .blocks import VectorBlocks, list_matrix, on_grid
 from .gram import covariance_blocks
 from .kmeans import nearest
+from .many_centroids import nearest_of_many
 
 
 def normalize_vectors(vectors: DataFrame, features: str = "features") -> DataFrame:
@@ -66,24 +67,7 @@ def remove_component(
     return vectors.withColumn(features, V.remove_component(F.col(features), axis))
 
 
-# Centroids held by every task at a time; more of them are met in several passes.
-_TILE_VALUES = 1 << 22
-
-
-def centroid_tiles(centroids: DataFrame, tile_values: int = _TILE_VALUES) -> Iterator[tuple[list, np.ndarray]]:
-    """(cluster ids, k x d matrix) in order of cluster id, at most ``tile_values`` numbers at a time."""
-    k, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
-    if k == 0:
-        raise ValueError("there are no centroids")
-    per_tile = max(1, tile_values // dim)
-    ids = [r.cluster for r in centroids.select("cluster").orderBy("cluster").collect()] if k > per_tile else []
-    for start in range(0, k, per_tile):
-        tile = centroids
-        if ids:
-            part = ids[start : start + per_tile]
-            tile = centroids.filter(F.col("cluster").between(part[0], part[-1]))
-        rows = tile.select("cluster", "centroid").orderBy("cluster").collect()
-        yield [r.cluster for r in rows], np.array([r.centroid for r in rows], dtype=float)
+_TILE_VALUES = 1 << 22  # of centroids held by a task at a time
 
 
 def assign_to(
@@ -123,20 +107,16 @@ def nearest_centroid(
 ) -> DataFrame:
     """``vectors`` plus (cluster, d2): the closest of (cluster, centroid); low ids win ties.
 
-    Beyond one tile of centroids the best so far is stored after every tile.
+    Vectors are read once and nothing of them is stored. Beyond ``tile_values`` numbers a task goes through
+    the centroids in parts.
     """
-    best = None
-    for labels, matrix in centroid_tiles(centroids, tile_values):
-        if best is None:
-            best = assign_to(vectors, matrix, labels=labels)
-            continue
-        kept = durable(best).withColumnsRenamed({"cluster": "_cluster", "d2": "_d2"})
-        nearer = F.col("d2") < F.col("_d2")
-        best = assign_to(kept, matrix, labels=labels).withColumns({
-            "cluster": F.when(nearer, F.col("cluster")).otherwise(F.col("_cluster")),
-            "d2": F.least("d2", "_d2"),
-        }).drop("_cluster", "_d2")
-    return best
+    k, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if k == 0:
+        raise ValueError("there are no centroids")
+    if k * dim > tile_values:
+        return nearest_of_many(vectors, centroids, k, dim, tile_values)
+    rows = centroids.select("cluster", "centroid").orderBy("cluster").collect()
+    return assign_to(vectors, np.array([r.centroid for r in rows], dtype=float), labels=[r.cluster for r in rows])
 
 
 def inertia(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

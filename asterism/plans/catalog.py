@@ -239,6 +239,15 @@ def nearest_centroid(spark, folder):
     )
 
 
+def nearest_document(spark, folder):
+    """The stored vectors against the hashed vectors of all documents, met in parts."""
+    every = embed_hash(_documents(spark, folder), "doc_id")
+    centroids = every.select(F.col("id").cast("int").alias("cluster"), F.col("features").alias("centroid"))
+    return vec.nearest_centroid(_vectors(spark, folder), centroids, tile_values=1 << 13).select(
+        "id", "cluster", rnd(F.col("d2")).alias("d2")
+    )
+
+
 def inertia(spark, folder):
     return vec.inertia(_vectors(spark, folder), _label_centres(spark, folder)).withColumn(
         "inertia", rnd(F.col("inertia"), 5)
@@ -478,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "mean_vector": mean_vector,
     "group_centroids": group_centroids,
     "nearest_centroid": nearest_centroid,
+    "nearest_document": nearest_document,
     "inertia": inertia,
     "topk_similar": similar,
     "similarity_join": similarity_join,

@@ -405,6 +405,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT label, unnest(f) AS x, (generate_subscripts(f, 1) - 1)::INT AS pos FROM v) GROUP BY ALL""",
         "nearest_centroid": f"""WITH {VECTORS}, {LABEL_CENTRES}, {NEAREST_LABEL}
             SELECT id, cluster::INT AS cluster, {rnd('d * d')} AS d2 FROM near""",
+        "nearest_document": f"""WITH {VECTORS}, texts AS (SELECT doc_id AS id, text FROM documents), {_hashed('texts')}
+            SELECT id, cluster::INT AS cluster, {rnd('d * d')} AS d2 FROM (
+              SELECT v.id, h.id AS cluster, list_distance(v.f, h.f) AS d, min(d) OVER (PARTITION BY v.id) AS least
+              FROM v, hashed h)
+            WHERE d <= least + {TIE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cluster) = 1""",
         "inertia": f"""WITH {VECTORS}, {LABEL_CENTRES}, {NEAREST_LABEL}
             SELECT count(*) AS n, {rnd('sum(d * d)', 5)} AS inertia FROM near""",
         "topk_similar": f"WITH {VECTORS}, {_topk('v')}",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asterism.functions import vector as V
 from asterism.operators import vectors as vec
-from asterism.operators import similar
+from asterism.operators import many_centroids, similar
 from asterism.operators.blocks import VectorBlocks, limbs, moments
 from asterism.sources.vectors import embed_hash, embed_with, load_vectors, vector_stats
 
@@ -205,12 +205,39 @@ def test_copies_of_clustered_vectors_grow_with_their_number(spark, monkeypatch):
     assert math.log(copies[1] / copies[0], 4) < 1.2
 
 
-def test_centroids_in_tiles_give_the_same_answer(spark):
+@pytest.mark.parametrize("shape", ["random", "clusters", "copies"])
+def test_centroids_met_in_parts_give_the_same_answer(spark, monkeypatch, shape):
+    monkeypatch.setattr(many_centroids, "GROUP_VALUES", 3 * 20)
     rng = np.random.default_rng(21)
-    cents = spark.createDataFrame([(int(c), rng.normal(size=3).tolist()) for c in range(11)], "cluster int, centroid array<double>")
-    rows = frame(spark, rng.normal(size=(60, 3)))
+    x = rng.normal(size=(300, 3))
+    if shape == "clusters":
+        x = rng.normal(size=(9, 3))[rng.integers(0, 9, 300)] * 10 + 0.1 * x
+    elif shape == "copies":
+        x = np.round(x)  # very many equal centroids and equal distances
+    cents = spark.createDataFrame([(int(c) * 2, v.tolist()) for c, v in enumerate(x)], "cluster int, centroid array<double>")
+    rows = frame(spark, np.vstack([rng.normal(size=(60, 3)) * 4, x[:20], np.zeros((3, 3))]), 3)
     whole = vec.nearest_centroid(rows, cents).select("id", "cluster", "d2").orderBy("id").collect()
-    assert vec.nearest_centroid(rows, cents, tile_values=9).select("id", "cluster", "d2").orderBy("id").collect() == whole
+    parts = vec.nearest_centroid(rows.withColumn("kept", F.col("id") + 1), cents.repartition(4), tile_values=200)
+    assert parts.columns == ["id", "features", "kept", "cluster", "d2"]
+    got = parts.select("id", "cluster", "d2").orderBy("id").collect()
+    assert [r[:2] for r in got] == [r[:2] for r in whole]
+    assert [r.d2 for r in got] == pytest.approx([r.d2 for r in whole])
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Scan ExistingRDD" in plan  # the test's own; vectors are read once, not stored
+
+
+def test_bounds_spare_most_of_the_centroids(spark, monkeypatch):
+    monkeypatch.setattr(many_centroids, "GROUP_VALUES", 8 * 50)
+    rng = np.random.default_rng(22)
+    x = (rng.normal(size=(40, 8)) * 20)[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.1
+    cents = spark.createDataFrame([(c, v.tolist()) for c, v in enumerate(x)], "cluster int, centroid array<double>")
+    names, groups = many_centroids._files(many_centroids._grouped(cents, 4000, 8, 1 << 12))
+    search = many_centroids._Search(names, groups)
+    rows = x[:500] + 0.01
+    cluster, d2 = search(rows)
+    assert search.compared < 0.3 * 500 * 4000 and len(names) > 3
+    want = ((rows[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    assert (cluster == want.argmin(1)).all() and d2 == pytest.approx(want.min(1))
 
 
 @pytest.mark.parametrize("wrong", [[[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]], [[1.0] * 4, None]])
