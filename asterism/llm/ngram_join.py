@@ -4,9 +4,10 @@ Texts with the same set are one class. Two classes link when their Jaccard liken
 ``ALIKE`` (as whole numbers, UP / DOWN). The search is a T-occurrence search: an inverted list names the classes that
 have a shingle, and a partner must be in at least T of a query's lists.
 
-* Shingles have one global order, that of their hashes. Linked classes share at least f shingles
-  among the first n - T + f of each, so only these prefixes are dealt out by shingle, and a class with fewer
-  shared prefix shingles than f is settled: it has no link.
+* Shingles have one global order, from rare to common: texts are counted by shingle in SLOTS hashed slots, a table
+  of fixed size, and hashes break ties. Linked classes share at least f shingles among the first n - T + f of each,
+  so only these prefixes are dealt out by shingle, and a class with fewer shared prefix shingles than f is
+  settled: it has no link. Passages that very many texts share stay out of the prefixes.
 * The other classes look first at the class that leads most of their lists. In blocks of limited
   size, DivideSkip finds which classes of a block reach T with that leader: short lists are merged,
   long ones are probed by binary search.
@@ -14,12 +15,16 @@ have a shingle, and a partner must be in at least T of a query's lists.
   searched again, each against all of its candidates, in blocks; with that no link between two
   components is missed.
 
-``near_groups`` does not list links inside a component. ``near_links`` does: every link lies inside one component, so
-the classes of each component are compared in blocks, all with all, and each class gets the number of documents it links with.
+Blocks hold a bounded number of classes and of shingles. A list that very many prefixes share is dealt out by class
+as well, and counts as shared wherever it is. ``near_groups`` does not list links inside a component.
+``near_links`` does: every link lies inside one component, so the classes of each component are compared in
+blocks, all with all, and each class gets the number of documents it links with.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts below ``WORDS`` words have
-one shingle, the whole sequence; repeated rows and copies fall in one class; a null doc_id keeps
-a null component of its own; other columns are not read.
+one shingle, the whole sequence; repeated rows and copies fall in one class, and each of them is a
+document; rows with a null or repeated id are documents of their own: texts are found by a hash of id and text.
+The component of rows that all have a null id is null, as is that of a text without shingles and without id;
+other columns are not read. Classes are told apart by 128 bits of hashes and named by 64 of them.
 """
 
 from __future__ import annotations
@@ -41,9 +46,14 @@ UP, DOWN = 3, 4
 SPARE = 16  # the prefix holds n // SPARE shingles more than one shared shingle asks for
 FINE_SPARE = 8
 ENTRIES_PER_BUCKET = 400_000
+SLOTS = 1 << 18  # hashed counts of shingles
+_CHUNK = 1 << 10
+HOT_LIST = 1 << 18  # a prefix list of more texts is dealt out by class
 BLOCK = 512
-GROUP_BLOCK = 2048  # a candidate group is copied once for every so many classes in it
+GROUP_BLOCK = 8192  # a candidate group is copied once for every so many classes in it
+BLOCK_SHINGLES = 1_500_000  # and for so many shingles
 PROBES = 64  # long lists probed at a time
+DENSE = 16  # lists with a DENSE-th of a block are kept as bitmaps as well
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -120,25 +130,70 @@ def _sets_of(batches: Iterator[pa.RecordBatch]):
             yield batch, shingle_sets(batch.column("text"))
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, ref, ref2): size and name of every document's set."""
+    """(doc_id, key, n, ref, ref2, chunk, counts): size and name of every document's set.
+
+    Every task adds its counts of shingles by slot, in rows with a chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "key", "n", "ref", "ref2", "chunk", "counts"]
+        seen = np.zeros(SLOTS, np.int64)
         for batch, sets in _sets_of(batches):
             n, ref, ref2 = _set_names(sets)
+            if n.any():
+                seen += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(ref), pa.array(ref2)], ["doc_id", "n", "ref", "ref2"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(n), pa.array(ref), pa.array(ref2),
+                 pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names
             )
+        if seen.any():
+            parts = seen.reshape(-1, _CHUNK)
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none] * 5 + [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names,
+            )
+
+    return docs.mapInArrow(run, "doc_id long, key long, n long, ref long, ref2 long, chunk int, counts binary")
 
-    return docs.mapInArrow(run, "doc_id long, n long, ref long, ref2 long")
+
+def _ranks(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, hot) of every slot: half powers of two above the mean count, and whether a list may be very long."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = np.zeros(_CHUNK, np.int64), None
+        for b in batches:
+            chunk = b.column("chunk")[:1]
+            for raw in b.column("counts"):
+                total += np.frombuffer(raw.as_buffer(), np.int64)
+        if chunk is not None:
+            yield pa.RecordBatch.from_arrays([chunk, pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+
+    rows = (
+        named.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk")
+        .applyInArrow(add, "chunk int, counts binary").collect()  # SLOTS counts, whatever the data
+    )
+    counts = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        counts[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.int64)
+    mean = max(counts.mean(), 1.0)
+    return np.clip(2 * np.log2(np.maximum(counts, 1) / mean), 0, 120).astype(np.uint8), counts > HOT_LIST
 
 
 _ENTRIES = "bucket int, shingles binary, ids binary, teams binary"
 
 
-def _packed(shingles: np.ndarray, ids: np.ndarray, teams: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Prefix entries dealt out by shingle, one row per bucket."""
-    bucket = (shingles % np.uint64(buckets)).astype(np.int64)
+def _packed(shingles: np.ndarray, ids: np.ndarray, teams: np.ndarray, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Prefix entries dealt out by shingle, one row per bucket; those of very long lists by shingle and id, in
+    buckets from ``buckets`` on."""
+    crowded = hot[_slots(shingles)]
+    dealt_by = np.where(crowded, mix(shingles ^ mix(ids.view(np.uint64))), shingles)
+    bucket = (dealt_by % np.uint64(buckets)).astype(np.int64) + crowded * buckets
     order = np.argsort(bucket, kind="stable")
     there, first = np.unique(bucket[order], return_index=True)
     parts = list(zip(first, np.append(first[1:], len(order)), strict=True))
@@ -149,13 +204,23 @@ def _packed(shingles: np.ndarray, ids: np.ndarray, teams: np.ndarray, buckets: i
     return pa.RecordBatch.from_arrays(columns, ["bucket", "shingles", "ids", "teams"])
 
 
-def _prefix_entries(sets: list[np.ndarray], ids: np.ndarray, teams: np.ndarray, spare: int, buckets: int) -> pa.RecordBatch:
+def _prefixes(sets: list[np.ndarray], spare: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the rarest shingles of all sets one after the other, how many of each)."""
     sizes = prefix_length(np.array([len(s) for s in sets], np.int64), spare)
-    shingles = np.concatenate([s[:k] for s, k in zip(sets, sizes.tolist(), strict=True)]) if sets else np.zeros(0, np.uint64)
-    return _packed(shingles, np.repeat(ids, sizes), np.repeat(teams, sizes), buckets)
+    found = [np.zeros(0, np.uint64)]
+    for s, size in zip(sets, sizes.tolist(), strict=True):
+        own = rank[_slots(s)]
+        found.append(s[np.argsort(own, kind="stable")[:size]] if own.any() else s[:size])
+    return np.concatenate(found), sizes
+
+
+def _prefix_entries(sets: list[np.ndarray], ids: np.ndarray, teams: np.ndarray, spare: int, buckets: int, order) -> pa.RecordBatch:
+    rank, hot = order
+    shingles, sizes = _prefixes(sets, spare, rank)
+    return _packed(shingles, np.repeat(ids, sizes), np.repeat(teams, sizes), buckets, hot)
 
 
-def _text_entries(docs: DataFrame, spare: int, buckets: int) -> DataFrame:
+def _text_entries(docs: DataFrame, spare: int, buckets: int, order) -> DataFrame:
     """Prefix entries of every text; copies met in one batch are entered once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +229,17 @@ def _text_entries(docs: DataFrame, spare: int, buckets: int) -> DataFrame:
             _, once = np.unique(ref[n > 0], return_index=True)
             once = np.flatnonzero(n > 0)[once]
             if len(once):
-                yield _prefix_entries([sets[i] for i in once], ref[once], ref[once], spare, buckets)
+                yield _prefix_entries([sets[i] for i in once], ref[once], ref[once], spare, buckets, order.value)
 
     return docs.mapInArrow(run, _ENTRIES)
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """(id, leader, n): in how many shared lists an id has this leader.
+def _shared(entries: DataFrame, buckets: int) -> DataFrame:
+    """(id, leader, real, n): in how many shared lists an id has this leader.
 
     A list is shared when it holds ids of two teams; its leader is the smallest id. What a list gives
-    is as long as the list, not its square.
+    is as long as the list, not its square. Parts of a very long list all count as shared, and the
+    shingle itself stands for their leader, which is no class (``real`` is false).
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -181,6 +247,7 @@ def _shared(entries: DataFrame) -> DataFrame:
             np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64 if c == "shingles" else np.int64)
             for c in ("shingles", "ids", "teams")
         )
+        crowded = table.column("bucket")[0].as_py() >= buckets
         order = np.lexsort((ident, shingle))
         shingle, ident, team = shingle[order], ident[order], team[order]
         new = np.ones(len(shingle), bool)
@@ -188,62 +255,100 @@ def _shared(entries: DataFrame) -> DataFrame:
         shingle, ident, team = shingle[new], ident[new], team[new]
         first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         size = np.diff(np.append(first, len(shingle)))
-        mixed = np.minimum.reduceat(team, first) != np.maximum.reduceat(team, first)
-        keep = np.repeat(mixed, size)
-        ident, leader = ident[keep], np.repeat(ident[first], size)[keep]
+        if crowded:
+            leader = mix(shingle).view(np.int64)
+        else:
+            mixed = np.minimum.reduceat(team, first) != np.maximum.reduceat(team, first)
+            keep = np.repeat(mixed, size)
+            ident, leader = ident[keep], np.repeat(ident[first], size)[keep]
         order = np.lexsort((leader, ident))
         ident, leader = ident[order], leader[order]
         at = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (leader[1:] != leader[:-1])])[: len(ident)])
-        return pa.table({"id": ident[at], "leader": leader[at], "n": np.diff(np.append(at, len(ident)))})
+        return pa.table({
+            "id": ident[at], "leader": leader[at], "real": pa.array(np.full(len(at), not crowded)),
+            "n": np.diff(np.append(at, len(ident))),
+        })
+
+    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long, real boolean, n long")
+    return found.groupBy("id", "leader", "real").agg(F.sum("n").alias("n"))
 
-    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long, n long")
-    return found.groupBy("id", "leader").agg(F.sum("n").alias("n"))
+
+def reached(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sets whose likeness with one query is at least UP / DOWN: their shingles are probed for in the query."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
+    shared = np.add.reduceat((query[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return np.flatnonzero((UP + DOWN) * shared >= UP * (sizes + len(query)))
 
 
 class InvertedLists:
-    """Which sets of a block hold a shingle, and the T-occurrence search in them."""
+    """Which sets of a block hold a shingle, and the T-occurrence search of its sets in them.
+
+    Lists of one set are left out: they say nothing about other sets.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]  # ascending inside a list
-        self.shingles, self.first = np.unique(flat[order], return_index=True)
-        self.ends = np.append(self.first[1:], len(flat))
+        _, of_entry, length = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        several = length > 1
+        number = np.cumsum(several) - 1
+        keep = several[of_entry]
+        of_entry, owner = number[of_entry[keep]].astype(np.int32), owner[keep]
+        self.length = length[several]
+        self.ends = np.cumsum(self.length)
+        self.first = self.ends - self.length
+        self.own_ends = np.searchsorted(owner, np.arange(len(sets)), side="right")  # lists of every set
+        self.own = of_entry
+        order = np.argsort(of_entry, kind="stable")
+        self.members = owner[order]  # ascending inside a list
         # lists one after the other as one ascending array, so that many probes are one search
-        self.probed = np.repeat(np.arange(len(self.first)), self.ends - self.first) * len(sets) + self.members
+        self.probed = of_entry[order].astype(np.int64) * len(sets) + self.members
+        dense = np.flatnonzero(self.length * DENSE >= len(sets))
+        self.bitmap_of = np.full(len(self.length), -1, np.int32)
+        self.bitmap_of[dense] = np.arange(len(dense))
+        self.bitmaps = np.zeros((len(dense), len(sets)), np.uint8)
+        for row, i in enumerate(dense.tolist()):
+            self.bitmaps[row, self.members[self.first[i] : self.ends[i]]] = 1
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Sets whose likeness with the query is at least UP / DOWN, by DivideSkip.
+    def search(self, at: int) -> np.ndarray:
+        """The other sets whose likeness with set ``at`` is at least UP / DOWN, by DivideSkip.
 
         The lists are divided: at most T - 1 long ones are left out at first. The short ones are
-        merged (sorted numbers counted, in place of a heap); whoever is in T - long of them is then
-        probed for in the long lists by binary search.
+        merged (counted by set, in place of a heap); whoever is in T - long of them is then
+        probed for in the long lists: in a bitmap where a list has one, by binary search elsewhere.
         """
-        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
-        at = at[self.shingles[at] == query]
-        least = int(least_shared(np.int64(len(query))))
-        if len(at) < least:
+        size = int(self.sizes[at])
+        lists = self.own[self.own_ends[at - 1] if at else 0 : self.own_ends[at]]
+        least = int(least_shared(np.int64(size)))
+        if len(lists) < least:
             return np.zeros(0, np.int64)
-        length = self.ends[at] - self.first[at]
-        at = at[np.argsort(length, kind="stable")]
+        length = self.length[lists]
+        lists = lists[np.argsort(length, kind="stable")]
         n_long = min(least - 1, int(least / (0.01 * np.log2(max(int(length.max()), 2)) + 1)))
-        short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        merged = np.sort(np.concatenate([self.members[self.first[i] : self.ends[i]] for i in short]))
-        candidates, seen = np.unique(merged, return_counts=True)
+        short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+        merged = np.concatenate([self.members[self.first[i] : self.ends[i]] for i in short.tolist()])
+        seen = np.bincount(merged, minlength=len(self.sizes))
         # overlap >= UP / (UP + DOWN) * (both sizes), as the likeness asks
-        asked = -(-UP * (self.sizes[candidates] + len(query)) // (UP + DOWN))
-        open_ = seen >= asked - n_long
-        candidates, seen, asked = candidates[open_], seen[open_], asked[open_]
+        asked = -(-UP * (self.sizes + size) // (UP + DOWN))
+        candidates = np.flatnonzero((seen > 0) & (seen >= asked - n_long))
+        candidates = candidates[candidates != at]
+        seen, asked = seen[candidates], asked[candidates]
+        bitmap = self.bitmap_of[long]
+        if len(candidates) and (bitmap >= 0).any():
+            rows = self.bitmaps[bitmap[bitmap >= 0]]
+            seen = seen + (rows.sum(0, dtype=np.int32)[candidates] if 4 * len(candidates) > rows.shape[1] else rows[:, candidates].sum(0, dtype=np.int32))
+        long = long[bitmap < 0]
         for i in range(0, len(long), PROBES):
+            open_ = seen >= asked - (len(long) - i)
+            candidates, seen, asked = candidates[open_], seen[open_], asked[open_]
             if not len(candidates):
                 break
-            probes = long[i : i + PROBES, None] * len(self.sizes) + candidates[None, :]
+            probes = long[i : i + PROBES, None].astype(np.int64) * len(self.sizes) + candidates[None, :]
             place = np.minimum(np.searchsorted(self.probed, probes), len(self.probed) - 1)
             seen = seen + (self.probed[place] == probes).sum(0)
-            open_ = seen >= asked - max(len(long) - i - PROBES, 0)
-            candidates, seen, asked = candidates[open_], seen[open_], asked[open_]
-        return candidates
+        return candidates[seen >= asked]
 
 
 def _sets_column(table: pa.Table, name: str) -> list[np.ndarray]:
@@ -266,7 +371,7 @@ def _leader_links(texts: DataFrame) -> DataFrame:
         a = b = np.zeros(0, np.int64)
         if followed.num_rows and asked.num_rows:
             (query,) = _sets_column(asked.slice(0, 1), "asked")
-            a = followed.column("id").to_numpy()[InvertedLists(_sets_column(followed, "text")).search(query)]
+            a = followed.column("id").to_numpy()[reached(query, _sets_column(followed, "text"))]
             b = np.full(len(a), asked.column("query")[0].as_py())
         return pa.table({"a": a, "b": b})
 
@@ -274,9 +379,9 @@ def _leader_links(texts: DataFrame) -> DataFrame:
 
 
 def _blocks(active: DataFrame, *carried: str) -> DataFrame:
-    """Each candidate group (id, group, text) in pairs of blocks of GROUP_BLOCK classes; every two blocks meet once."""
-    sizes = active.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select(
-        "group", F.ceil(F.col("n") / GROUP_BLOCK).cast("int").alias("parts")
+    """Each candidate group (id, n, group, text) in pairs of bounded blocks; every two blocks meet once."""
+    sizes = active.groupBy("group").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).filter("classes > 1").select(
+        "group", F.greatest(F.ceil(F.col("classes") / GROUP_BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
     dealt = active.join(sizes, "group").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
@@ -288,7 +393,7 @@ def _blocks(active: DataFrame, *carried: str) -> DataFrame:
 
 
 def _group_links(active: DataFrame) -> DataFrame:
-    """Links between classes of different components inside each candidate group (id, team, group, text)."""
+    """Links between classes of different components inside each candidate group (id, team, n, group, text)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, teams, sets = table.column("id").to_numpy(), table.column("team").to_pylist(), _sets_column(table, "text")
@@ -301,8 +406,8 @@ def _group_links(active: DataFrame) -> DataFrame:
             return x
 
         a, b = [], []
-        for i, query in enumerate(sets):
-            for j in lists.search(query).tolist():
+        for i in range(len(sets)):
+            for j in lists.search(i).tolist():
                 x, y = top(teams[i]), top(teams[j])
                 if x != y:  # the first link between two components is enough
                     leader[x] = y
@@ -314,7 +419,7 @@ def _group_links(active: DataFrame) -> DataFrame:
 
 
 def _link_counts(active: DataFrame) -> DataFrame:
-    """(id, linked): documents of the other classes that each class (id, docs, group, text) links with."""
+    """(id, linked): documents of the other classes that each class (id, docs, n, group, text) links with."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, docs, part = (table.column(c).to_numpy() for c in ("id", "docs", "part"))
@@ -322,9 +427,9 @@ def _link_counts(active: DataFrame) -> DataFrame:
         lists = InvertedLists(sets)
         linked = np.zeros(len(ids), np.int64)
         across = part.min() != part.max()  # then pairs inside a block are counted where it meets itself
-        for i, query in enumerate(sets):
-            found = lists.search(query)
-            found = found[(part[found] != part[i]) if across else (found != i)]
+        for i in range(len(sets)):
+            found = lists.search(i)
+            found = found[part[found] != part[i]] if across else found
             linked[i] = docs[found].sum()
         return pa.table({"id": ids, "linked": linked})
 
@@ -336,34 +441,39 @@ def _buckets(total: int | None) -> int:
     return max(1, -(-(total or 0) // ENTRIES_PER_BUCKET))
 
 
+def _with_components(classes: DataFrame, final: DataFrame) -> DataFrame:
+    """``classes`` and ``component_id``, the smallest doc_id of all classes in one component."""
+    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
+    return placed.join(least, "component")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     named, classes, _, final = _solved(docs, doc_id, text)
-    of_class = classes.join(final, "id", "left").select(
-        "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id")
-    )
-    alone = named.join(of_class, ["n", "ref", "ref2"], "left")
-    return alone.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    of_class = _with_components(classes, final).select("n", "ref", "ref2", "component_id")
+    return named.join(of_class, ["n", "ref", "ref2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links) of every document.
 
-    ``class_id`` is the smallest id with the same set, ``n_links`` the number of other documents whose likeness
-    reaches ALIKE, copies among them. Both are null where all documents of a class have a null id; without shingles there is no link.
+    ``class_id`` is the smallest id with the same set, null where all of them are; ``n_links`` is the number of other
+    documents whose likeness reaches ALIKE, copies among them; without shingles there is no link.
     """
     named, classes, texts, final = _solved(docs, doc_id, text)
     final = stored(final)
     members = texts.select("id", "text").join(final, "id").join(classes.select("id", "n", "docs"), "id")
-    linked = _link_counts(members.select("id", "docs", F.col("component").alias("group"), "text"))
-    of_class = classes.join(final, "id", "left").join(linked, "id", "left").select(
-        "n", "ref", "ref2", F.coalesce("component", "id").alias("component_id"), F.col("id").alias("class_id"),
+    linked = _link_counts(members.select("id", "docs", "n", F.col("component").alias("group"), "text"))
+    of_class = _with_components(classes, final).join(linked, "id", "left").select(
+        "n", "ref", "ref2", "component_id", F.col("doc").alias("class_id"),
         (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
     )
     return named.join(of_class, ["n", "ref", "ref2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
@@ -371,28 +481,30 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def _solved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Named sets of all documents, their classes, texts of the classes that may have links, and components of classes."""
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = stored(_named(read))
+    number = F.col(doc_id).cast("long")
+    read = docs.select(number.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(number, text).alias("key"))
+    both = stored(_named(read))
+    named = both.filter("chunk IS NULL").drop("chunk", "counts")
+    order = docs.sparkSession.sparkContext.broadcast(_ranks(both))
     classes = stored(
-        named.filter("n > 0").groupBy("n", "ref", "ref2").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs"))
-        .filter("id IS NOT NULL")
+        named.filter("n > 0").groupBy("n", "ref", "ref2")
+        .agg(F.min("doc_id").alias("doc"), F.min("key").alias("key"), F.count("*").alias("docs"))
+        .withColumn("id", F.col("ref"))
     )
     length = lambda spare: F.floor(F.col("n") / DOWN) + F.greatest(F.floor(F.col("n") / spare), F.lit(1))
-    total = classes.agg(F.sum(length(SPARE))).first()[0]
+    buckets = _buckets(classes.agg(F.sum(length(SPARE))).first()[0])
 
-    shared = stored(_shared(_text_entries(read, SPARE, _buckets(total))))
+    shared = stored(_shared(_text_entries(read, SPARE, buckets, order), buckets))
+    best = F.struct("real", "n", "leader")
     enough = (
-        shared.groupBy("id").agg(F.sum("n").alias("shared"), F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-        .join(classes.select("n", F.col("ref").alias("id"), F.col("id").alias("doc")), "id")
-        .filter(F.col("shared") >= needed(F.col("n"), SPARE))
-    )
-    open_classes = stored(
-        enough.select(F.col("doc").alias("id"), "n", F.col("id").alias("ref"), F.col("leader").alias("leader_ref"))
+        shared.groupBy("id").agg(F.sum("n").alias("shared"), F.max_by("leader", best).alias("leader"))
+        .join(classes.select("n", "id", "key"), "id").filter(F.col("shared") >= needed(F.col("n"), SPARE))
     )
+    open_classes = stored(enough.select("id", "n", "key", "leader"))
     texts = stored(_open_texts(read, open_classes))
     links = stored(_leader_links(texts))
     teams = components(links)
-    more = _rest(texts, open_classes, teams)
+    more = _rest(texts, open_classes, teams, order)
     return named, classes, texts, _merged(teams, more)
 
 
@@ -402,17 +514,21 @@ def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     Texts go through shuffles instead of shingles, which take twice as much room; ``part`` is the block in which a
     class is searched for its leader, ``parts`` the number of blocks in which it leads.
     """
-    leaders = classes.select(F.col("ref").alias("leader_ref"), F.col("id").alias("leader"))
-    led = classes.filter("ref <> leader_ref").join(leaders, "leader_ref").select("id", "leader")
-    parts = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    leaders = classes.select(F.col("id").alias("leader"))
+    led = classes.filter("id <> leader").select("id", "n", "leader").join(leaders, "leader")
+    parts = led.groupBy("leader").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
     placed = led.join(parts, "leader").select(
         "id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
     )
     wanted = stored(
-        classes.select("id").join(placed, "id", "left").join(parts.withColumnRenamed("leader", "id"), "id", "left")
+        classes.select("id", "key").join(placed, "id", "left")
+        .join(parts.withColumnRenamed("leader", "id"), "id", "left")
     )
-    marked = only_marked(docs, "doc_id", wanted.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
-    return marked.join(wanted, "id").select("id", "text", "leader", "part", "parts")
+    # rows alike in id and text have one key: one of them is enough
+    marked = only_marked(docs.select("key", "text"), "key", wanted).dropDuplicates(["key"])
+    return marked.join(wanted, "key").select("id", "text", "leader", "part", "parts")
 
 
 def _merged(teams: DataFrame, more: DataFrame) -> DataFrame:
@@ -434,7 +550,7 @@ def _merged(teams: DataFrame, more: DataFrame) -> DataFrame:
     return grown.union(alone)
 
 
-def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame) -> DataFrame:
+def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame, order) -> DataFrame:
     """Links between components that the search by leaders left open."""
     teamed = texts.select("id", "text").join(teams, "id", "left").select("id", "text", F.coalesce("component", "id").alias("team"))
 
@@ -443,13 +559,14 @@ def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame) -> DataFrame:
             for batch, sets in _sets_of(batches):
                 if sets:
                     yield _prefix_entries(
-                        sets, batch.column("id").to_numpy(), batch.column("team").to_numpy(), FINE_SPARE, buckets
+                        sets, batch.column("id").to_numpy(), batch.column("team").to_numpy(), FINE_SPARE, buckets, order.value
                     )
 
         return frame.mapInArrow(run, _ENTRIES)
 
     length = F.floor(F.col("n") / DOWN) + F.floor(F.col("n") / FINE_SPARE) + 1
-    mixed = _shared(entries(teamed, _buckets(classes.agg(F.sum(length)).first()[0])))
+    buckets = _buckets(classes.agg(F.sum(length)).first()[0])
+    mixed = _shared(entries(teamed, buckets), buckets)
     open_ids = stored(
         mixed.groupBy("id").agg(F.sum("n").alias("shared")).join(classes.select("id", "n"), "id")
         .filter(F.col("shared") >= needed(F.col("n"), FINE_SPARE)).select("id", "n")
@@ -459,11 +576,12 @@ def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame) -> DataFrame:
         return open_ids.select(F.col("id").alias("a"), F.col("id").alias("b"))
     active = stored(
         only_marked(texts.select("id", "text"), "id", open_ids).join(open_ids, "id").join(teams, "id", "left")
-        .select("id", "text", F.coalesce("component", "id").alias("team"))
+        .select("id", "n", "text", F.coalesce("component", "id").alias("team"))
     )
-    again = _shared(entries(active, _buckets(total)))
+    buckets = _buckets(total)
+    again = _shared(entries(active, buckets), buckets)
     groups = components(again.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "group")
-    return stored(_group_links(active.join(groups, "id").select("id", "team", "group", "text")))
+    return stored(_group_links(active.join(groups, "id").select("id", "team", "n", "group", "text")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ def test_one_row_of_each_group_with_missing_and_repeated_ids(frame, prose):
     assert kept == sorted([("5", one[:20]), ("None", two[:20]), ("7", three[:20]), ("None", ""), ("None", ""), ("9", "")])
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_links_equal_all_pairs(frame, prose, monkeypatch, block):
+@pytest.mark.parametrize("block,hot", [(8192, 1 << 18), (4, 1 << 18), (8192, 2), (5, 0)])
+def test_links_equal_all_pairs(frame, prose, monkeypatch, block, hot):
     monkeypatch.setattr(ngram_join, "GROUP_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "HOT_LIST", hot)  # lists dealt out by class as well
     rng = random.Random(9)
     texts = [varied(prose(90, 1), rng, s) for s in [0.01] * 12] + [prose(30, 2)] * 3 + [None, "", prose(40, 3)]
     chain = prose(150, 7).split(" ")
@@ -94,14 +95,49 @@ def test_links_equal_all_pairs(frame, prose, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in found} == {i: sets.index(s) if s else i for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("dense", [16, 10**9, 1])
 @pytest.mark.parametrize("seed", range(4))
-def test_divide_skip_finds_every_set_that_reaches_the_threshold(seed):
+def test_divide_skip_finds_every_set_that_reaches_the_threshold(seed, dense, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)  # all lists as bitmaps, or few
     rng = np.random.default_rng(seed)
     base = rng.choice(10_000, 300, replace=False).astype(np.uint64)
     sets = [np.unique(np.where(rng.random(300) < p, rng.integers(0, 10_000, 300).astype(np.uint64), base)) for p in rng.uniform(0, 0.5, 80)]
-    query = np.unique(base)
-    alike = [i for i, s in enumerate(sets) if 4 * len(np.intersect1d(s, query)) >= 3 * len(np.union1d(s, query))]
-    assert ngram_join.InvertedLists(sets).search(query).tolist() == alike
+    sets += [np.unique(rng.integers(0, 10_000, n).astype(np.uint64)) for n in (1, 1, 2, 300)] + [sets[0], sets[1][:250], np.zeros(1, np.uint64)]
+    lists = ngram_join.InvertedLists(sets)
+    for at, query in enumerate(sets):
+        alike = [i for i, s in enumerate(sets) if 4 * len(np.intersect1d(s, query)) >= 3 * len(np.union1d(s, query))]
+        assert lists.search(at).tolist() == [i for i in alike if i != at]
+        assert ngram_join.reached(query, sets).tolist() == alike
+
+
+def test_links_of_rows_with_missing_and_repeated_ids(frame, prose):
+    rng = random.Random(12)
+    base, other = prose(120, 1), prose(80, 2)
+    rows = [(varied(base, rng, 0.01), None) for _ in range(3)] + [(varied(base, rng, 0.01), 4), (base, 4), (base, 4), (base, 9)]
+    rows += [(other, 4), (other + " more", None), (prose(70, 3), None), ("", None), (None, 4), ("a b", 11), ("A  B", 10), ("a b c", 11)]
+    texts, ids = zip(*rows)
+    sets = [shingles(t) for t in texts]
+    links = [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    groups = plain_groups(texts, range(len(texts)))
+    want = []
+    for i, own in enumerate(ids):
+        known = [ids[j] for j in range(len(ids)) if groups[j][2] == groups[i][2] and ids[j] is not None]
+        want.append((own, len(sets[i]), min(known) if known else None, links[i]))
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_links(frame(texts, ids)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_line_in_all_texts_opens_no_class(spark, prose, monkeypatch):
+    """A long passage that all texts share stays out of the prefixes, so texts are settled at once."""
+    seen = []
+    stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    line = prose(40, 1)
+    rows = [(i, f"{prose(60, 100 + i)}\n{line}") for i in range(400)] + [(900, prose(60, 100) + " " + line + " x")]
+    got = ngram_join.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got if r.n_links} == {0: 1, 900: 1}
+    (open_classes,) = [df for df in seen if df.columns == ["id", "n", "key", "leader"]]
+    assert open_classes.count() < 20
 
 
 def test_components(spark):
