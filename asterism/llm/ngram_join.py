@@ -4,21 +4,18 @@ Texts with the same set are one class. Two classes link when their Jaccard liken
 ``ALIKE`` (as whole numbers, UP / DOWN). The search is a T-occurrence search: an inverted list names the classes that
 have a shingle, and a partner must be in at least T of a query's lists.
 
-* Shingles have one global order, from rare to common: texts are counted by shingle in SLOTS hashed slots, a table
-  of fixed size, and hashes break ties. Linked classes share at least f shingles among the first n - T + f of each,
-  so only these prefixes are dealt out by shingle, and a class with fewer shared prefix shingles than f is
-  settled: it has no link. Passages that very many texts share stay out of the prefixes.
-* The other classes look first at the class that leads most of their lists. In blocks of limited
-  size, DivideSkip finds which classes of a block reach T with that leader: short lists are merged,
-  long ones are probed by binary search.
-* Found links make components. Classes that still share enough prefix shingles with another component are
-  searched again, each against all of its candidates, in blocks; with that no link between two
-  components is missed.
-
-Blocks hold a bounded number of classes and of shingles. A list that very many prefixes share is dealt out by class
-as well, and counts as shared wherever it is. ``near_groups`` does not list links inside a component.
-``near_links`` does: every link lies inside one component, so the classes of each component are compared in
-blocks, all with all, and each class gets the number of documents it links with.
+* Linked classes share at least f shingles among the first n - T + f of each, in any order of all shingles. Only
+  these prefixes are dealt out by shingle, and a class with fewer shared prefix shingles than f is settled: it has
+  no link. The order goes from rare to common, so that passages of very many texts stay out of the prefixes.
+* At first the order is a coarse one, from counts in SLOTS hashed slots, a table of fixed size. It settles most
+  classes. Among those left open shingles are counted exactly, and the prefixes in the order of these counts are
+  dealt out again, ROUNDS times, each time without the classes settled before.
+* Classes that share a list, directly or over others, are a candidate group. Groups are searched in blocks, all
+  classes with all, and DivideSkip finds the partners of a class: short lists are merged, long ones are
+  probed. That gives the number of links of every class, and enough links to make the components.
+
+Blocks hold a bounded number of classes and of shingles. A list that very many texts share is dealt out by class as
+well, and counts as shared wherever it is.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts below ``WORDS`` words have
 one shingle, the whole sequence; repeated rows and copies fall in one class, and each of them is a
@@ -49,7 +46,8 @@ ENTRIES_PER_BUCKET = 400_000
 SLOTS = 1 << 18  # hashed counts of shingles
 _CHUNK = 1 << 10
 HOT_LIST = 1 << 18  # a prefix list of more texts is dealt out by class
-BLOCK = 512
+ROUNDS = 2
+_COMMON = 1 << 40  # stands for the count of a shingle that was not counted exactly
 GROUP_BLOCK = 8192  # a candidate group is copied once for every so many classes in it
 BLOCK_SHINGLES = 1_500_000  # and for so many shingles
 PROBES = 64  # long lists probed at a time
@@ -185,23 +183,25 @@ def _ranks(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(2 * np.log2(np.maximum(counts, 1) / mean), 0, 120).astype(np.uint8), counts > HOT_LIST
 
 
-_ENTRIES = "bucket int, shingles binary, ids binary, teams binary"
+_ENTRIES = "bucket int, shingles binary, ids binary"
 
 
-def _packed(shingles: np.ndarray, ids: np.ndarray, teams: np.ndarray, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
-    """Prefix entries dealt out by shingle, one row per bucket; those of very long lists by shingle and id, in
+def _packed(shingles: np.ndarray, ids: np.ndarray, buckets: int, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries dealt out by shingle, one row per bucket; those of very long lists by shingle and id, in
     buckets from ``buckets`` on."""
-    crowded = hot[_slots(shingles)]
-    dealt_by = np.where(crowded, mix(shingles ^ mix(ids.view(np.uint64))), shingles)
-    bucket = (dealt_by % np.uint64(buckets)).astype(np.int64) + crowded * buckets
+    dealt_by, crowded = shingles, np.zeros(len(shingles), bool)
+    if hot is not None:
+        crowded = hot[_slots(shingles)]
+        dealt_by = np.where(crowded, mix(shingles ^ mix(ids.view(np.uint64))), shingles)
+    bucket = (mix(dealt_by) % np.uint64(buckets)).astype(np.int64) + crowded * buckets
     order = np.argsort(bucket, kind="stable")
     there, first = np.unique(bucket[order], return_index=True)
-    parts = list(zip(first, np.append(first[1:], len(order)), strict=True))
+    parts = list(zip(first, np.append(first, len(order))[1:], strict=True))
     columns = [pa.array(there.astype(np.int32))]
-    for values in (shingles, ids, teams):
+    for values in (shingles, ids):
         dealt = values[order]
         columns.append(pa.array([dealt[a:b].tobytes() for a, b in parts], pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "shingles", "ids", "teams"])
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "shingles", "ids"])
 
 
 def _prefixes(sets: list[np.ndarray], spare: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,12 +214,6 @@ def _prefixes(sets: list[np.ndarray], spare: int, rank: np.ndarray) -> tuple[np.
     return np.concatenate(found), sizes
 
 
-def _prefix_entries(sets: list[np.ndarray], ids: np.ndarray, teams: np.ndarray, spare: int, buckets: int, order) -> pa.RecordBatch:
-    rank, hot = order
-    shingles, sizes = _prefixes(sets, spare, rank)
-    return _packed(shingles, np.repeat(ids, sizes), np.repeat(teams, sizes), buckets, hot)
-
-
 def _text_entries(docs: DataFrame, spare: int, buckets: int, order) -> DataFrame:
     """Prefix entries of every text; copies met in one batch are entered once."""
 
@@ -229,57 +223,44 @@ def _text_entries(docs: DataFrame, spare: int, buckets: int, order) -> DataFrame
             _, once = np.unique(ref[n > 0], return_index=True)
             once = np.flatnonzero(n > 0)[once]
             if len(once):
-                yield _prefix_entries([sets[i] for i in once], ref[once], ref[once], spare, buckets, order.value)
+                rank, hot = order.value
+                shingles, sizes = _prefixes([sets[i] for i in once], spare, rank)
+                yield _packed(shingles, np.repeat(ref[once], sizes), buckets, hot)
 
     return docs.mapInArrow(run, _ENTRIES)
 
 
 def _shared(entries: DataFrame, buckets: int) -> DataFrame:
-    """(id, leader, real, n): in how many shared lists an id has this leader.
+    """(id, leader, n): in how many shared lists an id has this leader.
 
-    A list is shared when it holds ids of two teams; its leader is the smallest id. What a list gives
-    is as long as the list, not its square. Parts of a very long list all count as shared, and the
-    shingle itself stands for their leader, which is no class (``real`` is false).
+    A list is shared when it holds two ids; its leader is the smallest. What a list gives is as long as the
+    list, not its square. Parts of a very long list all count as shared, and the shingle itself stands for
+    their leader.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        shingle, ident, team = (
-            np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64 if c == "shingles" else np.int64)
-            for c in ("shingles", "ids", "teams")
+        shingle, ident = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint64), ("ids", np.int64))
         )
-        crowded = table.column("bucket")[0].as_py() >= buckets
         order = np.lexsort((ident, shingle))
-        shingle, ident, team = shingle[order], ident[order], team[order]
+        shingle, ident = shingle[order], ident[order]
         new = np.ones(len(shingle), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (ident[1:] != ident[:-1])
-        shingle, ident, team = shingle[new], ident[new], team[new]
-        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        shingle, ident = shingle[new], ident[new]
+        first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])[: len(shingle)])
         size = np.diff(np.append(first, len(shingle)))
-        if crowded:
+        if table.column("bucket")[0].as_py() >= buckets:
             leader = mix(shingle).view(np.int64)
         else:
-            mixed = np.minimum.reduceat(team, first) != np.maximum.reduceat(team, first)
-            keep = np.repeat(mixed, size)
+            keep = np.repeat(size > 1, size)
             ident, leader = ident[keep], np.repeat(ident[first], size)[keep]
         order = np.lexsort((leader, ident))
         ident, leader = ident[order], leader[order]
         at = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (leader[1:] != leader[:-1])])[: len(ident)])
-        return pa.table({
-            "id": ident[at], "leader": leader[at], "real": pa.array(np.full(len(at), not crowded)),
-            "n": np.diff(np.append(at, len(ident))),
-        })
+        return pa.table({"id": ident[at], "leader": leader[at], "n": np.diff(np.append(at, len(ident)))})
 
-    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long, real boolean, n long")
-    return found.groupBy("id", "leader", "real").agg(F.sum("n").alias("n"))
-
-
-def reached(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Sets whose likeness with one query is at least UP / DOWN: their shingles are probed for in the query."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    shared = np.add.reduceat((query[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-    return np.flatnonzero((UP + DOWN) * shared >= UP * (sizes + len(query)))
+    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long, n long")
+    return found.groupBy("id", "leader").agg(F.sum("n").alias("n"))
 
 
 class InvertedLists:
@@ -355,29 +336,6 @@ def _sets_column(table: pa.Table, name: str) -> list[np.ndarray]:
     return shingle_sets(table.column(name).combine_chunks())
 
 
-_LINKS = "a long, b long"
-
-
-def _leader_links(texts: DataFrame) -> DataFrame:
-    """Links between classes and their leaders; a leader's followers are searched in blocks."""
-    followers = texts.filter("leader IS NOT NULL").select("leader", "part", "id", "text")
-    asking = texts.filter("parts IS NOT NULL").select(
-        F.col("id").alias("query"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"),
-        F.col("text").alias("asked"),
-    )
-
-    def run(followed: pa.Table, asked: pa.Table) -> pa.Table:
-        a = b = np.zeros(0, np.int64)
-        if followed.num_rows and asked.num_rows:
-            (query,) = _sets_column(asked.slice(0, 1), "asked")
-            a = followed.column("id").to_numpy()[reached(query, _sets_column(followed, "text"))]
-            b = np.full(len(a), asked.column("query")[0].as_py())
-        return pa.table({"a": a, "b": b})
-
-    return followers.groupBy("leader", "part").cogroup(asking.groupBy("query", "block")).applyInArrow(run, _LINKS)
-
-
 def _blocks(active: DataFrame, *carried: str) -> DataFrame:
     """Each candidate group (id, n, group, text) in pairs of bounded blocks; every two blocks meet once."""
     sizes = active.groupBy("group").agg(F.count("*").alias("classes"), F.sum("n").alias("total")).filter("classes > 1").select(
@@ -393,68 +351,53 @@ def _blocks(active: DataFrame, *carried: str) -> DataFrame:
 
 
 def _group_links(active: DataFrame) -> DataFrame:
-    """Links between classes of different components inside each candidate group (id, team, n, group, text)."""
+    """(id, other, linked) of the classes (id, docs, n, group, text) of candidate groups.
+
+    Without ``other``: how many documents of other classes the class links with inside one pair of blocks. With
+    it: a link; of the links in one pair of blocks as many as it takes to join what they join.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, teams, sets = table.column("id").to_numpy(), table.column("team").to_pylist(), _sets_column(table, "text")
-        lists = InvertedLists(sets)
-        leader: dict[int, int] = {}
+        ids, docs, part = (table.column(c).to_numpy() for c in ("id", "docs", "part"))
+        lists = InvertedLists(_sets_column(table, "text"))
+        linked = np.zeros(len(ids), np.int64)
+        across = part.min() != part.max()  # then pairs inside a block are met where it meets itself
+        above = np.arange(len(ids))
 
         def top(x: int) -> int:
-            while leader.get(x, x) != x:
-                x = leader[x]
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
             return x
 
         a, b = [], []
-        for i in range(len(sets)):
-            for j in lists.search(i).tolist():
-                x, y = top(teams[i]), top(teams[j])
-                if x != y:  # the first link between two components is enough
-                    leader[x] = y
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return _blocks(active, "team").groupBy("group", "low", "high").applyInArrow(run, _LINKS)
-
-
-def _link_counts(active: DataFrame) -> DataFrame:
-    """(id, linked): documents of the other classes that each class (id, docs, n, group, text) links with."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, docs, part = (table.column(c).to_numpy() for c in ("id", "docs", "part"))
-        sets = _sets_column(table, "text")
-        lists = InvertedLists(sets)
-        linked = np.zeros(len(ids), np.int64)
-        across = part.min() != part.max()  # then pairs inside a block are counted where it meets itself
-        for i in range(len(sets)):
+        for i in range(len(ids)):
             found = lists.search(i)
             found = found[part[found] != part[i]] if across else found
             linked[i] = docs[found].sum()
-        return pa.table({"id": ids, "linked": linked})
+            for j in found[above[found] != above[i]].tolist():
+                x, y = top(i), top(j)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        some = np.flatnonzero(linked)
+        return pa.table({
+            "id": np.concatenate([ids[some], np.array(a, np.int64)]),
+            "other": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b, pa.int64())]),
+            "linked": np.concatenate([linked[some], np.zeros(len(a), np.int64)]),
+        })
 
-    found = _blocks(active, "docs").groupBy("group", "low", "high").applyInArrow(run, "id long, linked long")
-    return found.groupBy("id").agg(F.sum("linked").alias("linked"))
+    return _blocks(active, "docs").groupBy("group", "low", "high").applyInArrow(run, "id long, other long, linked long")
 
 
 def _buckets(total: int | None) -> int:
     return max(1, -(-(total or 0) // ENTRIES_PER_BUCKET))
 
 
-def _with_components(classes: DataFrame, final: DataFrame) -> DataFrame:
-    """``classes`` and ``component_id``, the smallest doc_id of all classes in one component."""
-    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    return placed.join(least, "component")
-
-
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    named, classes, _, final = _solved(docs, doc_id, text)
-    of_class = _with_components(classes, final).select("n", "ref", "ref2", "component_id")
-    return named.join(of_class, ["n", "ref", "ref2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return near_links(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
 
 
 def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -463,11 +406,12 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ``class_id`` is the smallest id with the same set, null where all of them are; ``n_links`` is the number of other
     documents whose likeness reaches ALIKE, copies among them; without shingles there is no link.
     """
-    named, classes, texts, final = _solved(docs, doc_id, text)
-    final = stored(final)
-    members = texts.select("id", "text").join(final, "id").join(classes.select("id", "n", "docs"), "id")
-    linked = _link_counts(members.select("id", "docs", "n", F.col("component").alias("group"), "text"))
-    of_class = _with_components(classes, final).join(linked, "id", "left").select(
+    named, classes, links = _solved(docs, doc_id, text)
+    final = components(links.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    linked = links.filter("other IS NULL").groupBy("id").agg(F.sum("linked").alias("linked"))
+    placed = classes.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_class = placed.join(least, "component").join(linked, "id", "left").select(
         "n", "ref", "ref2", "component_id", F.col("doc").alias("class_id"),
         (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
     )
@@ -479,8 +423,8 @@ def near_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
 
 
-def _solved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Named sets of all documents, their classes, texts of the classes that may have links, and components of classes."""
+def _solved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Named sets of all documents, their classes, and links and numbers of links of classes."""
     number = F.col(doc_id).cast("long")
     read = docs.select(number.alias("doc_id"), F.col(text).alias("text"), F.xxhash64(number, text).alias("key"))
     both = stored(_named(read))
@@ -491,97 +435,126 @@ def _solved(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
         .agg(F.min("doc_id").alias("doc"), F.min("key").alias("key"), F.count("*").alias("docs"))
         .withColumn("id", F.col("ref"))
     )
-    length = lambda spare: F.floor(F.col("n") / DOWN) + F.greatest(F.floor(F.col("n") / spare), F.lit(1))
-    buckets = _buckets(classes.agg(F.sum(length(SPARE))).first()[0])
-
-    shared = stored(_shared(_text_entries(read, SPARE, buckets, order), buckets))
-    best = F.struct("real", "n", "leader")
-    enough = (
-        shared.groupBy("id").agg(F.sum("n").alias("shared"), F.max_by("leader", best).alias("leader"))
-        .join(classes.select("n", "id", "key"), "id").filter(F.col("shared") >= needed(F.col("n"), SPARE))
+    buckets = _buckets(classes.agg(F.sum(_prefix("n", SPARE))).first()[0])
+    open_classes = stored(
+        _open(_shared(_text_entries(read, SPARE, buckets, order), buckets), classes, SPARE).select("id", "n", "key", "docs")
     )
-    open_classes = stored(enough.select("id", "n", "key", "leader"))
-    texts = stored(_open_texts(read, open_classes))
-    links = stored(_leader_links(texts))
-    teams = components(links)
-    more = _rest(texts, open_classes, teams, order)
-    return named, classes, texts, _merged(teams, more)
+    # Rows alike in id and text have one key: one of them is enough.
+    marked = only_marked(read.select("key", "text"), "key", open_classes).dropDuplicates(["key"])
+    texts = stored(marked.join(open_classes, "key").select("id", "n", "docs", "text"))
+
+    prefixes = stored(_exact_prefixes(texts, order))
+    for _ in range(ROUNDS):
+        buckets = _buckets(prefixes.agg(F.sum(_prefix("n", FINE_SPARE))).first()[0])
+        shared = stored(_shared(_entries_of(prefixes, buckets, order), buckets))
+        prefixes = stored(_open(shared, prefixes, FINE_SPARE).select("id", "n", "prefix"))
+    inside = shared.join(prefixes.select("id"), "id", "left_semi")
+    groups = components(inside.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    active = texts.join(groups.withColumnRenamed("component", "group"), "id").join(prefixes.select("id"), "id", "left_semi")
+    return named, classes, stored(_group_links(active))
+
+
+def _prefix(n: str, spare: int):
+    """``prefix_length`` as a column."""
+    n = F.col(n)
+    return F.least(n, F.floor(n / DOWN) + F.greatest(F.floor(n / spare), F.lit(1)))
 
 
-def _open_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, text, leader, part, parts) of the classes that may have links, with one document's text each.
+def _open(shared: DataFrame, classes: DataFrame, spare: int) -> DataFrame:
+    """The classes with enough shared prefix shingles for a link."""
+    found = shared.groupBy("id").agg(F.sum("n").alias("shared"))
+    return found.join(classes, "id").filter(F.col("shared") >= needed(F.col("n"), spare))
 
-    Texts go through shuffles instead of shingles, which take twice as much room; ``part`` is the block in which a
-    class is searched for its leader, ``parts`` the number of blocks in which it leads.
+
+def _exact_prefixes(texts: DataFrame, order) -> DataFrame:
+    """(id, n, prefix): the rarest shingles of every class, by how many classes of ``texts`` have a shingle.
+
+    Sets are dealt out by shingle and counted; classes get back the counts above one. Shingles of very long
+    lists are not dealt out and count as common.
     """
-    leaders = classes.select(F.col("id").alias("leader"))
-    led = classes.filter("id <> leader").select("id", "n", "leader").join(leaders, "leader")
-    parts = led.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
-    )
-    placed = led.join(parts, "leader").select(
-        "id", "leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    )
-    wanted = stored(
-        classes.select("id", "key").join(placed, "id", "left")
-        .join(parts.withColumnRenamed("leader", "id"), "id", "left")
-    )
-    # rows alike in id and text have one key: one of them is enough
-    marked = only_marked(docs.select("key", "text"), "key", wanted).dropDuplicates(["key"])
-    return marked.join(wanted, "key").select("id", "text", "leader", "part", "parts")
-
-
-def _merged(teams: DataFrame, more: DataFrame) -> DataFrame:
-    """(id, component) when further links join the components of ``teams``."""
-    if more.isEmpty():
-        return teams
-    known = teams.select(F.col("id"), F.col("component").alias("team"))
-    ends = [
-        known.select(F.col("id").alias(end), F.col("team").alias(f"{end}_team")) for end in ("a", "b")
-    ]
-    joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
-        F.coalesce("a_team", "a").alias("a"), F.coalesce("b_team", "b").alias("b")
-    )
-    over = components(joined).withColumnsRenamed({"id": "team", "component": "over"})
-    grown = known.join(over, "team", "left").select("id", F.coalesce("over", "team").alias("component"))
-    alone = over.join(known.select(F.col("id").alias("team")), "team", "left_anti").select(
-        F.col("team").alias("id"), F.col("over").alias("component")
+    buckets = _buckets(texts.agg(F.sum("n")).first()[0])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot = order.value
+        for batch, sets in _sets_of(batches):
+            if not len(sets):
+                continue
+            shingles = np.concatenate(sets)
+            ids = np.repeat(batch.column("id").to_numpy(), [len(s) for s in sets])
+            rare = ~hot[_slots(shingles)]
+            yield _packed(shingles[rare], ids[rare], buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        shingle, ident = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingles", np.uint64), ("ids", np.int64))
+        )
+        _, at, n = np.unique(shingle, return_inverse=True, return_counts=True)
+        several = n[at] > 1
+        shingle, ident, n = shingle[several], ident[several], n[at][several]
+        to = _group_of(ident, buckets)
+        by_group = np.argsort(to, kind="stable")
+        there, first = np.unique(to[by_group], return_index=True)
+        ends = np.append(first, len(to))[1:].tolist()
+        columns = {"to": pa.array(there)}
+        for name, values in (("ids", ident), ("shingles", shingle), ("counts", n.astype(np.int64))):
+            dealt = values[by_group]
+            columns[name] = pa.array([dealt[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())
+        return pa.table(columns)
+
+    def choose(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        rank, hot = order.value
+        sets = _sets_column(asked, "text") if asked.num_rows else []
+        ident, shingle, n = (
+            np.frombuffer(b"".join(answers.column(c).to_pylist()), kind)
+            for c, kind in (("ids", np.int64), ("shingles", np.uint64), ("counts", np.int64))
+        )
+        by_id = np.lexsort((shingle, ident))
+        ident, shingle, n = ident[by_id], shingle[by_id], n[by_id]
+        ids = asked.column("id").to_numpy()
+        low, high = np.searchsorted(ident, ids), np.searchsorted(ident, ids, side="right")
+        lengths = prefix_length(np.array([len(s) for s in sets], np.int64), FINE_SPARE)
+        found = []
+        for s, a, b, length in zip(sets, low.tolist(), high.tolist(), lengths.tolist()):
+            counts = np.ones(len(s), np.int64)
+            counts[np.searchsorted(s, shingle[a:b])] = n[a:b]
+            slot = _slots(s)
+            common = hot[slot]
+            counts[common] = _COMMON + rank[slot[common]].astype(np.int64)
+            found.append(s[np.argsort(counts, kind="stable")[:length]].tobytes())
+        return pa.table({"id": ids, "n": asked.column("n").to_numpy(), "prefix": pa.array(found, pa.binary())})
+
+    counted = texts.select("id", "text").mapInArrow(deal, _ENTRIES).groupBy("bucket").applyInArrow(
+        count, "to long, ids binary, shingles binary, counts binary"
     )
-    return grown.union(alone)
+    asked = texts.select("id", "n", "text").mapInArrow(_with_group(buckets), "id long, n long, text string, to long")
+    return asked.groupBy("to").cogroup(counted.groupBy("to")).applyInArrow(choose, "id long, n long, prefix binary")
 
 
-def _rest(texts: DataFrame, classes: DataFrame, teams: DataFrame, order) -> DataFrame:
-    """Links between components that the search by leaders left open."""
-    teamed = texts.select("id", "text").join(teams, "id", "left").select("id", "text", F.coalesce("component", "id").alias("team"))
+def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
-    def entries(frame: DataFrame, buckets: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, sets in _sets_of(batches):
-                if sets:
-                    yield _prefix_entries(
-                        sets, batch.column("id").to_numpy(), batch.column("team").to_numpy(), FINE_SPARE, buckets, order.value
-                    )
 
-        return frame.mapInArrow(run, _ENTRIES)
+def _with_group(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("to", pa.array(_group_of(batch.column("id").to_numpy(), groups)))
 
-    length = F.floor(F.col("n") / DOWN) + F.floor(F.col("n") / FINE_SPARE) + 1
-    buckets = _buckets(classes.agg(F.sum(length)).first()[0])
-    mixed = _shared(entries(teamed, buckets), buckets)
-    open_ids = stored(
-        mixed.groupBy("id").agg(F.sum("n").alias("shared")).join(classes.select("id", "n"), "id")
-        .filter(F.col("shared") >= needed(F.col("n"), FINE_SPARE)).select("id", "n")
-    )
-    total = open_ids.agg(F.sum(length)).first()[0]
-    if not total:
-        return open_ids.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    active = stored(
-        only_marked(texts.select("id", "text"), "id", open_ids).join(open_ids, "id").join(teams, "id", "left")
-        .select("id", "n", "text", F.coalesce("component", "id").alias("team"))
-    )
-    buckets = _buckets(total)
-    again = _shared(entries(active, buckets), buckets)
-    groups = components(again.select(F.col("id").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "group")
-    return stored(_group_links(active.join(groups, "id").select("id", "team", "n", "group", "text")))
+    return run
+
+
+def _entries_of(prefixes: DataFrame, buckets: int, order) -> DataFrame:
+    """Stored prefixes dealt out by shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hot = order.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                found = [np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column("prefix")]
+                ids = np.repeat(batch.column("id").to_numpy(), [len(p) for p in found])
+                yield _packed(np.concatenate(found), ids, buckets, hot)
+
+    return prefixes.select("id", "prefix").mapInArrow(run, _ENTRIES)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
