@@ -254,13 +254,11 @@ def _shared(entries: DataFrame, buckets: int) -> DataFrame:
         else:
             keep = np.repeat(size > 1, size)
             ident, leader = ident[keep], np.repeat(ident[first], size)[keep]
-        order = np.lexsort((leader, ident))
-        ident, leader = ident[order], leader[order]
-        at = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (leader[1:] != leader[:-1])])[: len(ident)])
-        return pa.table({"id": ident[at], "leader": leader[at], "n": np.diff(np.append(at, len(ident)))})
+        return pa.table({"id": ident, "leader": leader})
 
-    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long, n long")
-    return found.groupBy("id", "leader").agg(F.sum("n").alias("n"))
+    # one row per entry of a shared list, added up in the task before anything is shuffled
+    found = entries.groupBy("bucket").applyInArrow(run, "id long, leader long")
+    return found.groupBy("id", "leader").agg(F.count("*").alias("n"))
 
 
 class InvertedLists:
