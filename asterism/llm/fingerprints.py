@@ -85,7 +85,7 @@ def picks_before(selected: Column, bound: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """All columns of ``docs`` and ``picks``; row by row, nothing is shuffled."""
+    """All columns of ``docs`` and ``picks``, in the place of one of that name; row by row, nothing is shuffled."""
     return docs.withColumn("picks", picks(F.encode(text_or_empty(F.col(text)), "utf-8"), k))
 
 

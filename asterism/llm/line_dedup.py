@@ -6,7 +6,8 @@ documents goes, wherever it is. The other lines keep their order.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points
 are never dropped; a document with no line left has an empty text; rows that repeat a doc_id count as
-one document; a null doc_id counts as one document too. Other columns are passed through.
+one document; a null doc_id counts as one document too. Other columns are passed through, but for those
+named like a result (kept_text, n_lines, n_dropped), whose place the results take.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .common import WHITE, ascii_lower, stored, text_or_empty
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+RESULTS = ("kept_text", "n_lines", "n_dropped")
 
 
 def lines_of(text: Column) -> Column:
@@ -55,7 +57,7 @@ def dedup_lines(
         at.select("r.id", "r.t", "pos", "h.h1", "h.h2").join(frequent, ["h1", "h2"])
         .groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
     )
-    names = docs.columns
+    names = [c for c in docs.columns if c not in RESULTS]
     left = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), row.alias("r"))
     joined = left.join(
         dropped, F.col("r.id").eqNullSafe(F.col("id")) & (F.col("r.t") == F.col("t")), "left"

@@ -13,6 +13,7 @@ places of their own; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,23 +41,37 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def word_encoder(path: str):
-    """Ids of words with a byte-level vocabulary; strings of special tokens are ordinary text.
+def special_tokens(path: str) -> dict[str, int]:
+    """Strings that a tokenizer's JSON file gives ids of their own, wherever they are in a text."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def word_encoder(path: str, special: dict[str, int] | None = None):
+    """Ids of words with a byte-level vocabulary; ``special`` strings, which have no blanks, are one id each.
 
     Words that start with a space and end visibly are encoded as one text: no token crosses from
     one to the next, so the bytes of the tokens tell where each word ends.
     """
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    model = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    special = special or {}
+    model = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
     size[list(ranks.values())] = [len(token) for token in ranks]
+    for token, number in special.items():
+        size[number] = len(token.encode())
+
+    def ids_of(text: str) -> list[int]:
+        if any(token in text for token in special):
+            return model.encode(text, allowed_special="all")
+        return model.encode_ordinary(text)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.array([w[0] == " " and not w[-1].isspace() for w in words], bool)
         joined = [w for w, p in zip(words, plain, strict=True) if p]
-        others = [model.encode_ordinary(w) for w, p in zip(words, plain, strict=True) if not p]
-        ids = np.array(model.encode_ordinary("".join(joined)), np.int64)
+        others = [ids_of(w) for w, p in zip(words, plain, strict=True) if not p]
+        ids = np.array(ids_of("".join(joined)), np.int64)
         ends = np.cumsum(pc.binary_length(pa.array(joined, pa.string())).to_numpy(zero_copy_only=False))
         upto = np.searchsorted(np.cumsum(size[ids]), ends, side="right")
         lengths = np.zeros(len(words), np.int64)
@@ -73,12 +88,12 @@ def word_encoder(path: str):
 
 def token_pieces(
     docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID,
-    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, special: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: its document's ids cut so that only the first piece is shorter than ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(word_encoder(path))
+        coder = WordIds(word_encoder(path, special))
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 ids, offsets = coder(batch.column("text"))
@@ -271,7 +286,7 @@ def place_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(
     docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID,
-    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Every piece of every document with its sequence and place; text is read once, never shuffled."""
-    return place_pieces(stored(token_pieces(docs, path, size, end_id, doc_id, text, with_ids)), size)
+    return place_pieces(stored(token_pieces(docs, path, size, end_id, doc_id, text, with_ids, special)), size)

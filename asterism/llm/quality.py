@@ -262,9 +262,12 @@ def quality_score(model: QualityModel):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
+    """``docs`` with held_out, score and predicted, in the place of columns of these names.
+
+    A row without an id never trains, so it is held out.
+    """
     model = fit_quality(docs, labels)
     return docs.withColumn("score", quality_score(model)(F.col("text"))).withColumns({
-        "held_out": held_out(F.col("doc_id")),
+        "held_out": F.coalesce(held_out(F.col("doc_id")), F.lit(True)),
         "predicted": (F.col("score") >= keep_from).cast("int"),
     })

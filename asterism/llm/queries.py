@@ -13,7 +13,7 @@ from .fingerprints import fingerprint_edits, spelled
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import near_links
-from .packing import pack_documents
+from .packing import pack_documents, special_tokens
 from .personal import BASE as PERSONAL_BASE
 from .personal import find_personal
 from .piece_tokens import encode_pieces
@@ -24,7 +24,8 @@ from .topk_join import topk_inner, whole_vectors
 from .whitening import whitened_rows
 from .whitening import whole_vectors as padded_vectors
 
-BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"  # its ids, but for special tokens
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +64,9 @@ def quality_classifier(spark, folder):
 
 
 def best_fit_packing(spark, folder):
-    return pack_documents(table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY))
+    return pack_documents(
+        table(spark, folder, "documents"), vocabulary(BYTE_VOCABULARY), special=special_tokens(vocabulary(BYTE_TOKENIZER))
+    )
 
 
 def suffix_dedup(spark, folder):

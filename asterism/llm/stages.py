@@ -1,4 +1,10 @@
-"""Stages that clean a corpus; each takes and returns the columns of ``documents``, the last returns packed pieces."""
+"""Stages that clean a corpus; each takes and returns the columns of ``documents``, the last returns packed pieces.
+
+Defined cases, for all stages: an empty table gives an empty table; a text that is null counts as empty; rows with
+a null or repeated doc_id are documents of their own (in ``lines`` they count as one document when a line's
+documents are counted); texts of any length are taken whole; further columns come along as they are, whatever their
+names; ``n_chars`` is counted anew where a stage may change the text.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +14,32 @@ from pyspark.sql import functions as F
 from .common import stored, table
 from .line_dedup import dedup_lines
 from .ngram_join import keep_one_of_each
-from .packing import pack_documents
+from .packing import pack_documents, special_tokens
 from .quality import score_quality
-from .queries import BYTE_VOCABULARY, vocabulary
+from .queries import BYTE_TOKENIZER, BYTE_VOCABULARY, vocabulary
 from .secrets import redact_secrets
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """(document, doc_id, text): all columns in one struct, so that no name can clash with what an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), "doc_id", "text")
+
+
+def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of documents, with ``text`` taken from another column and counted anew."""
+    new = {"text": F.col(text).alias("text"), "n_chars": F.char_length(F.col(text)).cast("long").alias("n_chars")}
+    return df.select(*(new.get(c, F.col(f"document.`{c}`").alias(c)) for c in columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels of the folder, accepts."""
-    scored = score_quality(docs, table(spark, folder, "labels"))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    scored = score_quality(_carried(docs), table(spark, folder, "labels"))
+    return scored.filter("predicted = 1").select("document.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without the lines that ten or more of them share; one may be left empty."""
-    return _with_text(dedup_lines(docs), docs.columns, "kept_text")
+    return _with_text(dedup_lines(_carried(docs)), docs.columns, "kept_text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,18 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document, with a mask in the place of each secret."""
-    return _with_text(redact_secrets(docs), docs.columns, "text")
+    return _with_text(redact_secrets(_carried(docs)), docs.columns, "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token pieces of the documents, with their ids, packed into sequences."""
-    return pack_documents(docs, vocabulary(BYTE_VOCABULARY), with_ids=True)
-
-
-def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of documents, with ``text`` taken from another column and counted anew."""
-    new = {"text": F.col(text).alias("text"), "n_chars": F.char_length(F.col(text)).cast("long").alias("n_chars")}
-    return df.select(*(new.get(c, F.col(f"`{c}`")) for c in columns))
+    special = special_tokens(vocabulary(BYTE_TOKENIZER))
+    return pack_documents(docs, vocabulary(BYTE_VOCABULARY), with_ids=True, special=special)
 
 
 STAGES = [

@@ -386,8 +386,7 @@ def _spread(pieces: DataFrame, length: int, crowd: int) -> tuple[list[DataFrame]
         dealt.append(kinds.join(few, part).select(F.xxhash64(*part).alias("gram"), "doc_id", "often", "start", "piece"))
         if crowded.isEmpty():
             return settled, dealt, total
-        # at most one of ``crowd`` rows
-        cells = kinds.join(F.broadcast(crowded), part).select("gram", "doc_id", "often", "start", "reach_left", "piece", "low", "high")
+        cells = kinds.join(crowded, part).select("gram", "doc_id", "often", "start", "reach_left", "piece", "low", "high")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
@@ -426,8 +425,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
     pieces = cut(wanted).drop("reach_left")
     if not crowded.isEmpty():
-        # at most one of ``crowd`` rows is broadcast
-        hot = stored(with_text(wide.join(F.broadcast(crowded), "gram")))
+        hot = stored(with_text(wide.join(crowded, "gram")))
         spans, dealt, more = _spread(cut(hot), length, crowd)
         total += more
         for part in dealt:
@@ -460,10 +458,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept`` are the remaining bytes."""
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = stored(repeated_spans(read.filter("doc_id IS NOT NULL"), length))
-    lists = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept`` are the remaining bytes.
+
+    Rows are told apart by a hash of id and text, so that rows with a null or repeated id are documents of their
+    own. Rows alike in both share a hash and its spans, and their whole text is repeated.
+    """
+    number = F.col(doc_id).cast("long")
+    read = docs.select(F.xxhash64(number, F.col(text)).alias("key"), number.alias("doc_id"), F.col(text).alias("text"))
+    spans = stored(repeated_spans(read.select(F.col("key").alias("doc_id"), "text"), length)).withColumnRenamed("doc_id", "key")
+    lists = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,8 +491,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
             )], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     # texts without a span are not moved
-    joined = only_marked(read, "doc_id", spans).join(lists, "doc_id", "left").select("doc_id", "text", "spans")
-    others = only_marked(read, "doc_id", spans, marked=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    joined = only_marked(read, "key", spans).join(lists, "key", "left").select("key", "doc_id", "text", "spans")
+    others = only_marked(read, "key", spans, marked=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     every = joined.union(others).select(
         "doc_id", F.encode(text_or_empty(F.col("text")), "utf-8").alias("raw"), "spans"
     )

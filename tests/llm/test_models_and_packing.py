@@ -63,9 +63,12 @@ def test_byte_level_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    texts = odd_texts(1500, 3) + ["<|endoftext|> a", " ", "a " * 2000]
-    coder = WordIds(packing.word_encoder(public_tokenizers.path(queries.BYTE_VOCABULARY)), most=500)
+    special = packing.special_tokens(public_tokenizers.path(queries.BYTE_TOKENIZER))
+    (mark,) = special
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice([mark, mark[:-1], " ", "\n", "a", "é", "ab. ", "  "]) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    texts = odd_texts(1500, 3) + mixed + [mark, mark * 3, f"{mark} a", " ", "a " * 2000]
+    coder = WordIds(packing.word_encoder(public_tokenizers.path(queries.BYTE_VOCABULARY), special), most=500)
     for part in itertools.batched(texts, 300):
         ids, offsets = coder(pa.array(part))
         want = [e.ids for e in library.encode_batch(list(part), add_special_tokens=False)]
@@ -202,6 +205,44 @@ def test_topk_equals_all_pairs(spark, pivots, block):
     assert {tuple(r) for r in got.collect()} == plain_topk(rows, 7)
 
 
+def plain_scores(rows, k):
+    """Exact scores of (id, whole vector) in Python integers; the reported ones fit in a long."""
+    out = set()
+    for q, v in rows:
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), x) for x, w in rows if x != q)
+            out |= {(q, r + 1, x, max(-(2**63), min(-s, 2**63 - 1))) for r, (s, x) in enumerate(scored[:k])}
+    return out
+
+
+@pytest.mark.parametrize("size", [2**10, 2**28, 2**30, 2**40, 2**62])
+def test_topk_is_exact_for_components_of_any_size(spark, size):
+    rng = random.Random(size)
+    rows = [(i, [size - rng.randrange(4) if i < 60 else rng.randrange(-size, size) for _ in range(6)]) for i in range(140)]
+    rows += [(500, [-(2**63)] * 6), (501, [2**63 - 1] * 6)] if size == 2**62 else []
+    df = spark.createDataFrame(rows, "id long, v array<bigint>").repartition(3)
+    for pivots, block in ((256, 16384), (5, 30)):
+        got = topk_join.topk_inner(df, df.filter("id % 20 = 0"), 5, pivots, block).collect()
+        assert {tuple(r) for r in got} == plain_scores(rows, 5)
+
+
+def test_queries_go_only_where_they_matter(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    copies = []
+    stored = topk_join.stored
+    monkeypatch.setattr(topk_join, "stored", lambda df: copies.append(stored(df)) or copies[-1])
+    per_query = []
+    for n in (1000, 4000):
+        directions = rng.normal(size=(20, 16)) * 40
+        rows = [(i, np.rint(directions[i % 20] * (1 + i % 7) + rng.normal(size=16)).astype(int).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "id long, v array<bigint>").repartition(3)
+        found = topk_join.topk_inner(df, df.filter("id % 20 = 0"), 5, 64, n // 16)
+        assert found.count() == n // 20 * 5
+        (bounded,) = [c for c in copies if "blocks" in c.columns][-1:]
+        per_query.append(bounded.select(F.avg(F.size("blocks"))).first()[0])
+    assert max(per_query) < 8  # of 16 blocks or more
+
+
 def test_few_or_no_vectors(spark):
     whole = topk_join.whole_vectors(vectors(spark, [(20, [0.5], 0, 0), (21, [0.25], 0, 0)]))
     assert [tuple(r) for r in topk_join.topk_inner(whole, whole.filter("id = 20"), 20).collect()] == [(20, 1, 21, 32 * 16)]
@@ -226,7 +267,37 @@ def test_queries_equal_their_sql(spark, tables, name):
 
 
 def test_every_operator_has_a_query(spark, tables):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_stages_take_odd_tables(spark, tables, prose):
+    """Nulls, repeated rows, a very long text, clashing names and no rows at all."""
+    import corpus_pipeline
+
+    names = ["kept_text", "n_lines", "n_dropped", "score", "held_out", "predicted", "document", "spans", "key", "picks"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    line = "shared line of all"
+    texts = [f"{prose(60, i)}\n{line}" for i in range(14)] + [None, "", "x", prose(30000, 5), prose(60, 3) + "\n" + line]
+    ids = [*range(12), None, None, 3, 3, None, 99, 3]
+    rows = [(i, t, None, "s", len(t or ""), *range(len(names))) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows + rows[-1:], schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, tables)
+            if name != "packing":
+                assert out.columns == docs.columns
+                found = out.collect()
+                assert all(tuple(r)[5:] == tuple(range(len(names))) for r in found)
+                if name != "near_copies":
+                    assert len(found) == df.count()
+            else:
+                assert out.select("doc_id").count() >= df.count()
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, tables)
+    assert kept.columns == docs.columns and corpus_pipeline.STAGES[0][1](spark, docs.limit(0), tables).count() == 0
+    cleaned = corpus_pipeline.STAGES[1][1](spark, docs, tables).collect()
+    assert not any(line in (r.text or "") for r in cleaned)
+    single = corpus_pipeline.STAGES[2][1](spark, docs, tables)
+    assert single.filter(F.col("text") == texts[3]).count() + single.filter(F.col("text") == texts[-1]).count() == 1
 
 
 def test_pipeline_stages_take_effect(spark, tables):

@@ -204,6 +204,19 @@ def test_repeated_rows_and_no_rows(frame, prose):
     assert suffix_dedup.drop_repeats(frame([])).count() == 0
 
 
+def test_rows_without_ids_or_with_one_id_are_documents_of_their_own(frame, prose):
+    passage = prose(70, 1)  # above 200 bytes
+    rows = [
+        (passage, None), (passage, 2), (prose(60, 3) + passage, 2), (prose(50, 4), 2), (prose(80, 5), None), (prose(80, 5), None),
+        (prose(40, 6) * 2, None), ("", None), (None, 2), (prose(80, 7), 9), (prose(80, 7), 9),
+    ]
+    texts, ids = zip(*rows)
+    want = sorted(map(str, ((i, *w) for i, w in zip(ids, plain_removed(texts, 200)))))
+    got = suffix_dedup.drop_repeats(frame(texts, ids)).collect()
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
+    assert all(r.n_removed <= r.n_bytes for r in got)
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "abcdefghij"])
 def test_anchors_in_parts_are_those_of_the_whole_text(letters):
     rng = random.Random(len(letters))
