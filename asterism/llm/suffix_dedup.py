@@ -460,11 +460,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept`` are the remaining bytes.
 
-    Rows are told apart by a hash of id and text, so that rows with a null or repeated id are documents of their
-    own. Rows alike in both share a hash and its spans, and their whole text is repeated.
+    Rows with a null or repeated id are documents of their own: where there are any, rows are told apart by a
+    hash of id and text, which takes more room than the ids. Rows alike in both share a hash and its spans, and
+    their whole text is repeated.
     """
     number = F.col(doc_id).cast("long")
-    read = docs.select(F.xxhash64(number, F.col(text)).alias("key"), number.alias("doc_id"), F.col(text).alias("text"))
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(number)).first()
+    key = number if rows == ids else F.xxhash64(number, F.col(text))
+    read = docs.select(key.alias("key"), number.alias("doc_id"), F.col(text).alias("text"))
     spans = stored(repeated_spans(read.select(F.col("key").alias("doc_id"), "text"), length)).withColumnRenamed("doc_id", "key")
     lists = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
