@@ -70,7 +70,7 @@ def best_fit_packing(spark, folder):
 
 
 def suffix_dedup(spark, folder):
-    return drop_repeats(table(spark, folder, "documents")).drop("kept")
+    return drop_repeats(table(spark, folder, "documents"), with_kept=False)
 
 
 def piece_tokens(spark, folder):

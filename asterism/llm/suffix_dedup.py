@@ -457,8 +457,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     return settled.union(pieces.groupBy("bucket").applyInArrow(run, _SPANS))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept`` are the remaining bytes.
+def drop_repeats(
+    docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of every document; ``kept``, the remaining bytes, on request.
 
     Rows with a null or repeated id are documents of their own: where there are any, rows are told apart by a
     hash of id and text, which takes more room than the ids. Rows alike in both share a hash and its spans, and
@@ -472,31 +474,35 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
     lists = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ident, raw, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "spans")), strict=True):
-                kept, done, removed, n = [], 0, 0, 0
-                last = -1
-                for s in found or []:
-                    start, end = s["start"], s["end"]
-                    if start > last:  # touching spans are one run
-                        n += 1
-                        kept.append(raw[done:start])
-                        done = start
-                    if end > done:
-                        removed += end - max(done, start)
-                        done = max(done, end)
-                    last = max(last, end)
-                kept = b"".join(kept) + raw[done:]
-                out.append((ident, len(raw), removed, n, kept, hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*out) if out else [[]] * 6, (pa.int64(),) * 4 + (pa.binary(), pa.string()), strict=True
-            )], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
+        for whole in batches:
+            for batch in slices(whole, "raw", PART_BYTES):
+                out = []
+                for ident, raw, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "spans")), strict=True):
+                    kept, done, removed, n = [], 0, 0, 0
+                    last = -1
+                    for s in found or []:
+                        start, end = s["start"], s["end"]
+                        if start > last:  # touching spans are one run
+                            n += 1
+                            kept.append(raw[done:start])
+                            done = start
+                        if end > done:
+                            removed += end - max(done, start)
+                            done = max(done, end)
+                        last = max(last, end)
+                    kept = b"".join(kept) + raw[done:]
+                    row = (ident, len(raw), removed, n, hashlib.sha256(kept).hexdigest())
+                    out.append((*row, kept) if with_kept else row)
+                columns = zip(*out, strict=True)
+                kinds = (*(pa.int64(),) * 4, pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
+    names = [f.split(" ")[0] for f in result.split(", ")]
     # texts without a span are not moved
     joined = only_marked(read, "key", spans).join(lists, "key", "left").select("key", "doc_id", "text", "spans")
     others = only_marked(read, "key", spans, marked=False).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     every = joined.union(others).select(
         "doc_id", F.encode(text_or_empty(F.col("text")), "utf-8").alias("raw"), "spans"
     )
-    return every.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return every.mapInArrow(run, result)
