@@ -22,7 +22,8 @@ HEADLINE = [
     "nearest_centroid", "topk_similar", "covariance", "pca_2d", "kmeans_seed", "kmeans", "elbow_k",
     "build_map", "legend", "recluster", "export_csv", "export_json", "lines_map",
     "normalize_coords", "reproject", "constellation_edges", "pick_nearest", "normalize_vectors",
-    "remove_component", "export_document", "place_on_saved_map",
+    "remove_component", "export_document", "place_on_saved_map", "similarity_join", "pca_by_passes", "file_lines",
+    "embed_model", "nearest_document", "export_csv_file",
 ]
 
 
