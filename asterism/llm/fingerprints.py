@@ -7,7 +7,8 @@ so that the minimum of plain numbers is the minimum hash with the rightmost tie
 pick moves by ``n`` bytes when ``n`` is subtracted from it.
 
 Defined cases: a null text is empty; an empty text has no picks and is like an empty text only;
-a text below ``guarantee(k)`` bytes is one window.
+a text below ``guarantee(k)`` bytes is one window; rows with a null or repeated id are documents of
+their own, see ``with_next``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ K = 12
 SPAN = 5
 WINDOW = SPAN * SPAN
 ROWS_PER_CELL = 64
-MOST_CELLS = 1 << 16
+MOST_CELLS = 1 << 14
+SEEN_PER_CELL = 32  # ids from which the cells' bounds are taken; they lay out the rows and decide nothing else
 
 _UNIT = 1 << 31
 
@@ -132,37 +134,64 @@ def with_next(
     rows: DataFrame, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """Each row with ``carried`` columns of the next one (``next_*``) by (doc_id, text); the last gets the first.
+    """Each row with ``carried`` columns of the next one (``next_*``) by doc_id; the last gets the first.
 
-    Ids are cut into at most MOST_CELLS ranges. A window works inside a range; the first row
-    of every range (the heads, a bounded share of rows) is joined to the range before it. ``derive``
-    adds columns row by row after the shuffle, so that they are not moved.
+    Null ids come first; rows of one id are in the order of their texts' hashes, then of their texts. The rows are
+    cut into at most MOST_CELLS cells at quantiles of the ids, so that a far id makes no wide cell, and an id of
+    very many rows, or the null, takes several cells by hash. A window works inside a cell; the first row of every
+    cell (the heads, a bounded share of rows) is joined to the cell before it. ``derive`` adds columns row by row
+    after the shuffle, so that they are not moved.
     """
-    order = F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    cells = min(MOST_CELLS, max(1, (n or 0) // ROWS_PER_CELL))
-    width = min(-(-((high or 0) - (low or 0) + 1) // cells), (1 << 63) - 1)
-    cell = F.expr("place div {0}L - if(place % {0}L < 0, 1, 0)".format(width))
-    celled = rows.withColumn("place", order).withColumn("cell", cell)
-    starts = celled.groupBy("cell").agg(F.min("place").alias("place"))
+    placed = rows.withColumn("place", F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))).withColumn("tie", F.xxhash64(text))
+    celled = placed.withColumn("cell", _cell(rows.select(F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias("place"))))
+    order = F.struct("place", "tie")
+    starts = celled.groupBy("cell").agg(F.min(order).alias("start"))
     every = Window.partitionBy(F.lit(0))
     links = starts.select(
-        "cell", "place",
+        "cell", "start.place", "start.tie",
         F.coalesce(F.lag("cell").over(every.orderBy("cell")), F.max("cell").over(every)).alias("before"),
     )
-    # at most MOST_CELLS rows of three numbers
-    first = celled.join(F.broadcast(links), ["cell", "place"]).select("before", *rows.columns)
+    # at most MOST_CELLS rows of four numbers
+    first = celled.join(F.broadcast(links), ["cell", "place", "tie"]).select("before", *rows.columns)
     heads = (
         derive(first.withColumn("rank", F.row_number().over(Window.partitionBy("before").orderBy(text))).filter("rank = 1"))
         .select(F.col("before").alias("cell"), F.struct(*carried).alias("head"))
     )
-    inside = Window.partitionBy("cell").orderBy("place", text)
+    inside = Window.partitionBy("cell").orderBy("place", "tie", text)
     led = derive(celled.repartition("cell")).withColumn("led", F.lead(F.struct(*carried)).over(inside))
     joined = led.join(heads, "cell", "left").withColumn("then", F.coalesce("led", "head"))
-    own = [c for c in led.columns if c not in ("cell", "place", "led")]
+    own = [c for c in led.columns if c not in ("cell", "place", "tie", "led")]
     return joined.select(*own, *(F.col(f"then.{c}").alias(f"next_{c}") for c in carried))
 
 
+def _cell(places: DataFrame) -> Column:
+    """The cell of a row by its ``place`` and ``tie``, ascending in both, from quantiles of the places."""
+    n = places.count()
+    cells = min(MOST_CELLS, max(1, n // ROWS_PER_CELL))
+    if cells == 1:
+        return F.lit(0)
+    share = SEEN_PER_CELL * cells / n
+    seen = places if share >= 1 else places.sample(share, 1)
+    at = [i / cells for i in range(1, cells)]
+    quantiles = seen.agg(F.percentile_approx("place", at, 4 * cells)).first()[0]
+    if not quantiles:
+        return F.lit(0)
+    # one literal for the optimizer to fold, in place of one per bound
+    bounds = F.split(F.lit(",".join(map(str, quantiles))), ",").cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(cells.bit_length()))))
+
+    def passed(test) -> Column:
+        """How many bounds fulfil a test that only the first ones do, by binary search."""
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            test(F.get(bounds, at + step - 1)), at + step
+        ).otherwise(at))
+
+    place = F.col("place")
+    below, upto = passed(lambda b: b < place), passed(lambda b: b <= place)
+    part = F.shiftright("tie", 32) + (1 << 31)  # 0 to 2^32 - 1, ascending with the hash
+    return (below + F.shiftright(part * (upto - below + 1), 32)).cast("int")
+
+
 def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """Fingerprint of each text and of its edited text, and how like they and the next document are.
 

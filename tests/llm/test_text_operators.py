@@ -74,6 +74,29 @@ def test_shared_runs_of_the_guaranteed_length_share_a_pick(frame, prose):
     assert {p >> 31 for p in a} & {p >> 31 for p in b}
 
 
+@pytest.mark.parametrize("ids", ["far", "missing", "one"])
+def test_cells_stay_small_for_any_ids(spark, ids, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_CELL", 8)
+    n = 1200
+    rng = random.Random(8)
+    known = {
+        "far": [*range(n - 3), 10**15, -(10**17), None],
+        "missing": [None if i % 3 else i for i in range(n)],
+        "one": [7 if i % 3 else i for i in range(n)],
+    }[ids]
+    rows = [(i, f"text {j}") for j, i in enumerate(known)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    place = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place")
+    cells = df.select(place, F.xxhash64("text").alias("tie")).withColumn("cell", fingerprints._cell(df.select(place)))
+    sizes = [r.n for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == n and max(sizes) <= 8 * fingerprints.ROWS_PER_CELL
+    tie = dict(df.select("text", F.xxhash64("text")).collect())
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1]], r[1]))
+    got = {r.text: r.next_text for r in fingerprints.with_next(df, ["text"]).collect()}
+    assert got == {t: order[(j + 1) % n][1] for j, (_, t) in enumerate(order)}
+
+
 def test_one_and_no_document(frame):
     assert fingerprints.fingerprint_edits(frame([])).count() == 0
     (r,) = fingerprints.fingerprint_edits(frame(["only one"])).collect()
