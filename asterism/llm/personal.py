@@ -1,14 +1,16 @@
 """Finds personal data in texts by weak supervision. DataFrame functions only.
 
 Patterns propose spans. The base kinds (email, ip, card, phone) always stay. Further kinds are only
-proposals: labelers look at the format, at gazetteers, at cue words before the span and at its edges, and
-vote for, against or not at all. Expectation-maximisation over the counts of vote patterns
+proposals: labelers look at the format (checksums, number ranges, grouping), at gazetteers, at cue words before
+the span and at its edges, and vote for, against or not at all. A gazetteer also holds what the corpus
+itself shows: names, banks and areas that stand after a cue word in ``KNOWN_IN`` rows. Expectation-maximisation over the counts of vote patterns
 estimates how reliable each labeler is and how likely each pattern is personal data; a logistic
 classifier learns these likelihoods from votes, kind and length, and decides which proposals stay.
 There are at most a few thousand vote patterns whatever the corpus, so both are fitted on their counts.
 
 Defined cases: a null or empty text has no spans; spans count code points, the end is exclusive; spans
-of one kind never overlap; proposals that overlap a base span go; repeated rows are treated alike.
+of one kind never overlap; proposals that overlap a base span go; repeated rows, and rows with a null or
+repeated id, are documents of their own and treated alike; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -60,6 +62,20 @@ _GAZETTEER = {  # ends of mail addresses, private and reserved nets, issuer digi
     "name": r" (?:James|John|Mary|Anna|Maria|Peter|Paul|Thomas|Michael|David|Sarah|Laura|Jean|Pierre|Marie|Hans|Karl|Jose|Juan|Carlos|Ana)\b",
 }
 LABELERS = ("format", "gazetteer", "cue", "against", "edge")
+KNOWN_IN = 3  # rows
+SALTS = 16
+_FORMAT = {  # (against, in favour): well-formed or sample values
+    "email": (r"[.]{2}|^[.]|[.]@|@-|-[.]", r"[.][A-Za-z]{2,24}$"),
+    "ip": (r"(?:^|[.])0[0-9]", r"^[0-9]{1,3}[.][0-9]{1,3}[.]"),
+    "card": (
+        r"^([0-9])(?:[ -]?\1)+$",
+        r"^[0-9]{13,19}$|^[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}$|^[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}$",
+    ),
+    "phone": (r"[(][^)]*$|^[^(]*[)]|--|[.]{2}", r"[0-9][ ().-]+[0-9]"),
+    "ssn": (r"^(?:000|666|9)|-00-|-0000$|^123-45-6789$|^([0-9])\1\1-\1\1-\1{4}$", "."),
+    "local_phone": (r"^[(]?[01]|[ .-][01][0-9]{2}[ .-]|[(][0-9]{3}[ .-]", r"^(?:[(][0-9]{3}[)][ .-]|[0-9]{3}([ .-]))[0-9]{3}(?:\1|[ .-])[0-9]{4}$"),
+    "name": (r" (?:The|This|That|And|But|For|With|Who|When|Will|Has|Was|Der|Die|Das|Und|Les|Des|Est)\b", r" [A-Z][a-z]+ [A-Z][a-z]+$"),
+}
 EM_ROUNDS = 40
 FIT_ROUNDS = 300
 CONTEXT = 40
@@ -96,6 +112,38 @@ def _raw_matches(kind: str) -> tuple[Column, Column]:
     )
 
 
+def _iban_rest(found: Column) -> Column:
+    """What the number of an account leaves when divided by 97; 1 for a valid one."""
+    bare = F.replace(found, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(bare, F.lit(5)), F.left(bare, F.lit(4)))
+
+    def step(rest, i):
+        code = F.ascii(F.substr(turned, i, F.lit(1)))
+        return F.when(code <= 57, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+
+
+def _format(kind: str, found: Column) -> Column:
+    """Vote of the format: how well a match is built as its kind."""
+    if kind == "iban":
+        return F.when(_iban_rest(found) == 1, 1).otherwise(-1)
+    against, in_favour = _FORMAT[kind]
+    return _vote(F.rlike(found, F.lit(against)), F.rlike(found, F.lit(in_favour)))
+
+
+def _key(kind: str, found: Column) -> Column:
+    """What a gazetteer from the corpus knows a proposal by; null for base kinds."""
+    if kind == "name":
+        return F.regexp_extract(found, " ([A-Z][a-z]+)$", 1)
+    if kind == "iban":
+        bare = F.replace(found, F.lit(" "), F.lit(""))
+        return F.concat(F.left(bare, F.lit(2)), F.substr(bare, F.lit(5), F.lit(4)))
+    if kind in PROPOSED:
+        return F.left(F.regexp_replace(found, "[^0-9]", ""), F.lit(3))
+    return F.lit(None).cast("string")
+
+
 def _vote(against: Column, in_favour: Column) -> Column:
     return F.when(against, -1).when(in_favour, 1).otherwise(0)
 
@@ -123,7 +171,7 @@ def _proposals(kind: str) -> Column:
         after = F.get(gaps, p["i"])
         edges = F.rlike(before, F.lit("[a-z0-9]$")) | F.rlike(after, F.lit("^[A-Za-z0-9]"))
         votes = F.array(
-            F.lit(1 if kind in BASE else 0),
+            _format(kind, match),
             _vote(F.lit(False), F.rlike(match, F.lit(_GAZETTEER[kind]))),
             _vote(F.lit(False), F.rlike(before, F.lit(_CUES[kind]))),
             _vote(F.rlike(before, F.lit(_AGAINST)), F.lit(False)),
@@ -132,10 +180,11 @@ def _proposals(kind: str) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"), p["start"].cast("long").alias("start"), p["end"].cast("long").alias("end"),
             votes.alias("votes"), F.least(F.char_length(match).cast("int") / 6, F.lit(4)).cast("int").alias("size"),
+            _key(kind, match).alias("key"),
         )
 
     valid = F.filter(placed, lambda p: _valid(kind, F.get(found, p["i"] - 1)))
-    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,votes:array<int>,size:int>>")
+    empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,votes:array<int>,size:int,key:string>>")
     return F.when(F.size(found) == 0, empty).otherwise(F.transform(valid, proposal))
 
 
@@ -213,12 +262,47 @@ def _accepted(weights: dict[str, float], p: Column) -> Column:
     return score > 0
 
 
+def _with_corpus_votes(proposed: DataFrame) -> DataFrame:
+    """``proposed`` with the gazetteer's vote for keys that stand after a cue word in at least KNOWN_IN rows.
+
+    Rows without a key are not shuffled. Each key counts once per row and is counted before the shuffle; a key of
+    very many rows meets SALTS copies of its one entry.
+    """
+    def keys(p):
+        return F.array_distinct(F.transform(p, lambda x: F.struct(x["kind"].alias("kind"), x["key"].alias("key"))))
+
+    gazetteer, cue = LABELERS.index("gazetteer"), LABELERS.index("cue")
+    keyed = F.exists("proposals", lambda p: p["key"].isNotNull())
+    some, none = proposed.filter(keyed), proposed.filter(~keyed)
+    each = some.select("row", F.filter("proposals", lambda p: p["key"].isNotNull()).alias("p"))
+    known = (
+        each.select(F.explode(keys(F.filter("p", lambda x: F.get(x["votes"], F.lit(cue)) == 1))).alias("k"))
+        .groupBy("k.kind", "k.key").agg(F.count("*").alias("n")).filter(F.col("n") >= KNOWN_IN)
+        .select("kind", "key", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    )
+    asked = each.select("row", F.explode(keys(F.col("p"))).alias("k")).select(
+        "row", "k.kind", "k.key", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+    )
+    met = asked.join(known, ["kind", "key", "salt"]).groupBy("row").agg(F.collect_set(F.struct("kind", "key")).alias("known"))
+
+    def settled(p):
+        there = F.exists("known", lambda k: (k["kind"] == p["kind"]) & (k["key"] == p["key"]))
+        votes = F.transform(p["votes"], lambda v, j: F.when((j == gazetteer) & there, 1).otherwise(v))
+        return p.withField("votes", votes)
+
+    voted = some.join(met, "row", "left").withColumn(
+        "proposals", F.when(F.col("known").isNull(), F.col("proposals")).otherwise(F.transform("proposals", settled))
+    )
+    return voted.select("doc_id", "proposals").union(none.select("doc_id", "proposals"))
+
+
 def find_personal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, spans): every base span and the proposals that the trained classifier keeps.
 
-    Texts are read once; the spans proposed are stored, and only vote patterns and counts are shuffled.
+    Texts are read once; the spans proposed are stored, and only they, vote patterns and counts are shuffled.
     """
-    proposed = stored(propose(docs, doc_id, text))
+    proposed = stored(propose(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    proposed = stored(_with_corpus_votes(proposed))
     rows = (
         proposed.select(F.explode("proposals").alias("p")).groupBy("p.kind", "p.votes", "p.size")
         .agg(F.count("*").alias("n")).collect()

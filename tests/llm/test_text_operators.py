@@ -190,6 +190,69 @@ def test_estimates_follow_agreement():
     assert personal.fit_classifier({}, {}) == {}
 
 
+def account(rng, right=True):
+    """A made-up account number whose rest by 97 is 1, or not."""
+    bank, number = f"{rng.randint(10**7, 10**8 - 1)}", f"{rng.randint(0, 10**10 - 1):010d}"
+    check = 98 - int(bank + number + "131400") % 97  # DE00 at the end, letters as 13 and 14
+    check = check if right else check % 97 + 1
+    whole = f"DE{check:02d}{bank}{number}"
+    return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
+
+def planted(rng):
+    """(kind, text of the span, words before it, whether it is personal data)."""
+    three, four = (lambda: rng.randint(200, 660)), (lambda: rng.randint(1000, 9999))
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    return rng.choice([
+        lambda: ("ssn", f"{three()}-{rng.randint(10, 99)}-{four()}", "her social security number is ", True),
+        lambda: ("ssn", f"000-{rng.randint(10, 99)}-{four()}", "see invoice ", False),
+        lambda: ("iban", account(rng), "pay to our bank account ", True),
+        lambda: ("iban", account(rng, False), "the order ", False),
+        lambda: ("local_phone", f"({three()}) {three()}-{four()}", "call me at ", True),
+        lambda: ("local_phone", f"{three()}-{three()}-{four()}", "my phone ", True),
+        lambda: ("local_phone", f"0{rng.randint(10, 99)} 1{rng.randint(10, 99)} {four()}", "total of version ", False),
+        lambda: ("name", f"Dr {word()} {rng.choice(['Tibano', 'Kelora', 'Mundep'])}", "a letter from ", True),
+        lambda: ("name", f"Mr {rng.choice(['The', 'When', 'Was'])}", "in chapter three of order ", False),
+    ])()
+
+
+def test_precision_and_recall_of_planted_kinds(frame, prose):
+    rng = random.Random(12)
+    texts, want, decoys = [], set(), set()
+    for i in range(600):
+        kind, span, before, real = planted(rng)
+        lead = prose(8, i).lower() + ". " + before
+        texts.append(f"{lead}{span}, {prose(4, 700 + i).lower()}")
+        (want if real else decoys).add((i, kind, len(lead), len(lead) + len(span)))
+    found = {
+        (r.doc_id, s.kind, s.start, s.end)
+        for r in personal.find_personal(frame(texts)).collect() for s in r.spans if s.kind in personal.PROPOSED
+    }
+    for kind in personal.PROPOSED:
+        mine, right = ({x for x in group if x[1] == kind} for group in (found, want))
+        assert len(mine & right) >= 0.9 * len(right), ("recall", kind)
+        assert len(mine & right) >= 0.9 * len(mine), ("precision", kind)
+    assert len(found & decoys) <= 0.1 * len(decoys)
+
+
+def test_accounts_by_their_check_digits(spark):
+    rng = random.Random(2)
+    rows = [(account(rng, right), right) for right in (True, False) * 40]
+    got = spark.createDataFrame(rows, "number string, right boolean").select("right", (personal._iban_rest(F.col("number")) == 1).alias("fits"))
+    assert all(r.right == r.fits for r in got.collect())
+
+
+def test_the_corpus_gives_a_gazetteer(frame):
+    cued = [f"a letter from Dr Tibano {i}" for i in range(personal.KNOWN_IN)] + ["a letter from Mr Kelora."] * (personal.KNOWN_IN - 1)
+    texts = [*cued, "So Mr Tibano came", "So Mr Kelora came", None, ""]
+    rows = frame(texts, [None] * len(texts))
+    proposed = personal.propose(rows).withColumn("row", F.monotonically_increasing_id())
+    votes = lambda df: sorted((p.key, p.votes[1]) for r in df.collect() for p in r.proposals)
+    assert {v for _, v in votes(proposed)} == {0}
+    got = personal._with_corpus_votes(proposed)
+    assert votes(got) == [("Kelora", 0)] * personal.KNOWN_IN + [("Tibano", 1)] * (personal.KNOWN_IN + 1) and got.count() == len(texts)
+
+
 def test_proposals_need_the_classifier(frame):
     texts = [f"my social security number is 219-09-{1000 + i}." for i in range(20)]
     texts += [f"order {i} invoice 000-12-{1000 + i}x" for i in range(20)] + [f"mail me: u{i}@mail.com" for i in range(30)]
