@@ -1,6 +1,7 @@
 """Tokens, packing, quality, top-k search and the pipeline against libraries and brute force."""
 
 import itertools
+import math
 import random
 import zlib
 from collections import Counter
@@ -153,6 +154,101 @@ def test_features_do_not_depend_on_the_batch():
     assert whole.shape[1] == len(quality.FEATURES) and not whole[50].any()
 
 
+def plain_features(text):
+    """The numbers of one text, counted one character at a time."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality.FEATURES)
+    n = len(raw)
+    groups = [set(chars.encode()) for chars in quality._GROUPS]
+    group = [len(groups) if b >= 128 else next((i for i, g in enumerate(groups) if b in g), -1) for b in raw]
+    share = [sum(g == i for g in group) / n for i in range(len(groups) + 1)]
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(raw).values())
+    codes, words, _ = space_words(pa.array([text]))
+    words = [words[c] for c in codes]
+    pairs = list(zip(words, words[1:]))
+    lines = text.split("\n")
+    symbol, space, feed, upper = 7, 3, 4, 1
+    after = sum(b == symbol and a not in (symbol, space) for a, b in zip(group, group[1:]))
+    capital = sum(b == upper and a in (space, feed) for a, b in zip(group, group[1:]))
+    letters = sum(g in (0, 1) for g in group)
+    return [
+        math.log1p(n), *share, share[1] / max(letters, 1) * n, entropy, n / len(words), len(set(words)) / len(words),
+        len(set(pairs)) / max(len(pairs), 1), len(set(lines)) / len(lines), math.log1p(n / len(lines)),
+        after / len(words), capital / len(words),
+    ]
+
+
+def test_features_equal_plain_counting(prose):
+    texts = [*odd_texts(80, 6), "", None, "A B\nA B", "x#y #z $$", "\n\n", *(prose(n, n) for n in (1, 9, 300))]
+    texts += ["".join(random.Random(i).choice("aB3 \n.,!?#|é日\t") for _ in range(200)) for i in range(20)]
+    assert np.allclose(quality.features(pa.array(texts)), [plain_features(t) for t in texts], rtol=0, atol=1e-12)
+
+
+def plain_tree(gradient, weight, leaves):
+    """Values by bin of a tree that cuts, each time, where the gain over all parts is largest."""
+    worth = lambda a, b: sum(gradient[a:b]) ** 2 / (sum(weight[a:b]) + quality.SHRINK)
+    ends = [0, len(gradient)]
+    while len(ends) <= leaves:
+        gains = [
+            (worth(a, c) + worth(c, b) - worth(a, b), c) for a, b in zip(ends, ends[1:]) for c in range(a + 1, b)
+        ]
+        if not gains or max(gains)[0] <= 1e-9:
+            break
+        ends = sorted([*ends, max(gains)[1]])
+    return [
+        sum(gradient[a:b]) / (sum(weight[a:b]) + quality.SHRINK) for a, b in zip(ends, ends[1:]) for _ in range(a, b)
+    ]
+
+
+def plain_cuts_of_square(cells, residual, weight, size):
+    """(gain, value of each row) of the best cut of pair bins into four parts."""
+    best = (-1.0, None)
+    for i in range(1, size):
+        for j in range(1, size):
+            sums = [[0.0, 0.0] for _ in range(4)]
+            part = [2 * (a >= i) + (b >= j) for a, b in cells]
+            for q, r, w in zip(part, residual, weight):
+                sums[q][0] += r
+                sums[q][1] += w
+            gain = sum(r * r / (w + quality.SHRINK) for r, w in sums) - sum(residual) ** 2 / (sum(weight) + quality.SHRINK)
+            if gain > best[0]:
+                best = (gain, [sums[q][0] / (sums[q][1] + quality.SHRINK) for q in part])
+    return best
+
+
+def test_the_model_equals_plain_boosting(monkeypatch):
+    for name, value in {"ROUNDS": 5, "PAIR_ROUNDS": 3, "PAIRS": 2, "BINS": 8, "PAIR_BINS": 4}.items():
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=150) > 0).astype(float)
+    n, n_features = x.shape
+    cuts = [sorted({float(np.quantile(x[:, f], q / 8)) for q in range(1, 8)}) for f in range(n_features)]
+    bins = [[sum(c <= v for c in cuts[f]) for v in x[:, f]] for f in range(n_features)]
+    score = [math.log(y.mean() / (1 - y.mean()))] * n
+    sigmoid = lambda s: [1 / (1 + math.exp(-v)) for v in s]
+    for _ in range(5):
+        for f in range(n_features):
+            p = sigmoid(score)
+            by_bin = [[i for i in range(n) if bins[f][i] == b] for b in range(len(cuts[f]) + 1)]
+            value = plain_tree([sum(y[i] - p[i] for i in m) for m in by_bin], [sum(p[i] * (1 - p[i]) for i in m) for m in by_bin], quality.LEAVES)
+            score = [s + quality.RATE * value[bins[f][i]] for i, s in enumerate(score)]
+    coarse = [[b * 4 // (len(cuts[f]) + 1) for b in bins[f]] for f in range(n_features)]
+
+    def step(i, j):
+        p = sigmoid(score)
+        return plain_cuts_of_square(list(zip(coarse[i], coarse[j])), [a - b for a, b in zip(y, p)], [v * (1 - v) for v in p], 4)
+
+    chosen = sorted(((step(i, j)[0], i, j) for i in range(n_features) for j in range(i)), reverse=True)[:2]
+    for _ in range(3):
+        for _, i, j in chosen:
+            score = [s + quality.RATE * v for s, v in zip(score, step(i, j)[1])]
+    model = quality.QualityModel(x, y)
+    assert [(i, j) for i, j, _ in model.pairs] == [(i, j) for _, i, j in chosen]
+    assert np.allclose(model.score(x), sigmoid(score), rtol=0, atol=1e-9)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
