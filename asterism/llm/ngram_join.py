@@ -565,8 +565,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     if rows == ids:
         kept = near_groups(docs).filter("doc_id = component_id").select("doc_id")
         return docs.join(kept, "doc_id", "left_semi")
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_groups(numbered, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    named = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("name"))
-    kept = groups.join(named, "__row").groupBy("component_id").agg(F.min("name").alias("name")).select("name.__row")
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    # all columns in one struct, so that no name can clash
+    numbered = stored(docs.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text",
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"),
+    ))
+    groups = near_groups(numbered, doc_id="row").select(F.col("doc_id").alias("row"), "component_id")
+    named = numbered.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row").alias("name"))
+    kept = groups.join(named, "row").groupBy("component_id").agg(F.min("name").alias("name")).select("name.row")
+    return numbered.join(kept, "row", "left_semi").select("document.*")
