@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: ContextVar[list[str] | None] = ContextVar("paths of stored tables", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame written once as a table in the shared folder and read from there.
 
@@ -40,9 +45,33 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside the block are emptied at its end, so that they take no more room.
+
+    What reads them has to be written by then. The paths of the tables are handed out in a list, and one that is
+    taken off it stays. A block that fails leaves its tables as they are; a block inside another has its own.
+    """
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(outer)
+    for path in made:
+        empty_table(spark, path)
+
+
+def empty_table(spark: SparkSession, path: str) -> None:
+    """Overwrites a stored table with one of no rows, which removes its files on any file system."""
+    spark.createDataFrame([], "nothing int").write.mode("overwrite").parquet(path)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

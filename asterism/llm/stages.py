@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scratch, stored, table
 from .line_dedup import dedup_lines
 from .ngram_join import keep_one_of_each
 from .packing import pack_documents, special_tokens
@@ -64,8 +64,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``, each result stored as Parquet before the next stage reads it."""
-    docs = table(spark, folder, "documents")
+    """All stages over ``documents``, each result stored as Parquet before the next stage reads it.
+
+    Once a stage's result is stored, the tables that it was made from are emptied; the last result stays.
+    """
+    docs, before = table(spark, folder, "documents"), None
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, folder))
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, folder))
+            after = made.pop()
+            if before:
+                made.append(before)
+        before = after
     return docs

@@ -370,7 +370,7 @@ def test_stages_take_odd_tables(spark, tables, prose):
     """Nulls, repeated rows, a very long text, clashing names and no rows at all."""
     import corpus_pipeline
 
-    names = ["kept_text", "n_lines", "n_dropped", "score", "held_out", "predicted", "document", "spans", "key", "picks"]
+    names = ["kept_text", "n_lines", "n_dropped", "score", "held_out", "predicted", "document", "spans", "key", "picks", "row", "__row"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
     line = "shared line of all"
     texts = [f"{prose(60, i)}\n{line}" for i in range(14)] + [None, "", "x", prose(30000, 5), prose(60, 3) + "\n" + line]
@@ -396,6 +396,25 @@ def test_stages_take_odd_tables(spark, tables, prose):
     assert texts[3] == texts[-1] and single.filter(F.col("text") == texts[3]).count() == 1
 
 
+def test_stored_tables_of_a_block_are_emptied_but_for_those_taken_off(spark):
+    from asterism.llm.common import scratch, stored
+
+    rows = lambda path: spark.read.parquet(path).count()
+    with scratch(spark) as outer:
+        kept = stored(spark.range(5))
+        with scratch(spark) as inner:
+            stored(stored(spark.range(7)))
+        gone = list(inner)
+        assert len(gone) == 2 and [rows(p) for p in gone] == [0, 0]
+        path = outer.pop()
+    assert kept.count() == rows(path) == 5
+    with pytest.raises(ZeroDivisionError), scratch(spark) as failed:
+        stored(spark.range(3))
+        raise ZeroDivisionError
+    assert rows(failed[0]) == 3
+    assert stored(spark.range(2)).count() == 2  # outside of a block nothing is noted
+
+
 def test_pipeline_stages_take_effect(spark, tables):
     import corpus_pipeline
 
