@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..constants import STOPWORDS, WHITESPACE
 
-_TRIM = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
 # A line from its first to its last visible character.
 _LINE = rf"[^{WHITESPACE}](?:[^\n]*[^{WHITESPACE}])?"
 # A whole run of letters, numbers and apostrophes of more than two UTF-16 units (characters beyond
@@ -21,7 +20,7 @@ _TERM = (
 
 def trim_ws(text: Column) -> Column:
     """Trim every kind of Unicode white space, not only U+0020."""
-    return F.regexp_replace(text, _TRIM, "")
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def split_lines(text: Column) -> Column:
