@@ -110,6 +110,7 @@ def nearest_centroid(
     Vectors are read once and nothing of them is stored. Beyond ``tile_values`` numbers a task goes through
     the centroids in parts.
     """
+    centroids = durable(centroids.select("cluster", "centroid"))  # read several times, made once
     k, dim = centroids.agg(F.count("*"), F.max(F.size("centroid"))).first()
     if k == 0:
         raise ValueError("there are no centroids")
