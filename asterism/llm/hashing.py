@@ -29,6 +29,11 @@ class RangeHash:
         self.inverse = _powers(pow(base, -1, 1 << 64), n + 1)
         self.sums = np.concatenate([np.zeros(1, _WORD), np.cumsum(BYTE_VALUES[data] * _powers(base, n))])
 
+    def every(self, width: int) -> np.ndarray:
+        """The hashes of all ranges of ``width`` bytes, without places to look up."""
+        n = len(self.sums) - width
+        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n] + _WORD(width))
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_WORD))
 

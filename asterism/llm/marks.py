@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +17,7 @@ def only_marked(rows: DataFrame, key: str, wanted: DataFrame, marked: bool = Tru
 
     The bitmap has BITS bits (4 MB) whatever the data. Hashes that fall on one bit let other rows
     pass, all of them when there are very many keys; a join that follows removes them. It only
-    saves shuffling texts that cannot meet a partner.
+    saves shuffling texts that cannot meet a partner. Python sees the numbers of the bits only, no texts.
     """
     spot = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
     found = (
@@ -31,11 +29,9 @@ def only_marked(rows: DataFrame, key: str, wanted: DataFrame, marked: bool = Tru
         bits[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     marks = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = marks.value
-        for batch in batches:
-            at = batch.column("__spot").to_numpy()
-            hit = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            yield batch.filter(pa.array(hit == marked)).drop_columns(["__spot"])
+    @F.arrow_udf("boolean")
+    def passes(spots: pa.Array) -> pa.Array:
+        at = spots.to_numpy(zero_copy_only=False)
+        return pa.array(((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) == marked)
 
-    return rows.withColumn("__spot", spot).mapInArrow(run, rows.schema)
+    return rows.filter(passes(spot))

@@ -41,7 +41,7 @@ K = 48
 BUCKET_BYTES = 600_000
 SORT_BYTES = 300_000
 CROWD = SORT_BYTES // (2 * LENGTH - K)  # pieces that are sorted together
-PART_BYTES = 1 << 20  # longer texts are looked at in parts
+PART_BYTES = 1 << 19  # longer texts are looked at in parts; anchors take 56 times this
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -63,18 +63,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict
     if len(data) < length:
         return empty
     of = RangeHash(data)
-    at = np.arange(len(data) - K + 1)
-    grams = of(at, at + K)
-    least = _window_least((grams & ~_PLACE) | (_PLACE - at.astype(np.uint64)), length - K + 1)
+    grams = of.every(K)
+    least = _window_least((grams & ~_PLACE) | (_PLACE - np.arange(len(grams), dtype=np.uint64)), length - K + 1)
     starts, ends = offsets[:-1], offsets[1:]
     # windows that would cross the end of a text
     change = np.zeros(len(data) + 1, np.int64)
     np.add.at(change, np.maximum(ends - length + 1, starts), 1)
     np.add.at(change, ends, -1)
     valid = np.cumsum(change)[: len(least)] == 0
-    place = np.unique((_PLACE - (least[valid] & _PLACE)).astype(np.int64))
+    place = (_PLACE - (least[valid] & _PLACE)).astype(np.int64)
     if not len(place):
         return empty
+    place = place[np.append(True, place[1:] != place[:-1])]  # the least of later windows is never further left
     text = np.searchsorted(ends, place, side="right")
     low, high = np.maximum(starts[text], place - (length - K)), np.minimum(ends[text], place + length)
     around = mix(of(low, high) + (place - low).astype(np.uint64))
@@ -389,8 +389,11 @@ def _spread(pieces: DataFrame, length: int, crowd: int) -> tuple[list[DataFrame]
         cells = kinds.join(crowded, part).select("gram", "doc_id", "often", "start", "reach_left", "piece", "low", "high")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, start, end) of bytes covered by repeated strings; spans of one document may overlap."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, distinct: bool = False) -> DataFrame:
+    """(doc_id, start, end) of bytes covered by repeated strings; spans of one document may overlap.
+
+    Rows of one doc_id have one text; ``distinct`` says that there is one row for each, which spares looking for others.
+    """
     found = stored(_anchored(docs, length))
     around = stored(
         found.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place", "reach_left", "reach_right")).alias("one"))
@@ -415,8 +418,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         by_document = wanted.groupBy("doc_id").agg(
             F.collect_list(F.struct("gram", "often", "place", "reach_left", "reach_right")).alias("cut")
         )
-        texts = only_marked(docs, "doc_id", wanted.select("doc_id")).dropDuplicates(["doc_id"])
-        return texts.join(by_document, "doc_id").select(
+        texts = only_marked(docs, "doc_id", wanted.select("doc_id"))
+        return (texts if distinct else texts.dropDuplicates(["doc_id"])).join(by_document, "doc_id").select(
             "doc_id", F.encode("text", "utf-8").alias("raw"), F.explode("cut").alias("c")
         ).select(
             "c.gram", "doc_id", "c.often", (F.col("c.place") - F.col("c.reach_left")).cast("long").alias("start"), "c.reach_left",
@@ -468,9 +471,11 @@ def drop_repeats(
     """
     number = F.col(doc_id).cast("long")
     rows, ids = docs.agg(F.count("*"), F.count_distinct(number)).first()
-    key = number if rows == ids else F.xxhash64(number, F.col(text))
+    distinct = rows == ids
+    key = number if distinct else F.xxhash64(number, F.col(text))
     read = docs.select(key.alias("key"), number.alias("doc_id"), F.col(text).alias("text"))
-    spans = stored(repeated_spans(read.select(F.col("key").alias("doc_id"), "text"), length)).withColumnRenamed("doc_id", "key")
+    found = repeated_spans(read.select(F.col("key").alias("doc_id"), "text"), length, distinct=distinct)
+    spans = stored(found).withColumnRenamed("doc_id", "key")
     lists = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from asterism.llm import ngram_join, suffix_dedup
 from asterism.llm.components import components
 from asterism.llm.hashing import RangeHash
+from asterism.llm.marks import only_marked
 
 
 def shingles(text, n=5):
@@ -269,3 +271,26 @@ def test_a_crowded_gram_is_spread_and_equals_brute_force(frame, prose, monkeypat
         if len(found) > 1:
             want |= {(i, q) for i, p in found for q in range(p, p + suffix_dedup.LENGTH)}
     assert spans[2] == spans[5] == want and want
+
+
+def test_marks_keep_every_wanted_row_and_send_no_texts_to_python(frame):
+    rows = frame(["text " * 50] * 20 + [None, "", "none"], [*range(22), None])
+    wanted = frame(["x"] * 4, [3, 7, 21, None])
+    kept, others = (only_marked(rows, "doc_id", wanted, marked=m) for m in (True, False))
+    assert {3, 7, 21, None} <= {r.doc_id for r in kept.collect()}
+    assert sorted(map(str, kept.union(others).collect())) == sorted(map(str, rows.collect()))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    sent = [line.split("passes(")[1].split("[pythonUDF")[0] for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert "MapInArrow" not in plan and sent and not any("text" in s for s in sent)
+
+
+def test_anchors_of_a_part_take_little_memory():
+    data = np.random.default_rng(1).integers(97, 123, suffix_dedup.PART_BYTES, np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2048)
+    suffix_dedup.anchors(data, offsets)  # powers are kept
+    tracemalloc.start()
+    try:
+        suffix_dedup.anchors(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()
