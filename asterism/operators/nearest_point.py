@@ -22,7 +22,7 @@ from ..session import durable
 
 PART_POINTS = 1 << 20
 BOXES = 16  # of a part, known to all tasks
-BLOCK_PROBES = 1 << 16  # probes of one part that one group takes
+BLOCK_PROBES = 1 << 16  # probes of one part that one group takes at least
 _LEAST_PART = 1 << 14  # smaller parts are not worth a task
 _LEAST_BOX = 1 << 13
 _LEAF = 32  # consecutive points of a box, and boxes of a larger box
@@ -116,7 +116,7 @@ def _slices(weight: np.ndarray, most: int) -> Iterator[slice]:
 
 @dataclass(frozen=True)
 class Parts:
-    """Ranges of the curve in order, ``each`` of them a part: their first keys and boxes."""
+    """Ranges of the curve in order, ``each`` of them a part of ``points`` points: their first keys and boxes."""
 
     curve: Curve
     size: float
@@ -124,6 +124,7 @@ class Parts:
     first: np.ndarray
     boxes: Boxes
     each: int
+    points: int
 
     def _near_ranges(self, px, py, bound) -> tuple[np.ndarray, np.ndarray]:
         """Up to four runs of ranges per probe, which hold all cells within ``bound``: (first, how many)."""
@@ -219,8 +220,17 @@ def _finite(value: Column) -> Column:
     return F.abs(value) < F.lit(float("inf"))
 
 
+def _block(points: int) -> int:
+    """Probes that one group takes of a part of so many points.
+
+    A part is copied for each of its groups. They take as many probes as a full part has points, so that points
+    travel about once, or else eight times the points of a small part.
+    """
+    return max(BLOCK_PROBES, min(PART_POINTS, 8 * points))
+
+
 def _in_parts(spots: DataFrame, size: float, radius: float) -> tuple[DataFrame, Parts] | None:
-    """(id, x, y, key, part) in ranges of the curve, and what the driver knows of the ranges."""
+    """(id, x, y, part) in ranges of the curve, and what the driver knows of the ranges."""
     shares = F.lit([0.001, 0.5, 0.999])
     n, xs, ys = spots.agg(F.count("*"), F.percentile_approx("x", shares), F.percentile_approx("y", shares)).first()
     if not n:
@@ -243,10 +253,10 @@ def _in_parts(spots: DataFrame, size: float, radius: float) -> tuple[DataFrame,
         F.min("key"), F.min("x"), F.max("x"), F.min("y"), F.max("y")
     ).orderBy("range").collect()
     found = np.array([r[1] for r in rows], np.int64)
-    parts = Parts(curve, size, radius, found, Boxes(np.array([tuple(r)[2:] for r in rows]).T), each)
+    parts = Parts(curve, size, radius, found, Boxes(np.array([tuple(r)[2:] for r in rows]).T), each, -(-n // count))
     # Ranges without rows are not among them, so ranges are numbered by their place.
     known = spots.sparkSession.createDataFrame([(r["range"], i // each) for i, r in enumerate(rows)], "range int, part int")
-    return ranged.join(F.broadcast(known), "range").drop("range"), parts
+    return ranged.join(F.broadcast(known), "range").select("id", "x", "y", "part"), parts
 
 
 def pick_nearest(
@@ -293,26 +303,28 @@ def pick_nearest(
 
     asked = durable(sought.mapInArrow(route, _ASKED))
     crowd = asked.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row per part
-    table = asked.sparkSession.createDataFrame(
-        [(r.part, -(-r.n // BLOCK_PROBES)) for r in crowd], "part int, blocks int"
-    )
+    most = _block(parts.points)
+    table = asked.sparkSession.createDataFrame([(r.part, -(-r.n // most)) for r in crowd], "part int, blocks int")
     blocks = F.broadcast(table)
     dealt = asked.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("probe_id", "px", "py"), "blocks").cast("int"))
     copies = ranged.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
+    curve = parts.curve
+
     def solve(ask: pa.Table, have: pa.Table) -> pa.Table:
         qx, qy = ask.column("px").to_numpy(), ask.column("py").to_numpy()
         near, ids = np.full(len(qx), np.inf), np.full(len(qx), -1, np.int64)
         if len(qx) and len(have):
-            have = have.combine_chunks().sort_by("key")
+            x, y, known = (have.column(c).to_numpy() for c in ("x", "y", "id"))
+            order = np.argsort(curve.key(*curve.cells(x, y)))
             near, ids = nearest_inside(
-                *(have.column(c).to_numpy() for c in ("x", "y", "id")), qx, qy, ask.column("bound").to_numpy(), radius, size
+                x[order], y[order], known[order], qx, qy, ask.column("bound").to_numpy(), radius, size
             )
         return ask.select(["probe_id", "px", "py"]).append_column("near", pa.array(near)).append_column("id", pa.array(ids))
 
     found = (
         dealt.select("probe_id", "px", "py", "bound", "part", "block").groupBy("part", "block")
-        .cogroup(copies.select("id", "x", "y", "key", "part", "block").groupBy("part", "block"))
+        .cogroup(copies.select("id", "x", "y", "part", "block").groupBy("part", "block"))
         .applyInArrow(solve, _FOUND)
     )
     hit = F.struct((-F.col("near")).alias("near"), F.col("id").alias("id"))

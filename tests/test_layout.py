@@ -150,6 +150,24 @@ def test_parts_of_the_curve_agree_with_brute_force(spark, monkeypatch, shape, pa
     assert got == brute_nearest(probes.tolist(), pts.tolist(), 2.5)
 
 
+def test_points_are_copied_for_few_groups_of_probes(spark, monkeypatch):
+    monkeypatch.setattr(nearest_point, "PART_POINTS", 200)
+    monkeypatch.setattr(nearest_point, "BLOCK_PROBES", 16)
+    dealt = []
+    make = type(spark).createDataFrame
+
+    def spy(self, data, schema=None, *args, **kwargs):
+        if schema == "part int, blocks int":
+            dealt.extend(data)
+        return make(self, data, schema, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", spy)
+    rng = np.random.default_rng(8)
+    pts, probes = rng.uniform(-9, 9, (800, 2)).tolist(), rng.uniform(-9, 9, (1200, 2)).tolist()
+    assert picked(spark, probes, pts, radius=0.5) == brute_nearest(probes, pts, 0.5)
+    assert len(dealt) >= 4 and sum(200 * blocks for part, blocks in dealt if part >= 0) <= 2 * (len(pts) + len(probes))
+
+
 def test_points_at_one_distance_from_many_probes(monkeypatch):
     monkeypatch.setattr(nearest_point, "_PAIRS", 2000)
     turn = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
