@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asterism.constants import WHITESPACE
 from asterism.functions.text import trim_ws
-from asterism.operators import export, many_centroids, similar
+from asterism.operators import export, many_centroids, similar, similar_pairs
 from asterism.operators import vectors as vec
 from asterism.sources import vectors as sources
 
@@ -38,6 +38,71 @@ def test_no_copies_of_probes_for_the_cells_they_meet(spark, monkeypatch):
     assert similar.topk_similar(df, df, 5, held_values=0).count() == 1500
 
 
+def crowded(shape, n=220):
+    rng = np.random.default_rng(34)
+    x = rng.normal(size=(n, 6))
+    if shape == "clusters":
+        x = rng.normal(size=(9, 6))[rng.integers(0, 9, n)] + 0.05 * x
+    elif shape == "line":
+        x = np.outer(rng.integers(-3, 4, n), x[0])  # opposite directions, many ties and zeros
+    x[50:110], x[[5, 6]] = x[3], 0
+    return x
+
+
+@pytest.mark.parametrize(("shape", "k", "skip"), [("random", 1, True), ("clusters", 4, False), ("line", 4, True)])
+def test_a_table_meets_itself_in_pairs_of_blocks(spark, monkeypatch, shape, k, skip):
+    monkeypatch.setattr(similar, "_FEW_ROWS", 0)
+    monkeypatch.setattr(similar, "_GROUP_VALUES", 50 * 6)
+    monkeypatch.setattr(many_centroids, "GROUP_VALUES", 8 * 6)
+    monkeypatch.setattr(similar, "_by_files", lambda *a: pytest.fail("every two rows are compared twice"))
+    x = crowded(shape)
+    df, n = frame(spark, x), len(x)
+    size = np.linalg.norm(x, axis=1)
+    unit = x / np.where(size == 0, 1, size)[:, None]
+    sim = np.round(unit @ unit.T, 6) + 0.0
+    if skip:
+        np.fill_diagonal(sim, -np.inf)
+    want = {(i, r + 1, int(j)) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), -sim[i]))[:k])}
+    got = similar.topk_similar(df, df, k, skip_self=skip, held_values=0).collect()
+    assert {(r.probe_id, r["rank"], r.id) for r in got} == want and len(got) == len(want)
+    assert all(r.similarity == pytest.approx(sim[r.probe_id, r.id]) for r in got)
+
+
+@pytest.mark.parametrize("twice", ["equal", "other", "zeros"])
+def test_repeated_ids_find_the_same_in_pairs_of_blocks(spark, monkeypatch, twice):
+    monkeypatch.setattr(similar, "_GROUP_VALUES", 50 * 6)
+    x = np.zeros((4, 6)) if twice == "zeros" else crowded("random", 120)
+    rows = [(i % 100, [float(v) for v in (x[i % 100] if twice == "equal" else r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:30]], "id long, features array<double>").repartition(3)
+    found = []
+    for few in (1 << 16, 0):
+        monkeypatch.setattr(similar, "_FEW_ROWS", few)
+        found.append(sorted(map(tuple, similar.topk_similar(df, df, 3, held_values=0).collect())))
+    assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 7, 8, 75])
+def test_every_two_blocks_meet_once(blocks):
+    every = [p for part in similar_pairs.rounds(blocks) for p in part]
+    assert len(every) == blocks * (blocks + 1) // 2 == len({frozenset(p) for p in every})
+
+
+def test_every_two_rows_are_compared_once_at_most(spark):
+    x = np.random.default_rng(35).normal(size=(900, 12))
+    unit = similar_pairs.unit_rows(x)
+    vectors = frame(spark, unit).selectExpr("id cluster", "features centroid")
+    names, _ = many_centroids._files(many_centroids._grouped(vectors, 900, 12, 300 * 12))
+    sides = [similar_pairs._Side(name, 12, 5, None) for name in names]
+    compared = sum(similar_pairs.meet_blocks(sides[a], sides[b]) for part in similar_pairs.rounds(len(names)) for a, b in part)
+    assert len(names) > 2 and compared <= 900 * 899 // 2
+    sim = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(sim, -np.inf)
+    for side in sides:
+        order = np.lexsort((side.best[2] * 0, -side.best[2], side.best[0]))
+        got = side.best[1][order].reshape(-1, 5)
+        assert (np.sort(sim[side.ids[:, None], got]) == np.sort(np.sort(sim[side.ids])[:, -5:])).all()
+
+
 def test_very_many_centroids_lie_in_few_files(spark, monkeypatch):
     found = []
     monkeypatch.setattr(many_centroids, "_files", lambda g, f=many_centroids._files: found.append(f(g)) or found[-1])
